@@ -67,7 +67,7 @@ _CANON = r"""
 canon AS (
   SELECT DISTINCT id, trim(regexp_replace(lower(content), '\s+', ' ', 'g')) AS body FROM neurons WHERE id IS NOT NULL AND content IS NOT NULL
 ), long AS (SELECT id, body FROM canon WHERE length(body) >= 60),
-sets AS (SELECT body, list_distinct(list_transform(range(1, length(body) - 1), i -> substring(body, i, 3))) AS g FROM (SELECT DISTINCT body FROM long)),
+sets AS (SELECT body, list_distinct(list_transform(range(1, length(body) - 1), lambda i: substring(body, i, 3))) AS g FROM (SELECT DISTINCT body FROM long)),
 near AS (
   SELECT a.body AS x, b.body AS y FROM sets a JOIN sets b ON a.body < b.body AND len(b.g) >= 0.7 * len(a.g) AND len(a.g) >= 0.7 * len(b.g)
   WHERE len(list_intersect(a.g, b.g)) >= 0.7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
