@@ -11,10 +11,20 @@ from engramlake.llm.cooccurrence import cooccurrence, memory_baskets
 from engramlake.llm.encode import encode_corpus
 from engramlake.llm.leakage import leaked_passages, reparameterised
 from engramlake.llm.near_duplicates import near_duplicate_pairs, near_duplicates
+from engramlake.llm.neighbours import neighbour_lists, neighbour_pairs
+from engramlake.llm.sentences import split_sentences
 from engramlake.llm.splitting import oversized_sections, split_sections
 from engramlake.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(table(spark, sf_dir, "neurons"))
+
+
+def p1_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_lists(table(spark, sf_dir, "neurons")).select("id", "other", F.round("cos", 4).alias("cos"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "neurons"))
 
@@ -59,8 +69,16 @@ def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos")
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_lift, p7_ids, p8_found, p8_reparameterised)
+    f.__name__: f for f in (p1_found, p1_lists, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_lift, p7_ids, p8_found, p8_reparameterised, p9_found, p9_sentences)
 }
 
 _CANON = r"""
@@ -87,7 +105,19 @@ held AS (
   WHERE n_ab * total.n >= 10 * x.n * y.n
 )"""
 
+_COSINES = """
+good AS (
+  SELECT id, any_value(embedding)::DOUBLE[] AS e FROM neurons
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY id
+), ranked AS (
+  SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS r
+  FROM good a JOIN good b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.85
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_COSINES} SELECT DISTINCT least(id, other) AS neuron_a, greatest(id, other) AS neuron_b FROM ranked WHERE r <= 5",
+    "p1_lists": f"WITH {_COSINES} SELECT id, other, round(cos, 4) AS cos FROM ranked WHERE r <= 5",
     "p2_found": f"""WITH {_CANON}
 SELECT DISTINCT least(p.id, q.id) AS neuron_a, greatest(p.id, q.id) AS neuron_b FROM near JOIN long p ON p.body = near.x JOIN long q ON q.body = near.y WHERE p.id <> q.id
 UNION SELECT p.id, q.id FROM long p JOIN long q ON p.body = q.body AND p.id < q.id""",
