@@ -3,13 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the session's Python workers, once for each context.
+
+    A worker has its own module path, so a package that only the driver can import would
+    fail there.  The driver's file server sends the archive; executors need no shared path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_engramlake", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="engramlake-")) / "engramlake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, str(path.relative_to(package.parent)))
+    sc.addPyFile(str(archive))
+    sc._engramlake = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +68,7 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     input that already has a partition for every core is left alone, so large tables
     are not shuffled for this.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
