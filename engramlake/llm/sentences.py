@@ -115,14 +115,13 @@ def count_words(text: str, into: Counter) -> None:
                     into["m:" + low] += 1
             elif word == low and low[0] != low[0].upper():
                 into["l:" + low] += 1
-            if len(low) <= 8:
-                if dot:
-                    rest = par[m.end() : m.end() + 2]
-                    into["d:" + low] += 1
-                    if rest[:1] == "," or rest[1:2].islower():
-                        into["a:" + low] += 1
-                else:
-                    into["n:" + low] += 1
+            if dot:
+                rest = par[m.end() : m.end() + 2]
+                into["d:" + low] += 1
+                if rest[:1] == "," or rest[1:2].islower():
+                    into["a:" + low] += 1
+            else:
+                into["n:" + low] += 1
             start = False
 
 
@@ -145,7 +144,8 @@ def is_abbreviation(c: dict[str, int], word: str) -> bool | None:
 class Splitter:
     """Sentence ranges of one text.
 
-    ``answers`` holds what the corpus says about words (``+w`` common, ``-w`` abbreviation);
+    ``answers`` holds what the corpus says about words (``+w`` common, ``-w`` abbreviation,
+    ``*w`` ordinary word that may stand before a period);
     with ``asked`` given, the words the document itself cannot decide are added to it.
     """
 
@@ -170,6 +170,14 @@ class Splitter:
             self.asked.add("-" + word)
         return "-" + word in self.answers
 
+    def ordinary(self, word: str) -> bool:
+        """Whether the word is surely no abbreviation, so that a period after it is a full stop."""
+        if self.own.get("n:" + word, 0) or len(word) > 12:
+            return True
+        if self.asked is not None:
+            self.asked.add("*" + word)
+        return "*" + word in self.answers
+
     def sentences(self) -> list[tuple[int, int]]:
         out = []
         for a, b in paragraphs(self.text):
@@ -225,14 +233,12 @@ class Splitter:
         body = after.lstrip("\"'«“„‹([{「『（¿¡#>-*•_`~ ​‌‍﻿⁠")
         nxt = _WORD.match(body)
         word = nxt[0] if nxt else ""
-        if word and word[0].islower():
-            return False
-        if mark in "।॥؟۔։።။។":
-            return True
-        if mark in "!?":
+        if word and word[0].islower() and (opened is not None or end > m.end()) and not (opened is not None and par[:opened].rstrip().endswith(":")):
+            return False  # what was quoted goes on
+        if mark in "।॥؟۔։።။។!?":
             return True
         if mark == "…" or m[0].endswith(".."):
-            return bool(word) and word[0] != word[0].lower() and self.common(word.lower())
+            return bool(word) and not word[0].islower() and word[0] != word[0].lower() and self.common(word.lower())
         return self._period(par, start, m.start(), body, word)
 
     def _period(self, par: str, start: int, dot: int, body: str, word: str) -> bool:
@@ -243,7 +249,9 @@ class Splitter:
         low = raw.lower()
         number = body[:1].isdigit()
         cased = bool(word) and word[0] != word[0].lower()
-        if raw[:1].isdigit() and raw.isdigit():
+        if raw.isdigit():
+            if word and word[0].islower():
+                return False
             first = not _MARKS.sub("", par[start:at], count=1).strip("\"'*_# ")
             if first and len(raw) <= 3:
                 return False  # the number of a list item
@@ -251,7 +259,10 @@ class Splitter:
         if low in TITLES:
             return False
         if not raw or not raw[-1].isalpha():
-            return True
+            return not (word and word[0].islower()) or not raw or not raw[-1].isdigit()
+        if word and word[0].islower():
+            known = low in MAY_END or low in BEFORE_NUMBER or bool(_INITIALS.search(low)) or len(low) == 1
+            return not known and self.ordinary(low)
         if low in BEFORE_NUMBER and (number or body[:1] in "IVX§"):
             return False
         joined = bool(_INITIALS.search(low)) and low == _INITIALS.search(low)[0]
@@ -330,7 +341,8 @@ def split_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     by = counts.groupBy(word.alias("word")).agg(*[F.coalesce(F.sum(F.when(sort == s, F.col("n"))), F.lit(0)).alias(s) for s in "lmsadn"])
     is_common = (F.col("l") > F.col("m")) | ((F.col("s") >= 2) & (F.col("m") * 20 <= F.col("s")))
     is_abbr = (F.col("a") >= 2) & (F.col("a") * 3 >= F.col("d")) & (F.col("n") <= F.col("d"))
-    answers = by.select(F.explode(F.array_compact(F.array(F.when(is_common, F.concat(F.lit("+"), "word")), F.when(is_abbr, F.concat(F.lit("-"), "word"))))).alias("ask"))
+    is_ordinary = (F.col("n") > F.col("a")) | ((F.col("d") >= 3) & (F.col("a") * 3 < F.col("d")))
+    answers = by.select(F.explode(F.array_compact(F.array(F.when(is_common, F.concat(F.lit("+"), "word")), F.when(is_abbr, F.concat(F.lit("-"), "word")), F.when(is_ordinary, F.concat(F.lit("*"), "word"))))).alias("ask"))
     asked = rows.mapInArrow(_asks, f"doc {kind}, ask string").distinct()
     said = asked.join(answers, "ask", "left_semi").groupBy("doc").agg(F.collect_set("ask").alias("said"))  # words of one document
     out = rows.join(said, "doc", "left").select("doc", "body", "said").mapInArrow(_positions, f"doc {kind}, start_pos int, end_pos int, sentence string")
