@@ -12,6 +12,7 @@ from engramlake.llm.encode import encode_corpus
 from engramlake.llm.leakage import leaked_passages, reparameterised
 from engramlake.llm.near_duplicates import near_duplicate_pairs, near_duplicates
 from engramlake.llm.neighbours import neighbour_lists, neighbour_pairs
+from engramlake.llm.pii import personal_kinds, tag_personal
 from engramlake.llm.sentences import split_sentences
 from engramlake.llm.splitting import oversized_sections, split_sections
 from engramlake.runtime import table
@@ -57,6 +58,14 @@ def p4_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _together(spark, sf_dir).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_kinds(table(spark, sf_dir, "neurons"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_personal(table(spark, sf_dir, "neurons")).select("id", "redacted")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -78,7 +87,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_lists, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_lift, p7_ids, p8_found, p8_reparameterised, p9_found, p9_sentences)
+    f.__name__: f for f in (p1_found, p1_lists, p2_found, p2_classes, p3_found, p3_pieces, p4_found, p4_lift, p5_found, p5_redacted, p7_ids, p8_found, p8_reparameterised, p9_found, p9_sentences)
 }
 
 _CANON = r"""
