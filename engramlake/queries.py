@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engramlake.catalog import graph, scans
 from engramlake.operators.changelog import assemble_transactions, committed_watermark, parse_changes, replay, replay_fields
 from engramlake.runtime import table
 
@@ -24,7 +25,8 @@ def p6_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return committed_watermark(assemble_transactions(parse_changes(table(spark, sf_dir, "change_log"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_found, p6_fields, p6_watermark)}
+CATALOGS = (scans, graph)
+QUERIES: dict[str, Query] = {k: v for c in CATALOGS for k, v in c.C.queries.items()} | {f.__name__: f for f in (p6_found, p6_fields, p6_watermark)}
 
 _RECEIPTS = """
 whole AS (SELECT receipt_id, change::JSON AS c FROM change_log WHERE receipt_id IS NOT NULL AND json_valid(change)),
@@ -40,7 +42,7 @@ alive AS (
   HAVING max(seq) FILTER (WHERE op = 'insert') > coalesce(max(seq) FILTER (WHERE op = 'delete'), -1)
 )"""
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = {k: v for c in CATALOGS for k, v in c.C.sql.items()} | {
     "p6_found": f"WITH {_RECEIPTS} SELECT entity_type, entity_id, receipt_id FROM alive",
     "p6_fields": f"""WITH {_RECEIPTS}, named AS (SELECT entity_type, entity_id, seq, payload, unnest(json_keys(payload)) AS field FROM tx WHERE op IN ('insert', 'update'))
 SELECT entity_type, entity_id, field, arg_max(coalesce(payload->>field, ''), seq) AS value FROM named JOIN alive USING (entity_type, entity_id)
