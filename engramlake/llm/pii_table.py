@@ -84,6 +84,21 @@ Support: {E} / {P}
 {C} desk: {E}
 {C}故障请拨 {P} 。
 夜間は {P} に電話する。
+機材は {A} へ送る。
+機材は {A} へ送る。
+{C} の住所は {A} です。
+フォームに {I} が残っている。
+チケットに {I} が貼られた。
+{N} さんの電話は {P} です。
+設備寄到 {A} 。
+表格里还留着 {I} 。
+Адрес: {A}
+В форме осталось {I}.
+{E} / {P}
+{N} / {E} / {P}
+{N}, {A}.
+Owner: {N} / {E}
+Parcel for {N}, {A}.
 Ночью звоните {P} по {C}.
 По {C} звонить {P}.
 担当は {N} です。
@@ -319,7 +334,7 @@ def _address(r: random.Random) -> str:
 _SLOT = {"N": ("name", _name), "E": ("email", _email), "P": ("phone", _phone), "I": ("id_number", _number), "A": ("address", _address)}
 
 
-def labelled_table(rows: int = 3000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(rows: int = 4500, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``rows`` texts of one to three sentences with their spans ``(start, end, kind)``."""
     r = random.Random(seed)
     positive, negative = WITH.strip().split("\n"), WITHOUT.strip().split("\n")
