@@ -102,7 +102,10 @@ def with_tables(sql: str) -> str:
                 order.append(part)
     rest = rest.strip()
     parts = ", ".join(CTES[x] for x in order)
-    return f"WITH {parts}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {parts} {rest}"
+    if rest.upper().startswith("WITH "):
+        rest = rest[5:].removeprefix("RECURSIVE ")
+        return f"WITH RECURSIVE {parts}, {rest}"
+    return f"WITH {parts} {rest}"
 
 
 def members(fibers: DataFrame) -> DataFrame:

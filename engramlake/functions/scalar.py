@@ -19,8 +19,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """Fractional days; negative spans count as none."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400e6)
+    """Fractional days; negative spans count as none, a null end gives null."""
+    days = (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400e6
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
 def dot(a: Column, b: Column) -> Column:
