@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.catalog import graph, ranking, scans, stats
+from engramlake.catalog import encoding, graph, maintenance, ranking, scans, sources, stats
 from engramlake.operators.changelog import assemble_transactions, committed_watermark, parse_changes, replay, replay_fields
 from engramlake.runtime import table
 
@@ -25,7 +25,7 @@ def p6_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return committed_watermark(assemble_transactions(parse_changes(table(spark, sf_dir, "change_log"))))
 
 
-CATALOGS = (scans, graph, ranking, stats)
+CATALOGS = (scans, graph, ranking, stats, maintenance, encoding, sources)
 QUERIES: dict[str, Query] = {k: v for c in CATALOGS for k, v in c.C.queries.items()} | {f.__name__: f for f in (p6_found, p6_fields, p6_watermark)}
 
 _RECEIPTS = """
