@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,11 +134,6 @@ def simhash(text: Column) -> Column:
 
     Arrow batches in numpy: each distinct piece of a batch is hashed once.
     """
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def run(texts: pd.Series) -> pd.Series:
         known: dict[str, np.ndarray] = {}
