@@ -28,7 +28,7 @@ ROWS, ROUNDS = 4500, 60
 _REACH = 2  # words to either side
 _MEMO = 150_000
 _CJK = r"぀-ヿ㐀-鿿"
-_STREET = set("street lane road rd terrace court way blvd ave avenue drive close square st rue calle avenida plaza allee platz chemin".split())
+_STREET = set("street lane road rd terrace court way blvd ave avenue drive close square st rue calle avenida plaza allee platz chemin boulevard lane row hill crescent highway via viale piazza rua ulica улица ул проспект".split())
 _IDWORD = set("ssn social security passport national id card tax insurance driving licence license number steuer-id passeport pasaporte no".split())
 _GIVEN = {g.lower() for g in GIVEN}
 
@@ -180,7 +180,7 @@ def _sound(span: str, kind: str) -> bool:
     if kind == "email":
         return "@" in span or any(_coarse(span[a:b]) == _CLASS["at"] for a, b in tokens(span))
     if kind == "address":
-        return digits > 0 and sum(c.isalpha() for c in span) > 3
+        return digits > 0 and any(_coarse(span[a:b]) in (_CLASS["street"], _CLASS["stem"]) for a, b in tokens(span))
     return digits >= (7 if kind == "phone" else 5)
 
 
