@@ -37,7 +37,7 @@ C.add("text_secrets", lambda t: t.neurons.where("content IS NOT NULL").select("i
 C.add("text_redact_secrets", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.sha2("content", 256).alias("original"), T.redact_secrets(F.col("content")).alias("content")),
       "{n} SELECT id, sha256(content) AS original, " + __import__("functools").reduce(lambda s, x: f"regexp_replace({s}, '{x[1]}', '[{x[0].upper()}]', 'g')", [x for x in T.SECRETS if x[2] >= 2], "content") + " AS content FROM n WHERE content IS NOT NULL")
 C.add("text_arousal", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", F.round(T.arousal(X()), 6).alias("arousal")),
-      r"SELECT doc_id, round(least(1.0, 0.3 * len(regexp_extract_all(lower(text), '\b(critical|urgent|never|fails?|failed|broken|stop)\b')) + 0.2 * len(regexp_extract_all(text, '!'))), 6) AS arousal FROM documents WHERE text IS NOT NULL")
+      r"SELECT doc_id, round(least(1.0, 0.3 * len(regexp_extract_all(lower(text), '\b(critical|urgent|never|fails?|failed|broken|stop)\b')) + 0.2 * len(regexp_extract_all(text, '!'))), 6)::DOUBLE AS arousal FROM documents WHERE text IS NOT NULL")
 C.add("text_repetitive", lambda t: t.documents.where(T.repetitive(X())).select("doc_id"),
       f"SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 12 AND len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) * 2 < len(w) - 2")
 C.add("text_essence", lambda t: t.documents.where("lang = 'en' AND text IS NOT NULL").select("doc_id", T.essence(X()).alias("essence")))
@@ -47,7 +47,7 @@ _prep = lambda t: P.prepare(t.documents)
 _TXT = "d AS (SELECT doc_id, text, created_at FROM documents WHERE text IS NOT NULL AND trim(text) <> '')"
 C.add("encode_concepts", lambda t: P.concept_nodes(_prep(t)), f"WITH {_TXT} SELECT sha256('concept:' || content) AS id, content, count(*) AS mentions FROM (SELECT unnest({_KEYS}) AS content FROM d) GROUP BY content")
 C.add("encode_entities", lambda t: P.entity_nodes(_prep(t)))
-C.add("encode_anchor_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'related_to'"), f"WITH {_TXT} SELECT doc_id, k AS target, 'related_to' AS type, round(least(0.8, 0.4 + 0.3 * (1 - 0.05 * (pos - 1))), 6) AS weight FROM (SELECT doc_id, unnest({_KEYS}) AS k, generate_subscripts({_KEYS}, 1) AS pos FROM d)")
+C.add("encode_anchor_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'related_to'"), f"WITH {_TXT} SELECT doc_id, k AS target, 'related_to' AS type, round(least(0.8, 0.4 + 0.3 * (1 - 0.05 * (pos - 1))), 6)::DOUBLE AS weight FROM (SELECT doc_id, unnest({_KEYS}) AS k, generate_subscripts({_KEYS}, 1) AS pos FROM d)")
 C.add("encode_entity_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'involves'"))
 C.add("encode_entity_pairs", lambda t: P.entity_pairs(_prep(t)))
 C.add("encode_relations", lambda t: P.relation_edges(_prep(t)))

@@ -30,7 +30,7 @@ def _ranked(t):
     return out
 
 
-C.add("rank_anchor_union", lambda t: _ranked(t), f"{{st}} WITH {_RANKED} SELECT query_id, retriever, neuron_id, rank FROM r10")
+C.add("rank_anchor_union", lambda t: _ranked(t), f"{{st}} WITH {_RANKED} SELECT query_id, retriever, neuron_id, rank::INT AS rank FROM r10")
 C.add("rank_fuse", lambda t: R.fuse(_ranked(t)), f"{{st}} WITH {_RANKED} SELECT * FROM fu")
 C.add("rank_levels", lambda t: R.to_levels(R.fuse(_ranked(t))),
       f"{{st}} WITH {_RANKED} SELECT query_id, neuron_id, round(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE 0.1 + 0.9 * (score - lo) / (hi - lo) END, 9) AS level FROM fu JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM fu GROUP BY 1) USING (query_id)")
@@ -63,7 +63,7 @@ _COMP = f"""hit AS (SELECT query_id, fiber_id, max(level) AS activation FROM (SE
  sc AS (SELECT query_id, fiber_id, round(0.30 * activation + 0.25 * coalesce(salience, 0) + 0.20 * least(1.0, coalesce(frequency, 0) / 20) + 0.15 * coalesce(conductivity, 1.0) + 0.10 * CASE WHEN a < 7 THEN 1.0 WHEN a < 30 THEN 0.8 WHEN a < 90 THEN 0.5 WHEN a < 365 THEN 0.3 ELSE 0.1 END, 9) AS score
  FROM hit JOIN (SELECT *, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 86400e6) AS a FROM f) g ON g.id = fiber_id)"""
 C.add("rank_matching_fibers", lambda t: R.matching_fibers(_active(t), members(t.fibers), t.fibers, now=NOW),
-      f"{{st, fm}} WITH {_ACT}, {_COMP} SELECT query_id, fiber_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fiber_id) AS rank FROM sc) WHERE rank <= 10")
+      f"{{st, fm}} WITH {_ACT}, {_COMP} SELECT query_id, fiber_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fiber_id) AS rank FROM sc) WHERE rank <= 10")
 C.add("rank_context_match", lambda t: _context(t), """{ft} WITH m AS (SELECT fiber_id, list(DISTINCT tag ORDER BY tag) AS tags FROM ft GROUP BY 1)
  SELECT fiber_id, round(len(list_intersect(tags, ['sync', 'ops', 'billing']))::DOUBLE / len(list_distinct(list_concat(tags, ['sync', 'ops', 'billing']))), 6) AS score FROM m""")
 

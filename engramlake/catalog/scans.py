@@ -23,7 +23,7 @@ C.add("scan_bm25", lambda t: O.bm25(t.neurons, t.spark.createDataFrame([(1, "orp
  s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM docs), q(query_id, word) AS (VALUES (1, 'orphan'), (1, 'synapses'), (2, 'merge'), (2, 'plan'), (2, 'budget'), (3, 'priming'), (3, 'cache')),
  tf AS (SELECT id, len(w) AS l, word, count(*) AS tf FROM (SELECT id, w, unnest(w) AS word FROM docs) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
  sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 9) AS score FROM tf JOIN df USING (word) JOIN q USING (word) CROSS JOIN s GROUP BY 1, 2)
- SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""")
+ SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""")
 C.add("scan_page_after", lambda t: O.page_after(t.neurons, "neu-8", limit=50).select("id"), "{n} SELECT id FROM n WHERE id > 'neu-8' ORDER BY id LIMIT 50")
 C.add("scan_exact_batch", lambda t: O.exact_batch(t.neurons, ["token budget", "hot index", "none such"]), "{n} SELECT content, min(id) AS id FROM n WHERE content IN ('token budget', 'hot index', 'none such') GROUP BY 1")
 C.add("scan_suggest", lambda t: O.suggest(t.neurons, t.states, "INDEX"),
@@ -87,7 +87,7 @@ C.add("fn_char_entropy", lambda t: t.neurons.where(F.length("content") <= 80).se
       """{n} WITH c AS (SELECT id, content, unnest(string_split(content, '')) AS ch FROM n WHERE length(content) BETWEEN 1 AND 80), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
  SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
 C.add("fn_levenshtein", lambda t: t.neurons.where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
-      "{n} SELECT id, levenshtein(lower(content), 'anchor index') AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
+      "{n} SELECT id, levenshtein(lower(content), 'anchor index')::INT AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
 C.add("fn_prefix_variants", lambda t: t.neurons.where(F.length("content").between(5, 20)).select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")),
       "{n} SELECT id, content[1:3] AS p3, content[1:length(content) - 2] AS stem FROM n WHERE length(content) BETWEEN 5 AND 20")
 C.add("fn_idf", lambda t: _idf(t), """{n} WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS word FROM n), d AS (SELECT word, count(*) AS df FROM w GROUP BY 1), m AS (SELECT count(*) AS n FROM n)
@@ -108,7 +108,7 @@ C.add("fn_edge_id", lambda t: t.synapses.select("id", S.deterministic_edge_id(F.
       f"{{e}} SELECT id, sha256(concat_ws('|', CASE WHEN type IN {_SYM} THEN least(source_id, target_id) ELSE source_id END, CASE WHEN type IN {_SYM} THEN greatest(source_id, target_id) ELSE target_id END, type)) AS edge_id FROM e")
 C.add("fn_normalise", lambda t: t.neurons.select("id", S.normalise_search(F.col("content")).alias("text")), "{n} SELECT id, lower(trim(content)) AS text FROM n")
 C.add("fn_hash_pairs", lambda t: _hash_pairs(t), """{n} WITH h AS (SELECT min(id) AS id, content_hash AS h, count(*) AS copies FROM n WHERE content_hash <> 0 GROUP BY 2)
- SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.h, b.h)) AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3""")
+ SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3""")
 
 
 def _hash_pairs(t):

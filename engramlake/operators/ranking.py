@@ -142,7 +142,7 @@ def keep_first_near(rows: DataFrame, *, group: str, limit: int = 10) -> DataFram
         kept: list[int] = []
         take = []
         for h in frame["hash"]:
-            ok = pd.isna(h) or h == 0 or not kept or int(np.bitwise_count(np.array(kept, np.int64) ^ np.int64(h)).min()) > limit
+            ok = pd.isna(h) or h == 0 or not kept or int(np.bitwise_count((np.array(kept, np.int64) ^ np.int64(h)).view(np.uint64)).min()) > limit
             take.append(ok)
             if ok and not pd.isna(h) and h != 0:
                 kept.append(int(h))

@@ -40,7 +40,7 @@ def html_to_text(html):
     out = F.regexp_replace(out, r"(?s)<[^>]+>", "")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(out, r"\n\s*\n\s*", "\n\n"), r"^\s+|\s+$", "")
 
 
 def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
