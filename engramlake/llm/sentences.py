@@ -305,9 +305,11 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, words = [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 asked: set[str] = set()
-                # what follows from an answer may ask again, so both answers are tried
-                Splitter(text, asked=asked).sentences()
-                Splitter(text, answers=set(asked), asked=asked).sentences()
+                splitter = Splitter(text, asked=asked)
+                splitter.sentences()
+                if asked:  # what follows from an answer may ask again, so both answers are tried
+                    splitter.answers = set(asked)
+                    splitter.sentences()
                 rows += [i] * len(asked)
                 words += sorted(asked)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], names=["doc", "ask"])
