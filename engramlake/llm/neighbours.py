@@ -46,9 +46,12 @@ def usable(embedding: Column, dim: int) -> Column:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit rows of a column of packed doubles."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
-    return raw
+    """Rows of length one, in doubles, of a column of packed vectors (floats or doubles)."""
+    rows = column.to_pylist()
+    kind = np.float32 if rows and len(rows[0]) == 4 * dim else np.float64
+    raw = np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(np.float64)
+    raw /= np.abs(raw).max(1, keepdims=True)  # neither overflow nor underflow
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -171,8 +174,8 @@ def _search_units(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: fl
 def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
     """``(rep, other, cos)``: for every entry the ``k`` others with the highest cosine of at least ``least``.
 
-    ``entries(rep string, unit binary)`` holds distinct directions as packed doubles of
-    length one.  Recall is measured in the tests; with at most ``SEARCH * PER_CELL``
+    ``entries(rep string, unit binary)`` holds distinct vectors as packed floats or doubles,
+    of any length but zero.  Recall is measured in the tests; with at most ``SEARCH * PER_CELL``
     entries every cell is searched.
     """
     spark = entries.sparkSession
@@ -183,7 +186,7 @@ def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
     else:
         # the rows with the smallest hashes: a random sample that does not depend on partitioning
         rows = entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()
-        centroids = fit_centroids(np.frombuffer(b"".join(r.unit for r in rows), np.float64).reshape(-1, dim), cells)
+        centroids = fit_centroids(_matrix(pa.array([bytes(r.unit) for r in rows], pa.binary()), dim), cells)
     shared = spark.sparkContext.broadcast(centroids)
     hold, search = min(HOLD, cells), min(SEARCH, cells)
 
@@ -261,17 +264,16 @@ def neighbour_lists(neurons: DataFrame, *, dim: int = 64, k: int = 5, least: flo
     more than once counts once (copies that differ: the one with the smallest hash).
     Equal cosines go by smaller id.  An empty input gives no rows.
     """
-    good = neurons.where("id IS NOT NULL").where(usable(F.col("embedding"), dim)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    good = neurons.where("id IS NOT NULL").where(usable(F.col("embedding"), dim)).select("id", "embedding")
     one = good.groupBy("id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    kind = np.float32 if dict(neurons.dtypes)["embedding"] == "array<float>" else np.float64
 
-    def to_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            raw = raw / np.abs(raw).max(1, keepdims=True)  # neither overflow nor underflow
-            unit = np.ascontiguousarray(raw / np.linalg.norm(raw, axis=1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in unit], pa.binary())], names=["id", "unit"])
+            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind) + kind(0)  # no negative zeros
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in raw], pa.binary())], names=["id", "unit"])
 
-    units = cut(one.mapInArrow(to_unit, "id string, unit binary"))
+    units = cut(one.mapInArrow(pack, "id string, unit binary"))
     # the k + 1 smallest holders of every vector; row_number is limited before the shuffle
     rank = F.row_number().over(Window.partitionBy("unit").orderBy("id"))
     first = units.withColumn("_r", rank).where(F.col("_r") <= k + 1).groupBy("unit").agg(F.array_sort(F.collect_list("id")).alias("ids"))
