@@ -62,17 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` if it has fewer partitions than cores.
+    """Hash-partition ``df`` by ``keys`` where that is needed to keep all cores busy.
 
-    For work in Python: a scan of a few large row groups would leave cores idle.  An
-    input that already has a partition for every core is left alone, so large tables
-    are not shuffled for this.
+    For work in Python.  A scan with a partition for every core is left alone, so large
+    tables are not shuffled for this; a scan of a few large row groups, or a plan whose
+    shuffles the engine may merge into few partitions, is spread.  Nothing is run to tell.
     """
-    ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    if not shuffled and df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores * per_core, *[F.col(k) for k in keys])
+    return df.repartition(max(cores * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))), *[F.col(k) for k in keys])
 
 
 def latest_rows(df: DataFrame, *keys: str, order: str = "created_at") -> DataFrame:
