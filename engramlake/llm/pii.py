@@ -27,6 +27,7 @@ PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 ROWS, ROUNDS = 4500, 60
 _REACH = 2  # words to either side
 _MEMO = 150_000
+_PADDED = 100_000  # words of a decoded batch with its padding
 _CJK = r"぀-ヿ㐀-鿿"
 _STREET = set("street lane road rd terrace court way blvd ave avenue drive close square st rue calle avenida plaza allee platz chemin boulevard lane row hill crescent highway via viale piazza rua ulica улица ул проспект".split())
 _IDWORD = set("ssn social security passport national id card tax insurance driving licence license number steuer-id passeport pasaporte no".split())
@@ -160,10 +161,13 @@ class Tagger:
         if len(self._row) > _MEMO:
             self._row.clear()
         cuts = [tokens(t) for t in texts]
-        order = sorted(range(len(texts)), key=lambda i: len(cuts[i]))
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for at in range(0, len(order), 64):
-            group = [i for i in order[at : at + 64] if cuts[i]]
+        groups: list[list[int]] = [[]]
+        for i in sorted((i for i in range(len(texts)) if cuts[i]), key=lambda i: len(cuts[i])):
+            if groups[-1] and (len(groups[-1]) == 64 or (len(groups[-1]) + 1) * len(cuts[i]) > _PADDED):
+                groups.append([])
+            groups[-1].append(i)
+        for group in groups:
             if not group:
                 continue
             best = viterbi([self.scores([texts[i][a:b] for a, b in cuts[i]]) for i in group], self.chain)
@@ -371,5 +375,5 @@ def tag_personal(rows: DataFrame, *, key: str = "id", text: str = "content", tag
 
 def personal_kinds(rows: DataFrame, *, key: str = "id", text: str = "content") -> DataFrame:
     """``(neuron_id, kind)``, distinct: the kinds of personal information in each content."""
-    found = tag_personal(rows.where(F.col(key).isNotNull()).select(key, text).distinct(), key=key, text=text)
+    found = tag_personal(rows.where(F.col(key).isNotNull()).select(key, text), key=key, text=text)
     return found.select(F.col(key).alias("neuron_id"), F.explode("kinds").alias("kind")).distinct()

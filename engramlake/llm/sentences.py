@@ -15,7 +15,7 @@ document through joins, so no vocabulary is ever held whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -48,6 +48,9 @@ MONTHS = set(
 SPACED = ".!?…؟।॥۔։።။។"  # need white space or an end after them
 WIDE = "。！？｡．"  # never do
 PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‹": "›", "「": "」", "『": "』", "（": "）", "《": "》", "【": "】", "〈": "〉"}
+#: Quotes and brackets further apart than this enclose nothing.
+_APART = 600
+_SIGNS = {*PAIRS, *PAIRS.values(), '"'}
 QUOTES = set('"«“„‹「『')
 FURTHER = set(",;:，、；：)]}»”」』）》】〉—–-%/\\=&+_|~^*`@")
 
@@ -77,9 +80,13 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def _enclosed(par: str) -> list[tuple[int, int]]:
     """Outermost matched pairs of quotes and brackets."""
-    stack: list[tuple[str, int]] = []
+    stack: deque[tuple[str, int]] = deque()
     found = []
     for i, ch in enumerate(par):
+        if ch not in _SIGNS:
+            continue
+        while stack and i - stack[0][1] > _APART:
+            stack.popleft()
         if stack and ch in [PAIRS.get(c, c) for c, _ in stack]:
             while PAIRS.get(stack[-1][0], stack[-1][0]) != ch:
                 stack.pop()
@@ -89,7 +96,7 @@ def _enclosed(par: str) -> list[tuple[int, int]]:
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
-        if b - a <= 600 and (not outer or a > outer[-1][1]):
+        if b - a <= _APART and (not outer or a > outer[-1][1]):
             outer.append((a, b))
     return outer
 
@@ -107,7 +114,7 @@ def count_words(text: str, into: Counter) -> None:
         for m in _TOKEN.finditer(par):
             word, dot = m[2], m[3]
             low = word.lower()
-            before = par[: m.start()].rstrip()[-1:] if not start else ""
+            before = par[max(0, m.start() - 8) : m.start()].rstrip()[-1:] if not start else ""
             if word[0].isupper() and word[1:] == low[1:]:
                 if start or before in "!?。！？":
                     into["s:" + low] += 1
@@ -186,7 +193,7 @@ class Splitter:
 
     def _paragraph(self, par: str) -> Iterator[tuple[int, int]]:
         outer = _enclosed(par)
-        size, k, start = len(par), 0, 0
+        size, k, start = len(par.rstrip()), 0, 0
         while start < size and par[start].isspace():
             start += 1
         for m in _TERMINATOR.finditer(par):
@@ -202,18 +209,20 @@ class Splitter:
                 end, opened = close + 1, outer[k][0]
             while end < size and par[end] in "\"'»”›)]」』）*_" and not (par[end] == '"' and any(x == end for x, _ in outer)):
                 end += 1
-            if self._ends(par, start, m, end, opened):
+            if self._ends(par, size, start, m, end, opened):
                 yield start, end
                 start = end
                 while start < size and par[start].isspace():
                     start += 1
         if start < size:
-            yield start, len(par.rstrip())
+            yield start, size
 
-    def _ends(self, par: str, start: int, m: re.Match, end: int, opened: int | None) -> bool:
+    def _ends(self, par: str, size: int, start: int, m: re.Match, end: int, opened: int | None) -> bool:
+        if end >= size:
+            return True
         rest = par[end : end + 80]
         after = rest.lstrip()
-        if not par[end:].strip():
+        if not after:
             return True
         mark = m[0][-1]
         wide = mark in WIDE or (mark in "!?" and m.start() and ord(par[m.start() - 1]) > 0x2E7F)
@@ -233,7 +242,7 @@ class Splitter:
         body = after.lstrip("\"'«“„‹([{「『（¿¡#>-*•_`~ ​‌‍﻿⁠")
         nxt = _WORD.match(body)
         word = nxt[0] if nxt else ""
-        if word and word[0].islower() and (opened is not None or end > m.end()) and not (opened is not None and par[:opened].rstrip().endswith(":")):
+        if word and word[0].islower() and (opened is not None or end > m.end()) and not (opened is not None and par[max(0, opened - 8) : opened].rstrip().endswith(":")):
             return False  # what was quoted goes on
         if mark in "।॥؟۔։።။។!?":
             return True
