@@ -61,11 +61,11 @@ C.add("cluster_tags", lambda t: K.tag_clusters(A.tag_cooccurrence(fiber_tags(t.f
  r AS (SELECT a AS node, a AS reach FROM u UNION SELECT node, b FROM r JOIN u ON reach = a), c AS (SELECT node AS tag, min(reach) AS c FROM r GROUP BY 1), m AS (SELECT c, arg_max(tag, (fibers, tag)) AS canonical FROM c JOIN tc USING (tag) GROUP BY 1)
  SELECT tag, canonical FROM c JOIN m USING (c)""")
 C.add("cluster_fan_effect", lambda t: K.fan_effect(fiber_tags(t.fibers)), "{ft} SELECT tag, count(DISTINCT fiber_id) AS fan FROM ft GROUP BY 1 HAVING count(DISTINCT fiber_id) >= 15")
-C.add("cluster_similar_fibers", lambda t: K.set_similarity(members(t.fibers).select(F.col("fiber_id").alias("set_id"), F.col("neuron_id").alias("item")), threshold=0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
+C.add("cluster_similar_fibers", lambda t: K.set_similarity(members(t.raw("fibers")).select(F.col("fiber_id").alias("set_id"), F.col("neuron_id").alias("item")), threshold=0.3).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
       """{fm} WITH s AS (SELECT fiber_id, list(neuron_id ORDER BY neuron_id) AS m FROM fm GROUP BY 1), d AS (SELECT m, min(fiber_id) AS id FROM s GROUP BY 1)
  SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(len(list_intersect(x.m, y.m)) / (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m))), 6) AS jaccard FROM d x JOIN d y ON x.id < y.id
  WHERE len(list_intersect(x.m, y.m)) >= 0.3 * (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m)))""")
-C.add("cluster_merge_fibers", lambda t: K.merge_fibers(members(t.fibers), threshold=0.5), """{fm} WITH RECURSIVE s AS (SELECT fiber_id, list(neuron_id ORDER BY neuron_id) AS m FROM fm GROUP BY 1), d AS (SELECT m, min(fiber_id) AS id FROM s GROUP BY 1),
+C.add("cluster_merge_fibers", lambda t: K.merge_fibers(members(t.raw("fibers")), threshold=0.5), """{fm} WITH RECURSIVE s AS (SELECT fiber_id, list(neuron_id ORDER BY neuron_id) AS m FROM fm GROUP BY 1), d AS (SELECT m, min(fiber_id) AS id FROM s GROUP BY 1),
  l AS (SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.id <> y.id WHERE len(list_intersect(x.m, y.m)) >= 0.5 * (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m)))),
  r AS (SELECT id AS node, id AS reach FROM d UNION SELECT node, b FROM r JOIN l ON reach = a), c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1) SELECT fiber_id, c AS merged_into FROM s JOIN d USING (m) JOIN c ON c.node = d.id""")
 C.add("cluster_aliases", lambda t: t.neurons.where(F.length(F.trim("content")) > 1).groupBy(F.lower(F.trim("content")).alias("name")).agg(F.min("id").alias("canonical"), F.count("*").alias("n")).where("n > 1"),

@@ -14,9 +14,9 @@ HUB = "neu-0000000000"
 
 C.add("scan_get_neuron", lambda t: O.by_ids(t.neurons, [HUB]).select("id", "type", "content"), f"{{n}} SELECT id, type, content FROM n WHERE id = '{HUB}'")
 C.add("scan_get_neurons_batch", lambda t: O.by_ids(t.neurons, [HUB, "neu-f2dac9adc6", "missing"]).select("id", "brain_id"), f"{{n}} SELECT id, brain_id FROM n WHERE id IN ('{HUB}', 'neu-f2dac9adc6', 'missing')")
-C.add("scan_find_neurons", lambda t: O.find_neurons(t.neurons, type="concept", contains="budget", since="2025-01-01", until="2026-12-31").select("id", "content"),
+C.add("scan_find_neurons", lambda t: O.unique(O.find_neurons(t.raw("neurons"), type="concept", contains="budget", since="2025-01-01", until="2026-12-31")).select("id", "content"),
       "{n} SELECT id, content FROM n WHERE type = 'concept' AND contains(lower(content), 'budget') AND created_at BETWEEN '2025-01-01' AND '2026-12-31'")
-C.add("scan_match_tokens", lambda t: O.match_tokens(t.neurons, "merge plan").select("id"),
+C.add("scan_match_tokens", lambda t: O.unique(O.match_tokens(t.raw("neurons"), "merge plan")).select("id"),
       "{n} SELECT id FROM n WHERE list_has_all(regexp_extract_all(lower(content), '[a-z0-9]{3,}'), ['merge', 'plan'])")
 C.add("scan_bm25", lambda t: O.bm25(t.neurons, t.spark.createDataFrame([(1, "orphan synapses"), (2, "merge plan budget"), (3, "priming cache")], "query_id int, query string")).select("query_id", "id", "score", "rank"),
       """{n} WITH docs AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]{3,}') AS w FROM n WHERE length(content) >= 25),
@@ -25,18 +25,18 @@ C.add("scan_bm25", lambda t: O.bm25(t.neurons, t.spark.createDataFrame([(1, "orp
  sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 9) AS score FROM tf JOIN df USING (word) JOIN q USING (word) CROSS JOIN s GROUP BY 1, 2)
  SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""")
 C.add("scan_page_after", lambda t: O.page_after(t.neurons, "neu-8", limit=50).select("id"), "{n} SELECT id FROM n WHERE id > 'neu-8' ORDER BY id LIMIT 50")
-C.add("scan_exact_batch", lambda t: O.exact_batch(t.neurons, ["token budget", "hot index", "none such"]), "{n} SELECT content, min(id) AS id FROM n WHERE content IN ('token budget', 'hot index', 'none such') GROUP BY 1")
+C.add("scan_exact_batch", lambda t: O.exact_batch(t.raw("neurons"), ["token budget", "hot index", "none such"]), "{n} SELECT content, min(id) AS id FROM n WHERE content IN ('token budget', 'hot index', 'none such') GROUP BY 1")
 C.add("scan_suggest", lambda t: O.suggest(t.neurons, t.states, "INDEX"),
       "{st} SELECT id, content, round(0.1 * access_frequency + 0.5 * activation_level, 6) AS score FROM n JOIN st ON id = neuron_id WHERE contains(lower(content), 'index') ORDER BY score DESC, id LIMIT 5")
 C.add("scan_states", lambda t: t.states, "{st} SELECT * FROM st")
 C.add("scan_has_hash", lambda t: t.neurons.where(F.col("content_hash") != 0).groupBy("content_hash").agg(F.count("*").alias("copies")).where("copies > 1"),
       "{n} SELECT content_hash, count(*) AS copies FROM n WHERE content_hash <> 0 GROUP BY 1 HAVING count(*) > 1")
-C.add("scan_synapses", lambda t: O.find_synapses(t.synapses, source=HUB, least_weight=0.5).select("id", "target_id", "type", "weight"), f"{{e}} SELECT id, target_id, type, weight FROM e WHERE source_id = '{HUB}' AND weight >= 0.5")
-C.add("scan_adjacency", lambda t: O.adjacency(t.synapses, [HUB, "neu-f2dac9adc6"], "in"), f"{{e}} SELECT target_id AS neuron_id, id AS synapse_id, type, weight FROM e WHERE target_id IN ('{HUB}', 'neu-f2dac9adc6')")
+C.add("scan_synapses", lambda t: O.unique(O.find_synapses(t.raw("synapses"), source=HUB, least_weight=0.5)).select("id", "target_id", "type", "weight"), f"{{e}} SELECT id, target_id, type, weight FROM e WHERE source_id = '{HUB}' AND weight >= 0.5")
+C.add("scan_adjacency", lambda t: O.adjacency(t.raw("synapses"), [HUB, "neu-f2dac9adc6"], "in").distinct(), f"{{e}} SELECT target_id AS neuron_id, id AS synapse_id, type, weight FROM e WHERE target_id IN ('{HUB}', 'neu-f2dac9adc6')")
 C.add("scan_dormant", lambda t: t.states.where("access_frequency = 0").select("neuron_id"), "{st} SELECT neuron_id FROM st WHERE access_frequency = 0")
-C.add("scan_find_fibers", lambda t: O.find_fibers(t.fibers, contains=HUB, window=("2025-03-01", "2025-09-01"), least_salience=0.3).select("id", "salience"),
+C.add("scan_find_fibers", lambda t: O.unique(O.find_fibers(t.raw("fibers"), contains=HUB, window=("2025-03-01", "2025-09-01"), least_salience=0.3)).select("id", "salience"),
       f"{{f}} SELECT id, salience FROM f WHERE list_contains(neuron_ids, '{HUB}') AND time_start <= '2025-09-01' AND time_end >= '2025-03-01' AND salience >= 0.3")
-C.add("scan_find_fibers_tags", lambda t: O.find_fibers(t.fibers, tags=["sync"]).select("id"), "{f} SELECT id FROM f WHERE list_contains(list_concat(coalesce(auto_tags, []), coalesce(agent_tags, [])), 'sync')")
+C.add("scan_find_fibers_tags", lambda t: O.unique(O.find_fibers(t.raw("fibers"), tags=["sync"])).select("id"), "{f} SELECT id FROM f WHERE list_contains(list_concat(coalesce(auto_tags, []), coalesce(agent_tags, [])), 'sync')")
 C.add("scan_fibers_of", lambda t: O.fibers_of(t.fibers, [HUB, "neu-f2dac9adc6"]).select("id", "salience"), f"{{f}} SELECT id, salience FROM f WHERE list_has_any(neuron_ids, ['{HUB}', 'neu-f2dac9adc6']) ORDER BY salience DESC NULLS LAST, id LIMIT 20")
 C.add("scan_recent_fibers", lambda t: t.fibers.orderBy(F.desc("created_at"), "id").limit(10).select("id", "created_at"), "{f} SELECT id, created_at FROM f ORDER BY created_at DESC NULLS LAST, id LIMIT 10")
 _TM = """tm AS (SELECT doc_id, coalesce(memory_type, 'fact') AS memory_type, CASE WHEN memory_type IN ('decision', 'instruction') THEN 8 WHEN memory_type IN ('todo', 'error') THEN 7 ELSE 5 END AS priority,
@@ -50,7 +50,7 @@ C.add("scan_project_memories", lambda t: O.typed_memories(t.documents).where("br
 C.add("scan_projects", lambda t: t.raw("training_configs").select("config_id", "brain_name", "domain_tag").orderBy("config_id"), "SELECT config_id, brain_name, domain_tag FROM training_configs")
 C.add("scan_scope_boost", lambda t: t.documents.where("brain_id = 'brain-atlas'").select("doc_id", F.round(1 + 0.5 * S.clamp(1 - S.days_between(now(), F.col("created_at")) / 365, 0.0, 1.0), 6).alias("boost")),
       f"SELECT doc_id, round(1 + 0.5 * greatest(0.0, least(1.0, 1 - greatest(0.0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 86400e6 / 365)), 6) AS boost FROM documents WHERE brain_id = 'brain-atlas'")
-C.add("scan_fiber_valid_at", lambda t: t.fibers.where(O.valid_at("2025-06-01")).select("id"), "{f} SELECT id FROM f WHERE coalesce(time_start = time_end, false) OR (coalesce(time_start <= '2025-06-01', true) AND coalesce(time_end >= '2025-06-01', true))")
+C.add("scan_fiber_valid_at", lambda t: O.unique(t.raw("fibers").where(O.valid_at("2025-06-01"))).select("id"), "{f} SELECT id FROM f WHERE coalesce(time_start = time_end, false) OR (coalesce(time_start <= '2025-06-01', true) AND coalesce(time_end >= '2025-06-01', true))")
 _place = lambda: {"lat": F.pmod(F.col("s_suppkey") * 37, F.lit(170)) - 85.0, "lon": F.pmod(F.col("s_suppkey") * 91, F.lit(360)) - 180.0}
 C.add("scan_geo_within", lambda t: O.within(t.raw("supplier").withColumns(_place()), 40.0, 10.0, 3_000_000.0).select("s_suppkey"),
       """WITH p AS (SELECT s_suppkey, (s_suppkey * 37) % 170 - 85.0 AS lat, (s_suppkey * 91) % 360 - 180.0 AS lon FROM supplier)
@@ -59,7 +59,7 @@ C.add("scan_geo_within", lambda t: O.within(t.raw("supplier").withColumns(_place
 _Q = [round(((i * 37) % 64 - 31.5) / 32, 6) for i in range(64)]
 _GOOD = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 C.add("vector_knn", lambda t: O.knn(t.neurons, _Q), f"{{n}} SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS similarity FROM n WHERE {_GOOD} ORDER BY similarity DESC, id LIMIT 10")
-C.add("vector_dedup_ladder", lambda t: O.knn(t.neurons.where("type = 'concept'"), _Q, k=50).select("id", F.when(F.col("similarity") >= 0.25, "duplicate").when(F.col("similarity") < 0.2, "distinct").otherwise("undecided").alias("verdict")),
+C.add("vector_dedup_ladder", lambda t: O.knn(O.unique(t.raw("neurons").where("type = 'concept'")), _Q, k=50).select("id", F.when(F.col("similarity") >= 0.25, "duplicate").when(F.col("similarity") < 0.2, "distinct").otherwise("undecided").alias("verdict")),
       f"{{n}} SELECT id, CASE WHEN s >= 0.25 THEN 'duplicate' WHEN s < 0.2 THEN 'distinct' ELSE 'undecided' END AS verdict FROM (SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS s FROM n WHERE type = 'concept' AND {_GOOD} ORDER BY s DESC, id LIMIT 50)")
 C.add("vector_fiber_centroids", lambda t: _fiber_centroids(t), f"""{{fm, n}} WITH v AS (SELECT fiber_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM fm JOIN n ON n.id = neuron_id WHERE {_GOOD}),
  c AS (SELECT fiber_id, i, avg(x) AS x FROM v GROUP BY 1, 2), m AS (SELECT fiber_id, list(x ORDER BY i) AS c FROM c GROUP BY 1)
@@ -86,7 +86,7 @@ C.add("fn_token_estimate", lambda t: t.documents.select("doc_id", S.token_estima
 C.add("fn_char_entropy", lambda t: t.neurons.where(F.length("content") <= 80).select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")),
       """{n} WITH c AS (SELECT id, content, unnest(string_split(content, '')) AS ch FROM n WHERE length(content) BETWEEN 1 AND 80), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
  SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
-C.add("fn_levenshtein", lambda t: t.neurons.where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
+C.add("fn_levenshtein", lambda t: O.unique(t.raw("neurons").where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0)).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
       "{n} SELECT id, levenshtein(lower(content), 'anchor index')::INT AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
 C.add("fn_prefix_variants", lambda t: t.neurons.where(F.length("content").between(5, 20)).select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")),
       "{n} SELECT id, content[1:3] AS p3, content[1:length(content) - 2] AS stem FROM n WHERE length(content) BETWEEN 5 AND 20")
@@ -116,7 +116,7 @@ def _hash_pairs(t):
 
     Four bands of 16 bits, of which one must agree; copies of a hash are one entry.
     """
-    h = t.neurons.where("content_hash <> 0").groupBy(F.col("content_hash").alias("h")).agg(F.min("id").alias("id"))
+    h = t.raw("neurons").where("content_hash <> 0 AND id IS NOT NULL").groupBy(F.col("content_hash").alias("h")).agg(F.min("id").alias("id"))
     bands = h.select("id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])).alias("band", "bits"))
     pair = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") < F.col("y.h")))
     near = pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), S.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))

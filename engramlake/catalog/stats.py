@@ -18,8 +18,8 @@ C.add("stats_edge_types", lambda t: A.edge_type_stats(t.synapses), "{e} SELECT t
 C.add("stats_neuron_types", lambda t: t.neurons.groupBy("type").agg(F.count("*").alias("n")), "{n} SELECT type, count(*) AS n FROM n GROUP BY 1")
 C.add("stats_density", lambda t: t.synapses.groupBy("brain_id").agg(F.count("*").alias("e")).join(t.neurons.groupBy("brain_id").agg(F.count("*").alias("n")), "brain_id").select("brain_id", F.round(F.col("e") / F.col("n"), 6).alias("density")),
       "{n, e} SELECT brain_id, round(a.k / b.k, 6) AS density FROM (SELECT brain_id, count(*) AS k FROM e GROUP BY 1) a JOIN (SELECT brain_id, count(*) AS k FROM n GROUP BY 1) b USING (brain_id)")
-C.add("stats_connected", lambda t: t.synapses.select(F.col("source_id").alias("id")).union(t.synapses.select("target_id")).distinct(), "{e} SELECT source_id AS id FROM e UNION SELECT target_id FROM e")
-C.add("stats_target_counts", lambda t: t.synapses.groupBy("source_id").agg(F.countDistinct("target_id").alias("targets")), "{e} SELECT source_id, count(DISTINCT target_id) AS targets FROM e GROUP BY 1")
+C.add("stats_connected", lambda t: t.raw("synapses").where("id IS NOT NULL").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct(), "{e} SELECT source_id AS id FROM e UNION SELECT target_id FROM e")
+C.add("stats_target_counts", lambda t: t.raw("synapses").where("id IS NOT NULL").groupBy("source_id").agg(F.countDistinct("target_id").alias("targets")), "{e} SELECT source_id, count(DISTINCT target_id) AS targets FROM e GROUP BY 1")
 C.add("stats_activated", lambda t: t.states.agg(F.count_if(F.col("access_frequency") > 0).alias("activated")), "{st} SELECT count(*) FILTER (WHERE access_frequency > 0) AS activated FROM st")
 C.add("stats_top_states", lambda t: t.states.orderBy(F.desc("access_frequency"), "neuron_id").limit(10).select("neuron_id", "access_frequency"), "{st} SELECT neuron_id, access_frequency FROM st ORDER BY access_frequency DESC, neuron_id LIMIT 10")
 C.add("stats_fiber_health", lambda t: t.fibers.groupBy("brain_id").agg(F.count("*").alias("fibers"), F.count_if(age() > 90).alias("stale"), F.count_if(F.coalesce("last_conducted", "created_at") >= F.lit("2025-12-01").cast("timestamp_ntz")).alias("fresh"), F.count_if("pinned").alias("pinned")),
@@ -43,7 +43,7 @@ def _df(t):
 
 C.add("stats_tag_cooccurrence", lambda t: A.tag_cooccurrence(fiber_tags(t.fibers)), "{ft} SELECT x.tag AS a, y.tag AS b, count(*) AS n FROM ft x JOIN ft y ON x.fiber_id = y.fiber_id AND x.tag < y.tag GROUP BY 1, 2 HAVING count(*) >= 2")
 C.add("stats_tag_counts", lambda t: fiber_tags(t.fibers).groupBy("tag").agg(F.count("*").alias("fibers")), "{ft} SELECT tag, count(*) AS fibers FROM ft GROUP BY 1")
-C.add("stats_orphans", lambda t: A.orphans(t.neurons, t.synapses, members(t.fibers)).select("id"),
+C.add("stats_orphans", lambda t: A.orphans(t.neurons, t.raw("synapses"), members(t.raw("fibers"))).select("id"),
       "{n, e, fm} SELECT id FROM n WHERE id NOT IN (SELECT source_id FROM e WHERE source_id IS NOT NULL UNION SELECT target_id FROM e WHERE target_id IS NOT NULL UNION SELECT neuron_id FROM fm)")
 C.add("stats_health", lambda t: A.health(t.neurons, t.synapses, members(t.fibers), t.fibers, t.states, now=NOW), f"""{{st, fm}} WITH a AS (SELECT brain_id, count(*) AS n FROM n GROUP BY 1), b AS (SELECT brain_id, count(*) AS e, avg(weight) AS w FROM e GROUP BY 1),
  k AS (SELECT brain_id, type, count(*) AS k FROM e GROUP BY 1, 2), d AS (SELECT brain_id, -sum(k / b.e * ln(k / b.e)) / ln(8) AS d FROM k JOIN b USING (brain_id) GROUP BY 1),
