@@ -22,8 +22,11 @@ _KEYS = _first_distinct(f"list_filter({_WORDS}, lambda w: NOT list_contains({_ST
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in T.TYPES) + " ELSE 'fact' END"
 _m = lambda p: f"regexp_matches(lower(text), '{p}')"
 
+_FOUND = f"regexp_extract_all(text, '{T.ENTITY}', 1)"
+_ENTS = f"list_filter({_FOUND}, lambda w, i: list_position({_FOUND}, w) = i)"
+
 C.add("text_keywords", lambda t: t.documents.select("doc_id", T.keywords(X()).alias("keywords")), f"SELECT doc_id, {_KEYS} AS keywords FROM documents")
-C.add("text_entities", lambda t: t.documents.select("doc_id", T.entities(X()).alias("entities")))
+C.add("text_entities", lambda t: t.documents.select("doc_id", T.entities(X()).alias("entities")), f"SELECT doc_id, {_ENTS} AS entities FROM documents")
 C.add("text_memory_type", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", T.memory_type(X()).alias("suggested")), f"SELECT doc_id, {_TYPE} AS suggested FROM documents WHERE text IS NOT NULL")
 C.add("text_structure", lambda t: t.raw("training_files").dropDuplicates(["file_id"]).select("file_id", T.structure(F.col("body")).alias("structure")))
 C.add("text_importance", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", T.importance(X()).alias("importance")),
@@ -46,10 +49,14 @@ C.add("text_sentences", lambda t: t.documents.where("text IS NOT NULL").select("
 _prep = lambda t: P.prepare(t.documents)
 _TXT = "d AS (SELECT doc_id, text, created_at FROM documents WHERE text IS NOT NULL AND trim(text) <> '')"
 C.add("encode_concepts", lambda t: P.concept_nodes(_prep(t)), f"WITH {_TXT} SELECT sha256('concept:' || content) AS id, content, count(*) AS mentions FROM (SELECT unnest({_KEYS}) AS content FROM d) GROUP BY content")
-C.add("encode_entities", lambda t: P.entity_nodes(_prep(t)))
+C.add("encode_entities", lambda t: P.entity_nodes(_prep(t)),
+      f"WITH {_TXT}, x AS (SELECT unnest({_ENTS}) AS e FROM d) SELECT regexp_replace(lower(e), '[-_ ]+', ' ', 'g') AS name, count(*) AS mentions, min(e) AS content FROM x GROUP BY 1 HAVING count(*) >= 2")
 C.add("encode_anchor_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'related_to'"), f"WITH {_TXT} SELECT doc_id, k AS target, 'related_to' AS type, round(least(0.8, 0.4 + 0.3 * (1 - 0.05 * (pos - 1))), 6)::DOUBLE AS weight FROM (SELECT doc_id, unnest({_KEYS}) AS k, generate_subscripts({_KEYS}, 1) AS pos FROM d)")
-C.add("encode_entity_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'involves'"))
-C.add("encode_entity_pairs", lambda t: P.entity_pairs(_prep(t)))
+C.add("encode_entity_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'involves'"),
+      f"WITH {_TXT}, x AS (SELECT doc_id, text, unnest({_ENTS}) AS e FROM d) SELECT doc_id, lower(e) AS target, 'involves' AS type, round(least(0.95, 0.7 + 0.05 * ((length(text) - length(replace(text, e, ''))) // length(e))), 6)::DOUBLE AS weight FROM x")
+C.add("encode_entity_pairs", lambda t: P.entity_pairs(_prep(t)),
+      f"WITH {_TXT}, x AS (SELECT DISTINCT doc_id, lower(unnest({_ENTS})) AS e FROM d) SELECT p.e AS a, q.e AS b, count(*) AS n FROM x p JOIN x q ON p.doc_id = q.doc_id AND p.e < q.e GROUP BY 1, 2")
 C.add("encode_relations", lambda t: P.relation_edges(_prep(t)))
 C.add("encode_times", lambda t: P.time_edges(_prep(t)), f"WITH {_TXT} SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS target, 'happened_at' AS type, 0.9::DOUBLE AS weight FROM d WHERE created_at IS NOT NULL")
-C.add("encode_fibers", lambda t: P.fiber_rows(_prep(t)).select("doc_id", "members", "salience"))
+C.add("encode_fibers", lambda t: P.fiber_rows(_prep(t)).select("doc_id", "members", "salience"),
+      f"WITH {_TXT}, x AS (SELECT doc_id, len({_KEYS}) + len({_ENTS}) AS k FROM d) SELECT doc_id, (k + 1)::INT AS members, round(least(1.0, CASE WHEN k > 0 THEN k / ((k + 1) * k / 2) ELSE 0.0 END + 0.3), 6)::DOUBLE AS salience FROM x")

@@ -22,7 +22,8 @@ C.add("memory_depth", lambda t: _docs(t).select("doc_id", M.hops(M.depth(X())).a
       rf"SELECT doc_id, map {{0: 1, 1: 3, 2: 4, 3: 4}}[CASE WHEN k = 'causal' THEN 3 WHEN regexp_matches(text, '(?i)\b(usually|always|habit|pattern)\b') THEN 2 WHEN k IN ('temporal', 'comparison') THEN 1 WHEN len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '')) > 12 THEN 1 ELSE 0 END] AS hops FROM (SELECT doc_id, text, {_ROUTE} AS k FROM documents WHERE text IS NOT NULL)")
 C.add("memory_sentiment", lambda t: _docs(t).select("doc_id", F.round(M.sentiment(X()), 6).alias("valence")),
       f"SELECT doc_id, round(CASE WHEN p + n = 0 THEN 0.0 ELSE (p - n) / (p + n) END, 6)::DOUBLE AS valence FROM (SELECT doc_id, len(list_filter({_W}, lambda x: list_contains({_in(M.POSITIVE)}, x))) AS p, len(list_filter({_W}, lambda x: list_contains({_in(M.NEGATIVE)}, x))) AS n FROM documents WHERE text IS NOT NULL)")
-C.add("memory_expand_terms", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.size(M.expand_terms(F.split(F.lower("content"), " "))).alias("n")))
+C.add("memory_expand_terms", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.size(M.expand_terms(F.split(F.lower("content"), " "))).alias("n")),
+      "{n} SELECT id, len(list_distinct(list_concat(w, list_filter(list_transform(w, lambda x: map {" + ", ".join(f"'{k}': '{v}'" for k, v in M.SYNONYMS.items()) + "}[x]), lambda x: x IS NOT NULL))))::INT AS n FROM (SELECT id, string_split(lower(content), ' ') AS w FROM n WHERE content IS NOT NULL)")
 C.add("memory_time_range", lambda t: _docs(t).where("created_at IS NOT NULL").select("doc_id", M.time_range(X(), F.col("created_at")).alias("r")).where("r IS NOT NULL").select("doc_id", "r.start", "r.end"),
       r"""WITH d AS (SELECT doc_id, date_trunc('day', created_at)::TIMESTAMP AS d, CASE WHEN regexp_matches(lower(text), '\byesterday\b') THEN [-1, 0] WHEN regexp_matches(lower(text), '\btoday\b') THEN [0, 1] WHEN regexp_matches(lower(text), '\btomorrow\b') THEN [1, 2] WHEN regexp_matches(lower(text), '\blast week\b') THEN [-7, 0] WHEN regexp_matches(lower(text), '\bnext week\b') THEN [7, 14] WHEN regexp_matches(lower(text), '\bthird week\b') THEN [-21, 0] END AS r FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL)
  SELECT doc_id, d + to_days(r[1]) AS start, d + to_days(r[2]) AS "end" FROM d WHERE r IS NOT NULL""")

@@ -51,9 +51,13 @@ def keywords(text: Column, k: int = 10) -> Column:
     return F.slice(F.array_distinct(kept), 1, k)
 
 
+#: Capitalised words after a word or a comma, so not those that open a sentence.
+ENTITY = r"[a-z,;)] ([A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})*)"
+
+
 def entities(text: Column) -> Column:
     """Distinct capitalised words that do not open the text or a sentence."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![.!?:] )(?<!^)(?<!\n)\b([A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})*)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
 
 
 def memory_type(text: Column) -> Column:
