@@ -24,7 +24,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 #: Sentences of the labelled table the model is fitted from, and rounds of fitting.
-ROWS, ROUNDS = 4500, 60
+ROWS, ROUNDS = 5000, 60
 _REACH = 2  # words to either side
 _MEMO = 150_000
 _PADDED = 100_000  # words of a decoded batch with its padding

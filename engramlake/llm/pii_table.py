@@ -91,6 +91,16 @@ Support: {E} / {P}
 チケットに {I} が貼られた。
 {N} さんの電話は {P} です。
 設備寄到 {A} 。
+{C}の障害時は{P}へ。
+值班电话 {P} 。
+{N} 要求回滚{C}。
+{C}の連絡先：{E}
+Old office: {A}
+Old office: {A}
+Parcel for {N}, {A}.
+Zu {C} wurde {I} notiert.
+Contact {E} or {P}
+{N} → {P}
 表格里还留着 {I} 。
 Адрес: {A}
 В форме осталось {I}.
@@ -334,7 +344,7 @@ def _address(r: random.Random) -> str:
 _SLOT = {"N": ("name", _name), "E": ("email", _email), "P": ("phone", _phone), "I": ("id_number", _number), "A": ("address", _address)}
 
 
-def labelled_table(rows: int = 4500, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(rows: int = 5000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``rows`` texts of one to three sentences with their spans ``(start, end, kind)``."""
     r = random.Random(seed)
     positive, negative = WITH.strip().split("\n"), WITHOUT.strip().split("\n")
