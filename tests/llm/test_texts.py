@@ -71,6 +71,14 @@ def test_classes_keep_copies_together(spark):
     assert {tuple(sorted((r.class_a, r.class_b))) for r in links.collect()} == {("a", "c")}
 
 
+def test_large_classes_of_copies_are_stars(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+    t = "a text that is long enough to take part in the join of all the texts here"
+    rows = [(f"c{i}", t, "", 1) for i in range(6)] + [("d0", t + " x", "", 1), ("d1", t + " x", "", 1)]
+    want = {("c0", f"c{i}") for i in range(1, 6)} | {("d0", "d1"), ("c0", "d0"), ("c0", "d1")}
+    assert found(spark, rows) == want
+
+
 VOCABULARY = encode.DEFAULT_VOCABULARY
 TEXTS = ["", " ", "Hello world's   end\n\n x", "naïve café ☕ 記憶のグラフ", "a" * 5000, "abab" * 3000, "<|endoftext|>", "\t\x1c　x 1234567", "don't 'RE we'll", "𝒳𝒴 é ​"]
 
