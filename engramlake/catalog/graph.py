@@ -46,6 +46,12 @@ C.add("graph_trail", lambda t: G.trail(t.fibers, [HUB, TWO], now=NOW),
  FROM f WHERE list_has_any(pathway, ['{HUB}', '{TWO}'])), p AS (SELECT id, f, unnest(pathway) AS node, generate_subscripts(pathway, 1) AS pos FROM s),
  g AS (SELECT p.node, pow(p.f, min(abs(p.pos - q.pos))) AS level FROM p JOIN p q ON p.id = q.id AND q.node IN ('{HUB}', '{TWO}') GROUP BY p.id, p.pos, p.node, p.f)
  SELECT node, round(max(level), 9) AS level FROM g WHERE level >= 0.2 AND node IS NOT NULL GROUP BY 1""")
+_TRAIL = f"""s AS (SELECT id, pathway, 0.9 * coalesce(conductivity, 1.0) * CASE WHEN last_conducted IS NULL THEN 0.3 + 0.4 * coalesce(salience, 0.0) ELSE greatest(0.1, 1 / (1 + exp(-((72 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_conducted)) / 3600e6) / 36)))) END AS f
+ FROM f WHERE list_has_any(pathway, ['{HUB}', '{TWO}'])), p AS (SELECT id, f, unnest(pathway) AS node, generate_subscripts(pathway, 1) AS pos FROM s),
+ g AS (SELECT p.node, pow(p.f, min(abs(p.pos - q.pos))) AS level FROM p JOIN p q ON p.id = q.id AND q.node IN ('{HUB}', '{TWO}') GROUP BY p.id, p.pos, p.node, p.f), tl AS (SELECT node, round(max(level), 9) AS level FROM g WHERE level >= 0.2 AND node IS NOT NULL GROUP BY 1)"""
+C.add("graph_hybrid", lambda t: G.hybrid(G.trail(t.fibers, [HUB, TWO], now=NOW), _spread(t)),
+      _SPREAD.replace("{e}", "{e, f}") + f", {_TRAIL} SELECT coalesce(tl.node, o.node) AS node, round(greatest(coalesce(level, 0), coalesce(other, 0)), 9) AS level FROM tl FULL JOIN (SELECT node, max(level) * 0.6 AS other FROM best GROUP BY 1) o ON tl.node = o.node")
+C.add("graph_spread_diminishing", lambda t: G.spread(G.directed(t.raw("synapses")), _anchors(t), threshold=0.02, diminishing=True).select("query_id", "node", F.round("level", 9).alias("level")))
 C.add("graph_expand", lambda t: G.expand_seeds(t.raw("synapses"), t.neurons, [HUB, TWO]),
       f"{{e, n}} SELECT target_id, max(weight) AS weight FROM e WHERE source_id IN ('{HUB}', '{TWO}') AND weight >= 0.3 AND target_id NOT IN ('{HUB}', '{TWO}') AND target_id IN (SELECT id FROM n WHERE type <> 'time') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 C.add("graph_causal_chain", lambda t: G.chain(t.raw("synapses"), HUB, ["leads_to", "caused_by", "related_to"], max_depth=3).select("node", "depth"),

@@ -62,12 +62,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_hops: int = 4) ->
     return hit.select("source", F.col("node").alias("target"), (F.size("path") - 1).alias("hops"), "path")
 
 
-def spread(edges: DataFrame, anchors: DataFrame, *, decay: float = 0.5, threshold: float = 0.2, max_hops: int = 4, least_weight: float = 0.1) -> DataFrame:
+def spread(edges: DataFrame, anchors: DataFrame, *, decay: float = 0.5, threshold: float = 0.2, max_hops: int = 4, least_weight: float = 0.1, diminishing: bool = False) -> DataFrame:
     """Spreading activation, ``(query_id, node, level, hop)``: the best level over all walks.
 
     ``anchors(query_id, node, level)``.  A step multiplies by ``decay`` and the edge's
     weight; levels below the threshold end a walk.  Only labels better than those with
-    fewer hops go on.  An unknown anchor activates itself alone.
+    fewer hops go on.  An unknown anchor activates itself alone.  With ``diminishing`` a
+    query ends after its first hop once a hop reaches fewer than 2 nodes or less than 0.15
+    of the hop before.
     """
     links = cut(edges.where(F.col("weight") >= least_weight).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     best = cut(anchors.groupBy("query_id", "node").agg(F.max("level").alias("level")).withColumn("hop", F.lit(0)))
@@ -79,7 +81,17 @@ def spread(edges: DataFrame, anchors: DataFrame, *, decay: float = 0.5, threshol
         frontier = cut(step.join(old, ["query_id", "node"], "left").where("known IS NULL OR level > known").drop("known"))
         if frontier.isEmpty():
             break
+        if diminishing:
+            reached = frontier.groupBy("query_id").agg(F.count("*").alias("now"))
+            if hop > 1:
+                go = reached.join(before, "query_id").where("now >= 2 AND now >= 0.15 * before").select("query_id")
+                ahead = frontier.join(go, "query_id", "left_semi")
+            else:
+                ahead = frontier
+            before = cut(reached.withColumnRenamed("now", "before"))
         both = best.unionByName(frontier)
+        if diminishing:
+            frontier = cut(ahead)
         best = cut(both.groupBy("query_id", "node").agg(F.max(F.struct("level", -F.col("hop"))).alias("_b")).select("query_id", "node", "_b.level", (-F.col("_b.col2")).alias("hop")))
     return best
 
@@ -142,6 +154,13 @@ def trail(fibers: DataFrame, anchors: Sequence[str], *, now, decay: float = 0.1,
     return nodes.select("node", F.pow("f", gap).alias("level")).where(f"level >= {threshold} AND node IS NOT NULL").groupBy("node").agg(F.round(F.max("level"), 9).alias("level"))
 
 
+def hybrid(primary: DataFrame, secondary: DataFrame, *, damp: float = 0.6) -> DataFrame:
+    """``(node, level)``: levels along pathways, gaps and lower levels filled by damped spreading."""
+    second = secondary.groupBy("node").agg((F.max("level") * damp).alias("other"))
+    both = primary.select("node", "level").join(second, "node", "full")
+    return both.select("node", F.round(F.greatest(F.coalesce("level", F.lit(0.0)), F.coalesce("other", F.lit(0.0))), 9).alias("level"))
+
+
 def expand_seeds(synapses: DataFrame, neurons: DataFrame, seeds: Sequence[str], *, k: int = 10, least_weight: float = 0.3) -> DataFrame:
     """Best outgoing neighbours of the seeds that are not of type time and no seeds themselves."""
     out = synapses.where(F.col("source_id").isin(list(seeds)) & (F.col("weight") >= least_weight) & ~F.col("target_id").isin(list(seeds)))

@@ -49,6 +49,14 @@ def test_spread_decays_and_respects_threshold(spark):
     assert got == {(1, "a"): (1.0, 0), (1, "b"): (0.5, 1), (1, "c"): (0.225, 2), (2, "unknown"): (0.7, 0)}
 
 
+def test_spread_ends_when_little_is_new(spark):
+    e = graph.directed(edges(spark, [("a", f"b{i}", "r", 1.0) for i in range(4)] + [("b0", "c", "r", 1.0), ("c", "d", "r", 1.0)]), both=False)
+    start = spark.createDataFrame([(1, "a", 1.0)], "query_id int, node string, level double")
+    far = lambda **o: {r.node for r in graph.spread(e, start, threshold=0.01, **o).collect()}
+    assert far() == {"a", "b0", "b1", "b2", "b3", "c", "d"}
+    assert far(diminishing=True) == {"a", "b0", "b1", "b2", "b3", "c"}
+
+
 def test_shortest_paths(spark):
     e = graph.directed(edges(spark, [("a", "b", "r", 1), ("b", "c", "r", 1), ("a", "d", "r", 1), ("d", "c", "r", 1), ("z", "z", "r", 1)]), both=False)
     pairs = spark.createDataFrame([("a", "c"), ("a", "z"), ("a", "a")], "source string, target string")
