@@ -116,8 +116,8 @@ def tags_of(fibers: DataFrame) -> Column:
 
 
 def overlaps(start, end) -> Column:
-    """Closed interval overlap; a null bound overlaps nothing."""
-    return F.coalesce((F.col("time_start") <= F.lit(end).cast("timestamp_ntz")) & (F.col("time_end") >= F.lit(start).cast("timestamp_ntz")), F.lit(False))
+    """Closed interval overlap as a filter that reaches the scan; a null bound overlaps nothing."""
+    return (F.col("time_start") <= F.lit(end).cast("timestamp_ntz")) & (F.col("time_end") >= F.lit(start).cast("timestamp_ntz"))
 
 
 def valid_at(moment) -> Column:
