@@ -151,6 +151,12 @@ def hypothesis_update(confidence: Column, evidence: Column, weight: Column, sign
     return clamp(confidence + sign * weight * surprise * 0.3 / (1 + 0.1 * evidence), 0.01, 0.99)
 
 
+def hypothesis_map(evidence: Column, weight: Column, sign: Column) -> Column:
+    """``hypothesis_update`` as a map of the confidence: ``clamp(a x + b, lo, hi)``."""
+    k = weight * 0.3 / (1 + 0.1 * evidence)
+    return F.struct((1 - k).alias("a"), F.when(sign > 0, k).otherwise(0.0).alias("b"), F.lit(0.01).alias("lo"), F.lit(0.99).alias("hi"))
+
+
 def prediction_score(days_left: Column) -> Column:
     return F.when(days_left < 0, 10.0).otherwise(10 / (1 + days_left / 3))
 

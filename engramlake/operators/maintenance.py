@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import scalar as S
 from engramlake.operators.graph import directed, spread
 from engramlake.operators.scans import top
+from engramlake.runtime import cut
 
 
 def _now(now) -> Column:
@@ -127,9 +128,41 @@ def supersede(memories: DataFrame) -> DataFrame:
     return both.select("doc_id", "valid_from", F.col("n.t").alias("valid_until"), F.col("n.d").alias("superseded_by"))
 
 
+#: Maps of the confidence that one step of a fold composes.
+FOLD = 4096
+
+
+def _composed(maps: Column) -> Column:
+    """The maps ``x -> clamp(a x + b, lo, hi)`` in an array of ``m``, applied in order, as one such map."""
+    nothing = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def then(s: Column, x: Column) -> Column:
+        m = x["m"]
+        end = lambda v: F.greatest(m["lo"], F.least(m["hi"], m["a"] * v + m["b"]))
+        return F.struct((s["a"] * m["a"]).alias("a"), (m["a"] * s["b"] + m["b"]).alias("b"), end(s["lo"]).alias("lo"), end(s["hi"]).alias("hi"))
+
+    return F.aggregate(maps, nothing, then)
+
+
 def belief_updates(events: DataFrame) -> DataFrame:
-    """Confidence after a claim's evidence in order of time: a fold over the last 200 pieces."""
-    order = F.array_sort(F.collect_list(F.struct("event_id", "sign")))
-    fold = F.aggregate(order, F.struct(F.lit(0.5).alias("c"), F.lit(0).alias("n")), lambda s, x: F.struct(S.hypothesis_update(s["c"], s["n"], F.lit(1.0), x["sign"]).alias("c"), (s["n"] + 1).alias("n")))
-    last = top(events, ["claim"], [F.desc("event_id")], 200)
-    return last.groupBy("claim").agg(fold.alias("s")).select("claim", F.round("s.c", 6).alias("confidence"), F.col("s.n").alias("evidence"))
+    """Confidence after all of a claim's evidence in order of time.
+
+    A piece maps the confidence ``x`` to ``clamp(a x + b)`` with ``a > 0``, and such maps
+    compose to one of their form.  Pieces are numbered by ranges of their order and then
+    composed ``FOLD`` at a time, so no step gathers the pieces of a claim.
+    """
+    order = ["event_id", "sign"]
+    rows = cut(events.select("claim", *order).repartitionByRange("claim", *order).withColumn("block", F.spark_partition_id()))
+    counts = rows.groupBy("claim", "block").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("claim").orderBy("block")) - F.col("k")
+    starts = counts.select("claim", "block", before.alias("start"))
+    inside = rows.withColumn("r", F.row_number().over(Window.partitionBy("claim", "block").orderBy(*order)) - 1)
+    same = F.col("i.claim").eqNullSafe(F.col("s.claim")) & (F.col("i.block") == F.col("s.block"))
+    placed = inside.alias("i").join(starts.alias("s"), same).select("i.claim", "i.sign", (F.col("start") + F.col("r")).alias("n"))
+    maps = placed.select("claim", "n", F.lit(1).cast("bigint").alias("k"), S.hypothesis_map(F.col("n"), F.lit(1.0), F.col("sign")).alias("m"))
+    for _ in range(2):
+        block = F.floor(F.col("n") / FOLD)
+        maps = maps.groupBy("claim", block.alias("n")).agg(F.sum("k").alias("k"), _composed(F.array_sort(F.collect_list(F.struct("n", "m")))).alias("m"))
+    last = maps.groupBy("claim").agg(F.sum("k").alias("k"), _composed(F.array_sort(F.collect_list(F.struct("n", "m")))).alias("m"))
+    confidence = F.greatest(F.col("m.lo"), F.least(F.col("m.hi"), F.col("m.a") * 0.5 + F.col("m.b")))
+    return last.select("claim", F.round(confidence, 6).alias("confidence"), F.col("k").alias("evidence"))
\ No newline at end of file

@@ -158,6 +158,21 @@ def test_supersede_over_days(spark):
     assert [(r.doc_id, r.superseded_by) for r in maintenance.supersede(rows).orderBy("doc_id").collect()] == [(0, 1), (1, 2), (2, None)]
 
 
+def test_belief_updates_fold_all_evidence(spark):
+    r = random.Random(3)
+    claims = {"long": [r.choice((1, -1)) for _ in range(5000)], "held": [1] * 300 + [-1] * 60, "denied": [-1] * 250, "one": [-1], None: [1, 1, -1]}
+    rows = [(c, i, s) for c, signs in claims.items() for i, s in enumerate(signs)]
+    r.shuffle(rows)
+    want = {}
+    for c, signs in claims.items():
+        x = 0.5
+        for n, s in enumerate(signs):
+            x = max(0.01, min(0.99, x + s * 0.3 * (1 - x if s > 0 else x) / (1 + 0.1 * n)))
+        want[c] = (round(x, 5), len(signs))
+    got = {x.claim: (round(x.confidence, 5), x.evidence) for x in maintenance.belief_updates(spark.createDataFrame(rows, "claim string, event_id bigint, sign int")).collect()}
+    assert got == want
+
+
 def test_normalise_and_weights(spark):
     e = edges(spark, [("a", str(i), "r", 1.0) for i in range(10)])
     assert {r.weight for r in maintenance.normalise_outgoing(e).collect()} == {0.5}
