@@ -36,15 +36,14 @@ C.add("rank_levels", lambda t: R.to_levels(R.fuse(_ranked(t))),
       f"{{st}} WITH {_RANKED} SELECT query_id, neuron_id, round(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE 0.1 + 0.9 * (score - lo) / (hi - lo) END, 9) AS level FROM fu JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM fu GROUP BY 1) USING (query_id)")
 
 # activations: every brain is a query, its neurons' levels, their type the source
-# The active set of a query is bounded, as it is in a recall: the most active nodes, ties by id.
+# The SQL looks at the most active nodes of a brain only; the queries look at all.
 ACTIVE = 10_000
 _ACT = f"ac AS (SELECT brain_id AS query_id, id AS node, activation_level AS level, type AS source FROM n JOIN st ON st.neuron_id = n.id WHERE activation_level >= 0.2 QUALIFY row_number() OVER (PARTITION BY brain_id ORDER BY activation_level DESC, id) <= {ACTIVE})"
 
 
 def _active(t):
     rows = t.neurons.select("brain_id", "id", "type").join(t.states.where("activation_level >= 0.2"), F.col("id") == F.col("neuron_id"))
-    rows = rows.select(F.col("brain_id").alias("query_id"), F.col("id").alias("node"), F.col("activation_level").alias("level"), F.col("type").alias("source"))
-    return O.top(rows, ["query_id"], [F.desc("level"), "node"], ACTIVE).drop("rank")
+    return rows.select(F.col("brain_id").alias("query_id"), F.col("id").alias("node"), F.col("activation_level").alias("level"), F.col("type").alias("source"))
 
 
 C.add("rank_lateral_inhibition", lambda t: R.inhibit(_active(t)), f"""{{st}} WITH {_ACT}, c AS (SELECT query_id, count(DISTINCT source) AS k FROM ac GROUP BY 1),
@@ -88,8 +87,7 @@ _COST = f"cs AS (SELECT brain_id, id AS fiber_id, greatest(10, floor({_WORDS} *
 
 
 def _costs(t):
-    costs = R.token_costs(t.fibers).join(t.fibers.select(F.col("id").alias("fiber_id"), "brain_id"), "fiber_id")
-    return O.top(costs, ["brain_id"], [(-F.col("value") / F.col("cost")).asc(), "fiber_id"], ACTIVE).drop("rank")
+    return R.token_costs(t.fibers).join(t.fibers.select(F.col("id").alias("fiber_id"), "brain_id"), "fiber_id")
 
 
 C.add("budget_token_costs", lambda t: R.token_costs(t.fibers), f"{{f}} WITH {_COST} SELECT fiber_id, cost, value FROM cs")
@@ -104,8 +102,7 @@ C.add("budget_keep_first", lambda t: R.keep_first_near(_scored(t), group="brain_
 
 
 def _scored(t):
-    rows = t.neurons.select("brain_id", "id", F.coalesce("metadata.priority", F.lit(0)).alias("score"), F.col("content_hash").alias("hash"))
-    return O.top(rows, ["brain_id"], [F.desc("score"), "id"], ACTIVE).drop("rank")
+    return t.neurons.select("brain_id", "id", F.coalesce("metadata.priority", F.lit(0)).alias("score"), F.col("content_hash").alias("hash"))
 
 
 C.add("budget_fidelity", lambda t: t.fibers.select("id", S.fidelity_level(_fid()).alias("level")),

@@ -1,8 +1,8 @@
 """Fusion, ranking, sufficiency and token budgets.
 
-Everything works on rows tagged with a ``query_id``, so one job ranks many queries.  Folds
-over ordered rows (greedy budgets, keep-first deduplication) run on the rows of one query,
-which are bounded by the retriever's top-k.
+Everything works on rows tagged with a ``query_id``, so one job ranks many queries.  A query
+may have any number of rows: folds over ordered rows (greedy budgets, keep-first
+deduplication) run on the few rows that can matter, or block by block.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import scalar as S
+from engramlake.operators.scans import top
+from engramlake.runtime import cut
 
 #: Weight of each retriever in the fusion. Fixed values.
 RETRIEVERS = {"time": 1.0, "entity": 0.9, "keyword": 0.7, "embedding": 1.0, "graph": 0.5, "fuzzy": 0.4}
@@ -38,35 +40,43 @@ def inhibit(activations: DataFrame, *, k: int = 10, damp: float = 0.3, threshold
 
     ``activations(query_id, node, level, source)``.
     """
+    activations = activations.where("query_id IS NOT NULL")
     sources = activations.groupBy("query_id").agg(F.countDistinct("source").alias("n"))
-    by_source = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("level"), "node"))
-    ranked = activations.join(sources, "query_id").withColumn("r", by_source).withColumn("first", F.col("r") <= F.ceil(F.lit(k) / F.col("n")))
-    fill = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("first"), F.desc("level"), "node"))
-    level = F.when(fill <= k, F.col("level")).otherwise(F.col("level") * damp)
-    return ranked.select("query_id", "node", F.round(level, 9).alias("level"), "source").where(F.col("level") >= threshold)
+    # every winner is among the first k of its source
+    best = top(activations, ["query_id", "source"], [F.desc("level"), "node"], k).withColumnRenamed("rank", "r")
+    ranked = best.join(sources, "query_id").withColumn("first", F.col("r") <= F.ceil(F.lit(k) / F.col("n")))
+    winners = top(ranked, ["query_id"], [F.desc("first"), F.desc("level"), "node"], k).select("query_id", "node", "source")
+    same = (F.col("a.query_id") == F.col("w.query_id")) & (F.col("a.node") == F.col("w.node")) & F.col("a.source").eqNullSafe(F.col("w.source"))
+    level = F.when(F.col("w.node").isNotNull(), F.col("a.level")).otherwise(F.col("a.level") * damp)
+    placed = activations.alias("a").join(winners.alias("w"), same, "left")
+    return placed.select("a.query_id", "a.node", F.round(level, 9).alias("level"), "a.source").where(F.col("level") >= threshold)
 
 
 def stabilise(activations: DataFrame, *, rounds: int = 10) -> DataFrame:
-    """Noise floor, damping and homeostatic scaling of each query's levels until they settle."""
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame["level"].to_numpy(float).copy()
-        for _ in range(rounds):
-            before = x.copy()
-            x[x < 0.05] = 0
-            x = x * 0.85
-            live = x[x > 0]
-            if not len(live):
-                break
-            scale = min(3.0, 1 + 0.3 * (0.5 / live.mean() - 1))
-            x = (x * scale).clip(0, 1)
-            if abs(x - before).max() < 0.01:
-                break
-        out = frame[["query_id", "node"]].assign(level=x.round(9))
-        return out[out["level"] > 0]
-
-    kinds = dict(activations.dtypes)
-    return activations.select("query_id", "node", "level").groupBy("query_id").applyInPandas(settle, f"query_id {kinds['query_id']}, node string, level double")
+    """Noise floor, damping and homeostatic scaling of each query's levels until they settle.
+
+    A round is one factor for a whole query, so the state is a list of factors; each round
+    is an aggregate over the distinct levels.
+    """
+    step = lambda x, scale: F.when(x < 0.05, 0.0).otherwise(F.least(F.lit(1.0), x * 0.85 * scale))
+    settled = lambda scales: F.aggregate(scales, F.col("level"), step)
+    grid = cut(activations.groupBy("query_id", F.col("level").cast("double").alias("level")).agg(F.count("*").alias("k")))
+    state = grid.select("query_id").distinct().select("query_id", F.array().cast("array<double>").alias("scales"), F.lit(False).alias("done"))
+    same = F.col("g.query_id").eqNullSafe(F.col("s.query_id"))
+    for n in range(rounds):
+        now = grid.alias("g").join(state.where("NOT done").alias("s"), same).select("g.query_id", "level", "k", "scales")
+        now = now.withColumn("x", settled(F.col("scales")))
+        moved = F.abs(F.col("x") - settled(F.slice("scales", 1, n - 1))) if n > 1 else F.abs(F.col("x") - F.col("level")) if n else F.lit(1.0)
+        live = F.when(F.col("x") >= 0.05, F.col("k"))
+        sums = now.groupBy("query_id", "scales").agg(F.max(moved).alias("moved"), F.sum(live).alias("live"), F.sum(live * F.col("x") * 0.85).alias("mass"))
+        scale = F.when(F.col("live").isNull(), 1.0).otherwise(F.least(F.lit(3.0), 1 + 0.3 * (0.5 * F.col("live") / F.col("mass") - 1)))
+        still = F.col("moved") < 0.01
+        new = sums.select("query_id", F.when(still, F.col("scales")).otherwise(F.concat("scales", F.array(scale))).alias("scales"), (still | F.col("live").isNull()).alias("done"))
+        state = cut(state.where("done").unionByName(new))
+        if state.where("NOT done").isEmpty():
+            break
+    rows = activations.select("query_id", "node", F.col("level").cast("double").alias("level")).alias("g").join(state.alias("s"), same)
+    return rows.select("g.query_id", "node", F.round(settled(F.col("scales")), 9).alias("level")).where("level > 0")
 
 
 def deprioritise(activations: DataFrame, neurons: DataFrame, *, threshold: float = 0.05) -> DataFrame:
@@ -78,12 +88,11 @@ def deprioritise(activations: DataFrame, neurons: DataFrame, *, threshold: float
 
 def sufficiency(activations: DataFrame) -> DataFrame:
     """One row a query: size, entropy in bits, share of the top three, confidence, verdict."""
-    total = activations.groupBy("query_id").agg(F.sum("level").alias("mass"), F.max("level").alias("top"), F.count("*").alias("nodes"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("level"), "node"))
-    p = F.col("level") / F.col("mass")
-    out = activations.join(total, "query_id").withColumn("r", rank).groupBy("query_id").agg(
-        F.first("nodes").alias("nodes"), F.first("top").alias("top"), (-F.sum(p * F.log2(p))).alias("entropy"), (F.sum(F.when(F.col("r") <= 3, F.col("level"))) / F.first("mass")).alias("focus")
-    )
+    total = activations.groupBy("query_id").agg(F.sum("level").alias("mass"), F.max("level").alias("top"), F.count("*").alias("nodes"), F.sum(F.col("level") * F.log2("level")).alias("bits"))
+    three = top(activations, ["query_id"], [F.desc("level"), "node"], 3).groupBy("query_id").agg(F.sum("level").alias("three"))
+    # -sum(p log2 p) with p = level / mass
+    entropy = F.log2("mass") - F.col("bits") / F.col("mass")
+    out = total.join(three, "query_id").select("query_id", "nodes", "top", entropy.alias("entropy"), (F.col("three") / F.col("mass")).alias("focus"))
     confidence = S.clamp(0.30 * F.col("top") + 0.20 * F.col("focus") + 0.15, 0.0, 1.0)
     verdict = F.when(F.col("nodes") == 0, "no_anchors").when((F.col("entropy") >= 3.0) & (F.col("focus") < 0.2), "ambiguous").when(F.col("focus") >= 0.5, "focused").otherwise("default")
     return out.select("query_id", "nodes", F.round("entropy", 6).alias("entropy"), F.round("focus", 6).alias("focus"), F.round(confidence, 6).alias("confidence"), verdict.alias("verdict"))
@@ -91,8 +100,6 @@ def sufficiency(activations: DataFrame) -> DataFrame:
 
 def matching_fibers(activations: DataFrame, members: DataFrame, fibers: DataFrame, *, now, nodes: int = 20, k: int = 10) -> DataFrame:
     """``(query_id, fiber_id, score, rank)``: fibers of the most active nodes by composite score."""
-    from engramlake.operators.scans import top
-
     best = top(activations, ["query_id"], [F.desc("level"), "node"], nodes).select("query_id", F.col("node").alias("neuron_id"), "level")
     hit = best.join(members, "neuron_id").groupBy("query_id", "fiber_id").agg(F.max("level").alias("activation"))
     age = S.days_between(F.lit(now).cast("timestamp_ntz"), F.col("created_at"))
@@ -111,15 +118,20 @@ def token_costs(fibers: DataFrame) -> DataFrame:
 def within_budget(items: DataFrame, *, group: str, budget: int) -> DataFrame:
     """Greedy choice of each group's items by value for cost; one that does not fit is passed over.
 
-    ``items(group, fiber_id, cost, value)``; an ordered fold over the group's rows.
+    ``items(group, fiber_id, cost, value)`` with positive costs; an ordered fold.  Once one of
+    a cost does not fit, no later one of that cost does, so at most ``budget / cost`` of each
+    cost are looked at.
     """
-    order = F.array_sort(F.collect_list(F.struct((-F.col("value") / F.col("cost")).alias("k"), "fiber_id", F.col("cost").cast("bigint").alias("cost"))))
+    k = (-F.col("value") / F.col("cost")).alias("k")
+    few = top(items.select(group, "fiber_id", F.col("cost").cast("bigint").alias("cost"), k).where(F.col("cost") <= budget), [group, "cost"], ["k", "fiber_id"], budget)
+    few = few.where(F.col("rank") * F.col("cost") <= budget)
+    order = F.array_sort(F.collect_list(F.struct("k", "fiber_id", "cost")))
     start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<string>").alias("taken"))
     fold = F.aggregate(
         order, start,
         lambda s, x: F.when(s["spent"] + x["cost"] <= budget, F.struct((s["spent"] + x["cost"]).alias("spent"), F.concat(s["taken"], F.array(x["fiber_id"])).alias("taken"))).otherwise(s),
     )
-    out = items.groupBy(group).agg(fold.alias("s"))
+    out = few.groupBy(group).agg(fold.alias("s"))
     return out.select(group, F.col("s.spent").alias("spent"), F.posexplode("s.taken").alias("pos", "fiber_id"))
 
 
@@ -129,28 +141,56 @@ def prefix_budget(rows: DataFrame, *, order: list, cost: str, budget: int) -> Da
     return rows.withColumn("running", total).where(F.col("running") <= budget)
 
 
-def keep_first_near(rows: DataFrame, *, group: str, limit: int = 10) -> DataFrame:
+def keep_first_near(rows: DataFrame, *, group: str, limit: int = 10, block: int = 16_384) -> DataFrame:
     """Near-duplicates by 64-bit hash removed, the best score first, within each group.
 
-    ``rows(group, id, score, hash)``; a null or zero hash is like nothing.
+    ``rows(group, id, score, hash)``; a null or zero hash is like nothing.  Of a group with more
+    than ``block`` hashes the first ``block`` rows are folded, what is near to those kept is
+    sieved out in parallel, and so on with the rest.
     """
+    kinds = dict(rows.dtypes)
+    shape = f"{group} {kinds[group]}, id string, score {kinds['score']}, hash bigint, chunks bigint"
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         frame = frame.sort_values(["score", "id"], ascending=[False, True])
-        kept: list[int] = []
-        take = []
-        for h in frame["hash"]:
-            ok = pd.isna(h) or h == 0 or not kept or int(np.bitwise_count((np.array(kept, np.int64) ^ np.int64(h)).view(np.uint64)).min()) > limit
-            take.append(ok)
-            if ok and not pd.isna(h) and h != 0:
-                kept.append(int(h))
-        return frame[take][[group, "id"]]
+        hashes = frame["hash"].to_numpy(np.int64)
+        kept, n = np.empty(len(hashes), np.int64), 0
+        take = np.zeros(len(hashes), bool)
+        for i, h in enumerate(hashes):
+            if not n or np.bitwise_count((kept[:n] ^ h).view(np.uint64)).min() > limit:
+                kept[n], take[i] = h, True
+                n += 1
+        return frame[take]
+
+    def sieve(frame: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(kept):
+            return frame
+        near, hashes = kept["hash"].to_numpy(np.int64), frame["hash"].to_numpy(np.int64)
+        far = np.ones(len(hashes), bool)
+        for at in range(0, len(hashes), 64):
+            far[at : at + 64] = np.bitwise_count((hashes[at : at + 64, None] ^ near[None, :]).view(np.uint64)).min(axis=1) > limit
+        return frame[far]
 
-    kinds = dict(rows.dtypes)
     work = rows.select(group, "id", "score", F.col("hash").cast("bigint").alias("hash"))
-    return work.where("hash IS NOT NULL AND hash <> 0").groupBy(group).applyInPandas(keep, f"{group} {kinds[group]}, id string").unionByName(work.where("hash IS NULL OR hash = 0").select(group, "id"))
+    none = work.where("hash IS NULL OR hash = 0").select(group, "id")
+    # only the first of equal hashes can stay
+    firsts = cut(top(work.where("hash IS NOT NULL AND hash <> 0"), [group, "hash"], [F.desc("score"), "id"], 1).drop("rank"))
+    sizes = firsts.groupBy(group).agg(F.ceil(F.count("*") / block).alias("chunks"))
+    left = firsts.alias("f").join(sizes.alias("s"), F.col(f"f.{group}").eqNullSafe(F.col(f"s.{group}"))).select("f.*", "chunks")
+    out = left.where("chunks = 1").groupBy(group).applyInPandas(keep, shape).select(group, "id").unionByName(none)
+    left = cut(left.where("chunks > 1"))
+    while not left.isEmpty():
+        kept = cut(top(left, [group], [F.desc("score"), "id"], block).drop("rank").groupBy(group).applyInPandas(keep, shape))
+        out = out.unionByName(kept.select(group, "id"))
+        apart = left.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).groupBy(group, "chunk")
+        each = kept.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).groupBy(group, "chunk")
+        # the kept rows, and those of their block that were not, are near to a kept one themselves
+        left = cut(apart.cogroup(each).applyInPandas(lambda a, b: sieve(a, b).drop(columns="chunk"), shape))
+    return out
 
 
 def evaluate(ranked: DataFrame, truth: DataFrame, *, k: int = 5) -> DataFrame:

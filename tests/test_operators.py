@@ -114,6 +114,80 @@ def test_keep_first_near(spark):
     assert {r.id for r in ranking.keep_first_near(rows, group="g").collect()} == {"a", "c", "d", "e"}
 
 
+def test_ranking_takes_all_rows_of_a_large_brain(spark):
+    from types import SimpleNamespace
+
+    from engramlake.catalog import ranking as catalog
+
+    n = 10_300
+    ids = spark.range(n).select(F.format_string("n%05d", "id").alias("id"), F.lit("b").alias("brain_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("type"), F.col("id").alias("i"))
+    neurons = ids.select("id", "brain_id", "type", F.struct(F.lit(1).alias("priority"), F.lit(False).alias("disputed"), F.lit(False).alias("superseded")).alias("metadata"), F.lit(0).cast("bigint").alias("content_hash"))
+    states = ids.select(F.col("id").alias("neuron_id"), F.when(F.col("i") < 10_000, 1.0).otherwise(0.7).alias("activation_level"))
+    # 10,000 cheap fibers, then dear ones of the highest value
+    fibers = ids.select("id", "brain_id", F.when(F.col("i") < 10_000, "w").otherwise(F.repeat(F.lit("w "), 150)).alias("summary"), F.when(F.col("i") < 10_000, 6.0).otherwise(9.0).alias("salience"), F.lit(0.0).alias("conductivity"), F.lit(0).alias("frequency"))
+    t = SimpleNamespace(neurons=neurons, states=states, fibers=fibers)
+    active = catalog._active(t)
+    assert ranking.deprioritise(active, neurons).count() == n
+    assert ranking.inhibit(active).count() == n
+    levels = [1.0] * 10_000 + [0.7] * 300
+    row = ranking.sufficiency(active).first()
+    assert (row.nodes, row.entropy) == (n, round(-sum(x / sum(levels) * math.log2(x / sum(levels)) for x in levels), 6))
+    assert ranking.stabilise(active).count() == n
+    assert ranking.keep_first_near(catalog._scored(t), group="brain_id").count() == n
+    first = ranking.prefix_budget(catalog._costs(t).withColumnRenamed("brain_id", "group"), order=[F.desc("value"), "fiber_id"], cost="cost", budget=300).collect()
+    assert [x.fiber_id for x in first] == ["n10000"]
+    assert ranking.within_budget(catalog._costs(t), group="brain_id", budget=10**6).count() > 10_000
+
+
+def test_stabilise_against_plain_rounds(spark):
+    r = random.Random(4)
+    groups = {"a": [r.random() for _ in range(50)], "b": [0.01, 0.04], "c": [0.06], "d": [1.0] * 5, None: [0.3, 0.9]}
+    want = {}
+    for g, levels in groups.items():
+        x = np.array(levels)
+        for _ in range(10):
+            before = x.copy()
+            x[x < 0.05] = 0
+            x = x * 0.85
+            live = x[x > 0]
+            if not len(live):
+                break
+            x = (x * min(3.0, 1 + 0.3 * (0.5 / live.mean() - 1))).clip(0, 1)
+            if abs(x - before).max() < 0.01:
+                break
+        want |= {(g, f"n{i}"): round(v, 7) for i, v in enumerate(x.tolist()) if v > 0}
+    rows = [(g, f"n{i}", v) for g, levels in groups.items() for i, v in enumerate(levels)]
+    got = ranking.stabilise(spark.createDataFrame(rows, "query_id string, node string, level double")).collect()
+    assert {(x.query_id, x.node): round(x.level, 7) for x in got} == want
+
+
+def test_folds_over_large_groups(spark):
+    r = random.Random(6)
+    rows = [(g, f"f{i:03d}", r.randrange(1, 60), r.choice((0.5, 1.0, r.random()))) for g in (1, 2) for i in range(400)]
+    want = {}
+    for g in (1, 2):
+        spent, taken = 0, []
+        for _, name, cost in sorted((-v / c, f, c) for h, f, c, v in rows if h == g):
+            if spent + cost <= 100:
+                spent, taken = spent + cost, [*taken, name]
+        want |= {(g, i): (f, spent) for i, f in enumerate(taken)}
+    got = ranking.within_budget(spark.createDataFrame(rows, "g int, fiber_id string, cost int, value double"), group="g", budget=100).collect()
+    assert {(x.g, x.pos): (x.fiber_id, x.spent) for x in got} == want
+
+    centres = [r.getrandbits(63) for _ in range(12)]
+    rows = [(g, f"n{i:03d}", r.randrange(4), r.choice(centres) ^ sum(1 << b for b in r.sample(range(63), r.randrange(9)))) for g in ("a", None) for i in range(150)]
+    want = set()
+    for g in ("a", None):
+        kept = []
+        for _, name, h in sorted((-s, i, h) for q, i, s, h in rows if q == g):
+            if all((h ^ k).bit_count() > 10 for k in kept):
+                kept.append(h)
+                want.add((g, name))
+    frame = spark.createDataFrame(rows, "g string, id string, score int, hash bigint")
+    for block in (7, 1000):
+        assert {(x.g, x.id) for x in ranking.keep_first_near(frame, group="g", block=block).collect()} == want
+
+
 def test_sequential_pairs_across_splits(spark):
     r = random.Random(5)
     rows = [(r.choice(("u", None)), r.choice("abc"), DAY + dt.timedelta(seconds=r.randrange(40_000)), i) for i in range(600)] + [("v", "a", None, 9999)]
