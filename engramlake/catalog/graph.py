@@ -69,17 +69,20 @@ C.add("graph_transitive_closures", lambda t: G.transitive_closures(t.raw("synaps
 C.add("graph_components", lambda t: G.components(G.directed(t.raw("synapses").where("weight >= 0.75"), both=False)),
       """{e} WITH RECURSIVE x AS (SELECT source_id AS a, target_id AS b FROM e WHERE weight >= 0.75 AND source_id IS NOT NULL AND target_id IS NOT NULL), u AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
  r AS (SELECT a AS node, a AS reach FROM u UNION SELECT node, b FROM r JOIN u ON reach = a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+# the two with SQL look at strong edges only, for the recursion's sake; these at all
+C.add("graph_components_all", lambda t: G.components(G.directed(t.raw("synapses"), both=False)))
+C.add("graph_largest_component_all", lambda t: _largest(t, t.raw("synapses")))
 C.add("graph_triangles", lambda t: G.triangles(G.directed(t.raw("synapses"), both=False)),
       """{e} WITH p AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM e WHERE source_id <> target_id),
  d AS (SELECT x, count(*) AS d FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) GROUP BY 1), t AS (SELECT count(*) AS triangles FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b), w AS (SELECT sum(d * (d - 1) // 2)::BIGINT AS wedges FROM d)
  SELECT triangles, wedges, round(3 * triangles / wedges, 9) AS clustering FROM t CROSS JOIN w""")
-C.add("graph_largest_component", lambda t: _largest(t), """{e, n} WITH RECURSIVE u AS (SELECT source_id AS a, target_id AS b FROM e WHERE weight >= 0.75 UNION SELECT target_id, source_id FROM e WHERE weight >= 0.75),
+C.add("graph_largest_component", lambda t: _largest(t, t.raw("synapses").where("weight >= 0.75")), """{e, n} WITH RECURSIVE u AS (SELECT source_id AS a, target_id AS b FROM e WHERE weight >= 0.75 UNION SELECT target_id, source_id FROM e WHERE weight >= 0.75),
  r AS (SELECT a AS node, a AS reach FROM u WHERE a IS NOT NULL UNION SELECT node, b FROM r JOIN u ON reach = a WHERE b IS NOT NULL), c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1)
  SELECT max(k) AS largest, round(max(k) / (SELECT count(*) FROM n), 6) AS ratio FROM (SELECT count(*) AS k FROM c GROUP BY c)""")
 C.add("graph_gromov", lambda t: G.gromov_delta(G.directed(t.raw("synapses"))))
 C.add("graph_degrees", lambda t: G.degrees(t.synapses), "{e} SELECT neuron_id, count(*) AS degree FROM (SELECT source_id AS neuron_id FROM e UNION ALL SELECT target_id FROM e) GROUP BY 1")
 
 
-def _largest(t):
-    sizes = G.components(G.directed(t.raw("synapses").where("weight >= 0.75"), both=False)).groupBy("component").agg(F.count("*").alias("k"))
+def _largest(t, synapses):
+    sizes = G.components(G.directed(synapses, both=False)).groupBy("component").agg(F.count("*").alias("k"))
     return sizes.agg(F.max("k").alias("largest")).join(F.broadcast(t.neurons.agg(F.count("*").alias("n")))).select("largest", F.round(F.col("largest") / F.col("n"), 6).alias("ratio"))

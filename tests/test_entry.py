@@ -43,3 +43,21 @@ def test_query(spark, duck, name):
         got = sorted(repr([norm(r[c]) for c in sorted(cols)]) for r in (x.asDict(True) for x in rows))
         want = sorted(repr([norm(r[cols.index(c)]) for c in sorted(cols)]) for r in cur.fetchall())
         assert got == want
+
+
+def test_components_over_all_synapses(spark, duck):
+    above = {}
+
+    def find(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in duck.execute("SELECT source_id, target_id FROM synapses WHERE source_id IS NOT NULL AND target_id IS NOT NULL").fetchall():
+        low, high = sorted((find(a), find(b)))
+        above[high] = low
+    want = {x: find(x) for x in above}
+    assert {r.node: r.component for r in Q.QUERIES["graph_components_all"](spark, SF).collect()} == want
+    largest = max(list(want.values()).count(c) for c in set(want.values()))
+    n = duck.execute("SELECT count(DISTINCT id) FROM neurons").fetchone()[0]
+    assert tuple(Q.QUERIES["graph_largest_component_all"](spark, SF).first()) == (largest, round(largest / n, 6))
