@@ -43,7 +43,7 @@ C.add("text_arousal", lambda t: t.documents.where("text IS NOT NULL").select("do
       r"SELECT doc_id, round(least(1.0, 0.3 * len(regexp_extract_all(lower(text), '\b(critical|urgent|never|fails?|failed|broken|stop)\b')) + 0.2 * len(regexp_extract_all(text, '!'))), 6)::DOUBLE AS arousal FROM documents WHERE text IS NOT NULL")
 C.add("text_repetitive", lambda t: t.documents.where(T.repetitive(X())).select("doc_id"),
       f"SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 12 AND len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) * 2 < len(w) - 2")
-C.add("text_essence", lambda t: t.documents.where("lang = 'en' AND text IS NOT NULL").select("doc_id", T.essence(X()).alias("essence")))
+C.add("text_essence", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", T.essence(X()).alias("essence")))
 C.add("text_simhash", lambda t: t.neurons.where("content IS NOT NULL").select("id", T.simhash(F.col("content")).alias("hash")))
 C.add("text_sentences", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", F.size(T.sentences(X())).alias("n")))
 _prep = lambda t: P.prepare(t.documents)

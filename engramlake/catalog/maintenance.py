@@ -76,6 +76,7 @@ C.add("cluster_schema_candidates", lambda t: _uncovered(t), """{ft, n} WITH c AS
 C.add("cluster_patterns", lambda t: _patterns(t), """{fm, n} SELECT content AS entity, count(DISTINCT fiber_id) AS fibers FROM fm JOIN n ON n.id = neuron_id WHERE type = 'entity' AND length(trim(content)) > 1 GROUP BY 1 HAVING count(DISTINCT fiber_id) >= 3""")
 C.add("cluster_overlapping_decisions", lambda t: _decisions(t), """WITH d AS (SELECT DISTINCT text, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM documents WHERE memory_type = 'decision' AND lang = 'en'), s AS (SELECT min(doc_id) AS id, w FROM documents JOIN d USING (text) WHERE memory_type = 'decision' AND lang = 'en' AND len(w) > 0 GROUP BY w)
  SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS score FROM s x JOIN s y ON x.id < y.id WHERE len(list_intersect(x.w, y.w)) >= 0.25 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
+C.add("cluster_overlapping_decisions_all", lambda t: _all_decisions(t))
 C.add("cluster_lcs", lambda t: K.common_subsequence(t.fibers.select("id", F.col("pathway").alias("a"), F.col("neuron_ids").alias("b"))))
 
 
@@ -97,6 +98,14 @@ def _decisions(t):
     return K.set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
 
 
+def _all_decisions(t):
+    from engramlake.functions.scalar import script_tokens
+
+    docs = t.documents.where("memory_type = 'decision'")
+    rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(F.array_distinct(script_tokens(F.col("text")))).alias("item"))
+    return K.set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
+
+
 _SNAP = "o AS (SELECT id, type, content FROM n WHERE created_at < '2025-09-01'), w AS (SELECT id, CASE WHEN type = 'intent' THEN 'goal' ELSE type END AS type, content FROM n WHERE created_at >= '2025-02-01')"
 C.add("merge_diff", lambda t: G.diff(t.neurons.where("created_at < TIMESTAMP_NTZ '2025-09-01'"), t.neurons.where("created_at >= TIMESTAMP_NTZ '2025-02-01'").withColumn("type", F.when(F.col("type") == "intent", "goal").otherwise(F.col("type"))), compare=["type", "content"]),
       f"{{n}} WITH {_SNAP} SELECT coalesce(o.id, w.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN w ON o.id = w.id WHERE o.id IS NULL OR w.id IS NULL OR o.type IS DISTINCT FROM w.type OR o.content IS DISTINCT FROM w.content")

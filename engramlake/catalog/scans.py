@@ -86,10 +86,12 @@ C.add("fn_token_estimate", lambda t: t.documents.select("doc_id", S.token_estima
 C.add("fn_char_entropy", lambda t: t.neurons.where(F.length("content") <= 80).select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")),
       """{n} WITH c AS (SELECT id, content, unnest(string_split(content, '')) AS ch FROM n WHERE length(content) BETWEEN 1 AND 80), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
  SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
+C.add("fn_char_entropy_all", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")))
 C.add("fn_levenshtein", lambda t: O.unique(t.raw("neurons").where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0)).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
       "{n} SELECT id, levenshtein(lower(content), 'anchor index')::INT AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
 C.add("fn_prefix_variants", lambda t: t.neurons.where(F.length("content").between(5, 20)).select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")),
       "{n} SELECT id, content[1:3] AS p3, content[1:length(content) - 2] AS stem FROM n WHERE length(content) BETWEEN 5 AND 20")
+C.add("fn_prefix_variants_all", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")))
 C.add("fn_idf", lambda t: _idf(t), """{n} WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS word FROM n), d AS (SELECT word, count(*) AS df FROM w GROUP BY 1), m AS (SELECT count(*) AS n FROM n)
  SELECT word, df, round(ln((m.n + 1) / (1 + df)) / ln(m.n + 1), 6) AS idf, greatest(1, least(5, ceil(round(ln((m.n + 1) / (1 + df)) / ln(m.n + 1), 6) * 5)))::INT AS anchors FROM d CROSS JOIN m WHERE df >= 3""")
 

@@ -61,3 +61,25 @@ def test_components_over_all_synapses(spark, duck):
     largest = max(list(want.values()).count(c) for c in set(want.values()))
     n = duck.execute("SELECT count(DISTINCT id) FROM neurons").fetchone()[0]
     assert tuple(Q.QUERIES["graph_largest_component_all"](spark, SF).first()) == (largest, round(largest / n, 6))
+
+
+def test_queries_take_all_rows(spark, duck):
+    def count(sql):
+        return duck.execute(f"SELECT count(*) FROM {sql}").fetchone()[0]
+
+    assert Q.QUERIES["text_essence"](spark, SF).count() == count("documents WHERE text IS NOT NULL")
+    contents = dict(duck.execute("SELECT DISTINCT ON (id) id, content FROM neurons WHERE id IS NOT NULL AND content IS NOT NULL").fetchall())
+    bits = {r.id: r.bits for r in Q.QUERIES["fn_char_entropy_all"](spark, SF).collect()}
+    want = {k: -sum(c.count(x) / len(c) * math.log2(c.count(x) / len(c)) for x in set(c)) for k, c in contents.items()}
+    assert bits == pytest.approx(want, abs=2e-6)
+    assert {r.id: (r.p3, r.stem) for r in Q.QUERIES["fn_prefix_variants_all"](spark, SF).collect()} == {k: (c[:3], c[: max(0, len(c) - 2)]) for k, c in contents.items()}
+
+
+def test_decisions_of_all_languages(spark):
+    from engramlake.catalog import maintenance
+    from types import SimpleNamespace
+
+    texts = [("zh", "我们决定使用东京的数据库"), ("ja", "我们决定使用大阪的数据库"), ("EN", "ship Größe now"), (None, "größe ship later"), ("ru", "решено писать журнал"), ("en", "писать журнал")]
+    docs = spark.createDataFrame([(i, lang, "decision", text) for i, (lang, text) in enumerate(texts)], "doc_id int, lang string, memory_type string, text string")
+    got = {(r.a, r.b): r.score for r in maintenance._all_decisions(SimpleNamespace(documents=docs)).collect()}
+    assert got == {(0, 1): round(8 / 14, 6), (2, 3): 0.5, (4, 5): round(2 / 3, 6)}
