@@ -15,7 +15,7 @@ document through joins, so no vocabulary is ever held whole.
 from __future__ import annotations
 
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -48,8 +48,6 @@ MONTHS = set(
 SPACED = ".!?…؟।॥۔։።။។"  # need white space or an end after them
 WIDE = "。！？｡．"  # never do
 PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‹": "›", "「": "」", "『": "』", "（": "）", "《": "》", "【": "】", "〈": "〉"}
-#: Quotes and brackets further apart than this enclose nothing.
-_APART = 600
 _SIGNS = {*PAIRS, *PAIRS.values(), '"'}
 QUOTES = set('"«“„‹「『')
 FURTHER = set(",;:，、；：)]}»”」』）》】〉—–-%/\\=&+_|~^*`@")
@@ -80,23 +78,24 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 def _enclosed(par: str) -> list[tuple[int, int]]:
     """Outermost matched pairs of quotes and brackets."""
-    stack: deque[tuple[str, int]] = deque()
+    stack: list[tuple[str, int]] = []
+    open_for: Counter = Counter()  # openers in the stack by what closes them
     found = []
     for i, ch in enumerate(par):
         if ch not in _SIGNS:
             continue
-        while stack and i - stack[0][1] > _APART:
-            stack.popleft()
-        if stack and ch in [PAIRS.get(c, c) for c, _ in stack]:
-            while PAIRS.get(stack[-1][0], stack[-1][0]) != ch:
-                stack.pop()
+        if open_for[ch]:
+            while stack[-1][0] != ch:
+                open_for[stack.pop()[0]] -= 1
+            open_for[ch] -= 1
             found.append((stack.pop()[1], i))
         elif ch in PAIRS or ch == '"':
-            stack.append((ch, i))
+            stack.append((PAIRS.get(ch, ch), i))
+            open_for[stack[-1][0]] += 1
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
-        if b - a <= _APART and (not outer or a > outer[-1][1]):
+        if not outer or a > outer[-1][1]:
             outer.append((a, b))
     return outer
 

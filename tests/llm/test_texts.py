@@ -160,6 +160,15 @@ def test_sentences_of_one_text(text, want):
     assert [text[a:b] for a, b in sentences.Splitter(text, common).sentences()] == want
 
 
+def test_long_quotes_and_brackets_enclose():
+    inner = "We went there. It was late. " * 60
+    for left, right in ("()", "“”", '""'):
+        par = f"He said {left}{inner}{right} and left."
+        assert sentences._enclosed(par) == [(par.index(left), len(par) - len(" and left.") - 1)]
+        assert [par[x:y] for x, y in sentences.Splitter(par, sentences.Counter()).sentences()] == [par]
+    assert sentences._enclosed("( a [b] " + "x" * 2000 + " { “c” ") == [(4, 6), (2011, 2013)]
+
+
 def test_sentences_of_a_corpus(spark):
     docs = [(1, None), (2, ""), (3, " \n\n "), (4, "We ran. They sat."), (None, "Is it? Yes."), (4, "We ran. They sat."), (5, "no end " * 60_000)]
     rows = sentences.split_sentences(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
