@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import regex
 
@@ -57,6 +58,13 @@ def test_hot_pieces_go_through_blocks_and_children(spark, monkeypatch):
     assert found(spark, [(i, x, "r", 1) for i, x in texts.items()]) == brute(texts)
 
 
+def test_bitmaps_of_very_long_texts():
+    bits = [b"\0" * 512, b"\xff" * 32 + b"\0" * 480]
+    node = near_duplicates._Node(np.array([186_000, 186_000]), np.array([0, 0]), bits, 0.7)
+    node.compare(np.array([0]), np.array([1]), 0)
+    assert node.pairs().tolist() == [[0, 1]]
+
+
 def test_near_duplicates_on_odd_rows(spark):
     long = "word " * 30_000 + "end"
     rows = [("a", None, None, None), ("b", "", None, None), ("c", "   ", None, None), ("d", "short", None, None), (None, "x" * 70, None, None), ("e", long, None, None), ("f", long + ".", None, None), ("e", long, None, None), ("g", "記憶" * 40, None, None), ("h", "記憶" * 40, None, None)]
