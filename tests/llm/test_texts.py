@@ -50,19 +50,50 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found(spark, [(i, x, "r", 1) for i, x in texts.items()]) == brute(texts)
 
 
-def test_hot_pieces_go_through_blocks_and_children(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "HOT", 12)
+def test_hot_pieces_go_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 12)
+    monkeypatch.setattr(near_duplicates, "PROBES", 64)
     r = random.Random(9)
     stem = "the same long opening of every text that a third of all rows share between them "
     texts = {f"n{i:04d}": stem + " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randrange(40)) for _ in range(8)) for i in range(90)}
     assert found(spark, [(i, x, "r", 1) for i, x in texts.items()]) == brute(texts)
 
 
-def test_bitmaps_of_very_long_texts():
-    bits = [b"\0" * 512, b"\xff" * 32 + b"\0" * 480]
-    node = near_duplicates._Node(np.array([186_000, 186_000]), np.array([0, 0]), bits, 0.7)
-    node.compare(np.array([0]), np.array([1]), 0)
-    assert node.pairs().tolist() == [[0, 1]]
+def forest(sets, t):
+    """The trees of sets in their own order, all entered under one first piece."""
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    tails = [np.array(sets[i][1:], np.uint16) for i in order]
+    bits = np.zeros((len(sets), near_duplicates.WORDS), np.uint64)
+    return order, near_duplicates.Forest(n[order], np.zeros(len(n), np.int64), np.ones(len(n), bool), np.concatenate(tails), np.cumsum([len(x) for x in tails]), bits, t)
+
+
+def test_branches_share_overlaps_and_end_early():
+    r = random.Random(3)
+    stem = list(range(1, 31))
+    sets = [[0, *stem, *sorted(r.sample(range(100, 140), 12))] for _ in range(40)] + [[0, *sorted(r.sample(range(1000, 9000), 42))] for _ in range(40)]
+    order, trees = forest(sets, 0.7)
+    x, y = trees.pairs([(0, len(sets))])
+    got = {tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(x, y)}
+    near = {(a, b) for a in range(80) for b in range(a + 1, 80) if len(set(sets[a]) & set(sets[b])) >= 0.7 * len(set(sets[a]) | set(sets[b]))}
+    assert near and near <= got and all(b < 40 for _, b in got)
+    depth = int(trees.steps[0])
+    assert depth < len(stem)  # branches end when the remaining lengths allow no more misses
+    assert trees.walked <= 41 * depth and trees.unshared == 80 * depth  # the stem is one branch
+
+
+def test_trees_lose_no_pair_at_any_size():
+    r = random.Random(5)
+    for t in (0.5, 0.7, 0.9):
+        base = [[0, *sorted(r.sample(range(1, 400), r.randrange(1, 60)))] for _ in range(30)]
+        sets = base + [[0, *sorted(({*s[1:]} - set(r.sample(s[1:], len(s) // 8))) | set(r.sample(range(1, 400), len(s) // 9)))] for s in base]
+        order, trees = forest(sets, t)
+        x, y = trees.pairs([(0, len(sets))])
+        got = {tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(x, y)}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                if len(set(sets[a]) & set(sets[b])) >= t * len(set(sets[a]) | set(sets[b])):
+                    assert (a, b) in got
 
 
 def test_near_duplicates_on_odd_rows(spark):
@@ -79,12 +110,14 @@ def test_classes_keep_copies_together(spark):
     assert {tuple(sorted((r.class_a, r.class_b))) for r in links.collect()} == {("a", "c")}
 
 
-def test_large_classes_of_copies_are_stars(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+def test_classes_of_copies_in_both_forms(spark):
     t = "a text that is long enough to take part in the join of all the texts here"
     rows = [(f"c{i}", t, "", 1) for i in range(6)] + [("d0", t + " x", "", 1), ("d1", t + " x", "", 1)]
-    want = {("c0", f"c{i}") for i in range(1, 6)} | {("d0", "d1"), ("c0", "d0"), ("c0", "d1")}
-    assert found(spark, rows) == want
+    ids = sorted(r[0] for r in rows)
+    assert found(spark, rows) == {(a, b) for a in ids for b in ids if a < b}
+    assert found(spark, rows, copies="representative") == {("c0", f"c{i}") for i in range(1, 6)} | {("d0", "d1"), ("c0", "d0")}
+    with pytest.raises(ValueError):
+        found(spark, rows, copies="some")
 
 
 VOCABULARY = encode.DEFAULT_VOCABULARY
