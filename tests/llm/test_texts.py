@@ -201,6 +201,34 @@ def test_sentences_of_one_text(text, want):
     assert [text[a:b] for a, b in sentences.Splitter(text, common).sentences()] == want
 
 
+@pytest.mark.parametrize("text", ["He told me. Then she left the room.", "Please wait for me. Everyone is ready now.", "My ex. She called.", "We moved to ca. Then it rained.", "The rep. Then came.", "He sat. Then he slept.", "We saw the sun. Alice smiled at it.", "Compute the max. Then stop."])
+def test_words_that_only_look_like_abbreviations(text):
+    a, b = sentences.Splitter(text).sentences()
+    assert text[b[0] :] == text.split(". ")[1] and a[1] == text.index(".") + 1
+
+
+@pytest.mark.parametrize("text", ["Me. Roux and Mr. Ash met on Sun. morning.", "See cf. No. 140: the rest.", "Er kam ca. 5 Minuten, vgl. Tabelle 3.", "डॉ. Lee ने कहा।"])
+def test_listed_abbreviations_go_on(text):
+    assert sentences.Splitter(text).sentences() == [(0, len(text))]
+
+
+def test_the_document_comes_before_the_lists():
+    text = "He said approx and approx again, then approx. Lee agreed with that approx number."
+    assert len(sentences.Splitter("It took approx. Lee hours.").sentences()) == 1
+    own = sentences.Counter()
+    sentences.count_words(text, own)
+    assert sentences.is_abbreviation(own, "approx") is False
+    assert len(sentences.Splitter(text).sentences()) == 2
+    listed = "The quux. item and the quux. list. We saw quux. Lee was there. Lee is a name, says Lee."
+    assert len(sentences.Splitter(listed).sentences()) == 3
+
+
+def test_scripts_without_terminators():
+    for text, n in (("สวัสดีครับ ผมชื่อสมชายครับ ยินดีที่ได้รู้จัก", 3), ("བཀྲ་ཤིས། བདེ་ལེགས།", 2), ("ສະບາຍດີແລ້ວ ຂ້ອຍໄປ", 2)):
+        parts = sentences.Splitter(text).sentences()
+        assert len(parts) == n and [text[a:b] for a, b in parts] == text.split(" ")
+
+
 def test_long_quotes_and_brackets_enclose():
     inner = "We went there. It was late. " * 60
     for left, right in ("()", "“”", '""'):
