@@ -168,11 +168,49 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_passages(spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).count() == 0
 
 
-def test_reparameterised_needs_one_to_one_slots(spark):
-    item = "If Anna has 12 apples and gives 5 of them to Bob then how many apples does Anna keep for lunch"
-    docs = [(1, item.replace("Anna", "Carla").replace("Bob", "Dirk").replace("12", "40")), (2, item), (3, item.replace("Anna", "Bob")), (4, None)]
-    got = leakage.reparameterised(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(9, item)], "item_id int, text string"))
-    assert {r.doc_id for r in got.collect() if r.windows > 4} == {1}
+def test_leaks_with_other_slots_are_not_verbatim(spark):
+    item = "In the morning Anna moved 12 crates by hand and later Bob moved 40 mm of the same old rope again"
+    docs = [(1, item), (2, item.replace("12", "47").replace("40", "31")), (3, item.replace("Anna", "Elsa")), (4, item.upper())]
+    got = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(9, item)], "item_id int, text string")).collect()
+    keep = {d for d, t in docs if any(norm(item)[j : j + 50] in norm(t) for j in range(len(norm(item)) - 49))}
+    assert {r.doc_id for r in got} == keep == {1, 3, 4}  # one number apart is not the same stretch
+    t = leakage.Templates(["anna", "elsa"], 25)
+    at = np.array([0])
+    assert t.hashes("theanna12mmfellofftheoldx", at) == t.hashes("theelsa47mmfellofftheoldx", at) != t.hashes("theanna12zzfellofftheoldx", at)
+
+
+def test_many_item_windows_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 3)
+    test_leaks_equal_brute_force(spark)
+    test_reparameterised_finds_planted_questions(spark)
+
+
+PLANTED = [
+    ("If {a} has {x} apples and gives {y} of them to {b} then how many apples does {a} keep for lunch today", ("Anna", "Bob"), ("Carla", "Dirk")),
+    ("Wenn {a} am Morgen {x} Kisten trägt und {b} danach {y} davon wieder abgibt, wie viele bleiben dann bei {a}", ("Anna", "Bernd"), ("Clara", "Dieter")),
+    ("如果{a}早上有{x}个苹果并且给了{b}其中的{y}个，那么{a}在晚上还剩下多少个苹果可以吃", ("Zorvan", "Tanquil"), ("Belmor", "Dravix")),
+    ("もし{a}が朝に{x}個のりんごを持っていて{b}にそのうちの{y}個をあげたら、{a}には夜に何個のりんごが残りますか", ("アンナ", "ボブ"), ("カルラ", "ディルク")),
+    ("अगर {a} के पास सुबह {x} सेब हैं और वह {b} को उनमें से {y} दे देता है तो शाम को {a} के पास कितने बचेंगे", ("Zorvan", "Tanquil"), ("Belmor", "Dravix")),
+    ("إذا كان لدى {a} في الصباح {x} تفاحة وأعطى {b} منها {y} فكم تفاحة تبقى مع {a} في المساء", ("Zorvan", "Tanquil"), ("Belmor", "Dravix")),
+]
+
+
+def test_reparameterised_finds_planted_questions(spark):
+    items = [(i, t.format(a=n[0], b=n[1], x=12, y=5)) for i, (t, n, _) in enumerate(PLANTED)]
+    docs = []
+    for i, (t, n, other) in enumerate(PLANTED):
+        docs += [
+            (10 * i + 1, "Some text before. " + t.format(a=other[0], b=other[1], x=408, y=37) + " And some after."),
+            (10 * i + 2, items[i][1]),  # verbatim
+            (10 * i + 3, t.format(a=n[0], b=n[1], x=13, y=5)),  # one number
+            (10 * i + 4, t.format(a=n[1], b=n[1], x=12, y=5)),  # two names become one
+        ]
+    docs += [(90, None), (91, ""), (None, docs[0][1]), (92, "12 apples and 5 pears were sold to Bob on Monday before Anna came home")]
+    rows = leakage.reparameterised(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([*items, (77, None), (None, items[0][1])], "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows if r.doc_id % 10 in (1, 3)} == {(10 * i + k, i) for i in range(len(PLANTED)) for k in (1, 3)}  # all planted ones
+    wrong = [r for r in rows if r.doc_id // 10 != r.item_id or r.doc_id % 10 == 2]
+    assert not wrong  # nothing else but windows that hold one of the two names only
+    assert all(r.windows >= r.renamed > 0 for r in rows)
 
 
 SENTENCES = [
