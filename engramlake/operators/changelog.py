@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.runtime import cut
+
 #: Sequences of one block of the gap search; only one block is ever looked into.
 GAP_BLOCK = 1 << 16
 _TEXT = ("brain_id", "entity_type", "entity_id", "operation", "device_id", "changed_at")
@@ -84,31 +86,41 @@ def committed_watermark(transactions: DataFrame, *, start: int | None = None) ->
     )
 
 
-def _effective(transactions: DataFrame, through: Column | int | None) -> DataFrame:
-    done = transactions if through is None else transactions.where(F.col("sequence") <= through)
-    return done.where(F.col("operation").isin("insert", "update", "delete"))
+def _committed(transactions: DataFrame, gaps: str, through: int | None) -> DataFrame:
+    """The transactions that state may show: those up to the committed watermark.
+
+    ``gaps="hold"`` takes the log as still arriving: the watermark is the last sequence before
+    the first missing one.  ``gaps="closed"`` takes every number that no receipt has as one that
+    will never come, so the watermark is the last sequence there is.  ``through`` lowers it.
+    """
+    if gaps == "hold":
+        mark = committed_watermark(transactions).select("watermark")
+    elif gaps == "closed":
+        mark = transactions.agg(F.max("sequence").alias("watermark"))
+    else:
+        raise ValueError(f"gaps is 'closed' or 'hold', not {gaps!r}")
+    if through is not None:
+        mark = mark.select(F.least("watermark", F.lit(through)).alias("watermark"))
+    shown = transactions.join(F.broadcast(mark)).where(F.col("sequence") <= F.col("watermark")).drop("watermark")  # one row
+    return shown.where(F.col("operation").isin("insert", "update", "delete"))
 
 
 def replay(log: DataFrame, *, gaps: str = "closed", through: int | None = None) -> DataFrame:
     """``(entity_type, entity_id, receipt_id, sequence)`` of every entity that is there at the end.
 
-    ``receipt_id`` is the receipt that last took effect on the entity.  ``gaps="closed"``
-    takes the log as complete: a number that no receipt has belongs to nothing, and the
-    watermark is the last sequence.  ``gaps="hold"`` takes it as still arriving: nothing
-    after the first missing sequence is exposed.  ``through`` exposes state as of an
-    earlier sequence.  Two receipts at one sequence are ordered by receipt id.  Unknown
-    operations do nothing; an empty log gives no rows.
+    ``receipt_id`` is the receipt that last took effect on the entity.  Only what lies up to
+    the committed watermark is exposed: with ``gaps="hold"`` nothing after the first missing
+    sequence, with ``gaps="closed"`` (a complete log, whose missing numbers belong to nothing)
+    everything; ``through`` exposes state as of an earlier sequence.  Two receipts at one
+    sequence are ordered by receipt id.  Unknown operations do nothing; an empty log gives
+    no rows.
     """
-    transactions = assemble_transactions(parse_changes(log).select("receipt_id", "sequence", "entity_type", "entity_id", "operation"))
-    if gaps == "hold":
-        mark = F.broadcast(committed_watermark(transactions).select("watermark"))  # one row
-        transactions = transactions.join(mark).where(F.col("sequence") <= F.col("watermark")).drop("watermark")
-    elif gaps != "closed":
-        raise ValueError(f"gaps is 'closed' or 'hold', not {gaps!r}")
+    # two uses, the watermark and the replay, of one parse of the log
+    transactions = cut(assemble_transactions(parse_changes(log).select("receipt_id", "sequence", "entity_type", "entity_id", "operation")))
     at = F.struct("sequence", "receipt_id")
     op = F.col("operation")
     return (
-        _effective(transactions, through)
+        _committed(transactions, gaps, through)
         .groupBy("entity_type", "entity_id")
         .agg(
             F.max(F.when(op == "insert", at)).alias("inserted"),
@@ -120,14 +132,15 @@ def replay(log: DataFrame, *, gaps: str = "closed", through: int | None = None)
     )
 
 
-def replay_fields(log: DataFrame, *, through: int | None = None) -> DataFrame:
+def replay_fields(log: DataFrame, *, gaps: str = "closed", through: int | None = None) -> DataFrame:
     """``(entity_type, entity_id, field, value)``: the payload of every entity at the end.
 
     The insert that put the entity there gives its first fields; each later update sets
     the fields it names.  A payload that is not a JSON object has no fields; an entity
-    without fields has no rows here.  ``value`` is text as in ``get_json_object``.
+    without fields has no rows here.  ``value`` is text as in ``get_json_object``.  ``gaps``
+    and ``through`` are as in ``replay``.
     """
-    done = _effective(assemble_transactions(parse_changes(log)), through)
+    done = _committed(cut(assemble_transactions(parse_changes(log))), gaps, through)
     at = F.struct("sequence", "receipt_id")
     base = done.groupBy("entity_type", "entity_id").agg(
         F.max(F.when(F.col("operation") == "insert", at)).alias("inserted"), F.max(F.when(F.col("operation") == "delete", at)).alias("deleted")
