@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 
 from engramlake.runtime import cut, spread
 
-#: Vectors from which the centroids are fitted, at most: 6 MB at 64 coordinates.
-SAMPLE = 24_000
-#: Centroids, at most: a broadcast of 512 kB at 64 coordinates.
-CELLS = 2048
 #: Vectors of a cell that the number of centroids aims at.
 PER_CELL = 800
+#: Sampled vectors for each centroid, and the sample in all, at most: 100 MB at 64 coordinates.
+#: The number of centroids follows the collection up to ``SAMPLE / PER_CENTROID`` (27 million
+#: vectors; a broadcast of 8 MB); beyond that cells grow and are split into blocks.
+PER_CENTROID, SAMPLE = 12, 400_000
+#: Centroids that are fitted as one; more are fitted group by group.
+FITTED = 2048
+#: Salts of the copies of one vector.
+SALTS = 16
 #: Cells that hold a vector, and cells that are searched for it.
 HOLD, SEARCH = 2, 10
 #: Data and queries of a unit of work, at most (in the mean; salts are hashes).
@@ -61,9 +65,18 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means; an empty cell takes a new start."""
+    """Spherical k-means; an empty cell takes a new start.
+
+    More than ``FITTED`` centroids come from groups of the sample, each with its share of them.
+    """
     rng = np.random.default_rng(11)
     x = sample.astype(np.float32)
+    if cells > FITTED:
+        coarse = fit_centroids(x[rng.permutation(len(x))[: 48 * FITTED // 8]], FITTED // 8, rounds)
+        own = np.concatenate([np.argmax(x[i : i + 4096] @ coarse.T, axis=1) for i in range(0, len(x), 4096)])
+        sizes = np.bincount(own, minlength=len(coarse))
+        share = np.minimum(np.maximum(1, np.rint(sizes * cells / len(x))).astype(int), np.maximum(sizes, 1))
+        return np.concatenate([fit_centroids(x[own == g], int(k), rounds) for g, k in enumerate(share) if sizes[g]])
     c = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(rounds):
         own = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)])
@@ -175,20 +188,23 @@ def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
     """``(rep, other, cos)``: for every entry the ``k`` others with the highest cosine of at least ``least``.
 
     ``entries(rep string, unit binary)`` holds distinct vectors as packed floats or doubles,
-    of any length but zero.  Recall is measured in the tests; with at most ``SEARCH * PER_CELL``
-    entries every cell is searched.
+    of any length but zero.  Recall is measured in the tests.
     """
     spark = entries.sparkSession
     total = entries.count()
-    cells = int(min(CELLS, total // PER_CELL))
-    if cells <= SEARCH:
+    cells = int(max(1, min(SAMPLE // PER_CENTROID, total // PER_CELL)))
+    if cells <= SEARCH:  # every cell would be searched
         cells, centroids = 1, np.zeros((1, dim), np.float32)
     else:
         # the rows with the smallest hashes: a random sample that does not depend on partitioning
-        rows = entries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()
-        centroids = fit_centroids(_matrix(pa.array([bytes(r.unit) for r in rows], pa.binary()), dim), cells)
+        wanted = cells * PER_CENTROID
+        low = F.col("_h") <= int((4 * wanted / total - 1) * (1 << 63)) if wanted * 2 < total else F.lit(True)  # twice as many as wanted, no full sort
+        drawn = entries.select("unit", "rep", F.xxhash64("rep").alias("_h")).where(low).orderBy("_h", "rep").limit(wanted)
+        centroids = fit_centroids(_matrix(pa.array([bytes(r.unit) for r in drawn.select("unit").collect()], pa.binary()), dim), cells)  # at most SAMPLE rows
+        cells = len(centroids)
     shared = spark.sparkContext.broadcast(centroids)
     hold, search = min(HOLD, cells), min(SEARCH, cells)
+    chunk = max(64, min(2048, (1 << 23) // cells))  # rows that are ranked at once
 
     def ranked(units: np.ndarray) -> np.ndarray:
         near = units.astype(np.float32) @ shared.value.T
@@ -200,8 +216,8 @@ def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, asked = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                near = ranked(_matrix(batch.column(1).slice(s, 2048), dim))
+            for s in range(0, batch.num_rows, chunk):
+                near = ranked(_matrix(batch.column(1).slice(s, chunk), dim))
                 held += np.bincount(near[:, :hold].ravel(), minlength=cells)
                 asked += np.bincount(near.ravel(), minlength=cells)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(held), pa.array(asked)], names=["cell", "held", "asked"])
@@ -215,8 +231,8 @@ def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
+            for s in range(0, batch.num_rows, chunk):
+                part = batch.slice(s, chunk)
                 near = ranked(_matrix(part.column(1), dim))
                 salt = np.array([xxh64_intdigest(x) >> 1 for x in part.column(0).to_pylist()], np.int64)
                 row, cell, block, run, data = [], [], [], [], []
@@ -280,7 +296,9 @@ def neighbour_lists(neurons: DataFrame, *, dim: int = 64, k: int = 5, least: flo
     groups = cut(first.select(F.col("ids")[0].alias("rep"), "ids", "unit"))
     lists = nearest(groups.select("rep", "unit"), dim=dim, k=k, least=least)
     held = groups.select("rep", "ids")
-    copied = units.join(groups.where(F.size("ids") > 1).select("rep", "ids", "unit"), "unit")
+    # all copies of one vector under one key would be one task: the key has a salt
+    several = groups.where(F.size("ids") > 1).select("rep", "ids", "unit", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copied = units.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(several, ["unit", "salt"])
     own = copied.select("id", F.explode("ids").alias("other"), F.lit(1.0).alias("cos")).where("id <> other")
     members = held.where(F.size("ids") <= k).select("rep", F.explode("ids").alias("id"))  # larger groups fill their lists alone
     across = lists.join(held.select(F.col("rep").alias("other"), F.slice("ids", 1, k).alias("ids")), "other").select("rep", "cos", F.explode("ids").alias("other"))

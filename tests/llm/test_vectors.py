@@ -45,6 +45,15 @@ def test_recall_with_many_cells(spark):
     assert len(got - want) <= 0.02 * len(want)
 
 
+def test_recall_with_centroids_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(N, "FITTED", 64)
+    monkeypatch.setattr(N, "PER_CELL", 30)
+    v = clustered(6000, 24, 5)
+    assert len(N.fit_centroids(N._matrix(__import__("pyarrow").array([np.array(x).tobytes() for x in v.values()]), 24), 200)) in range(150, 260)
+    want, got = brute(v, 5, 0.85), pairs(spark, [(i, x, "a", 1) for i, x in v.items()], dim=24)
+    assert len(want & got) >= 0.95 * len(want)
+
+
 def test_hot_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(N, "DATA_BLOCK", 40)
     monkeypatch.setattr(N, "QUERY_RUN", 60)
