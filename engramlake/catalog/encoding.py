@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.catalog.base import Catalog
+from engramlake.catalog.base import Catalog, sql_words
 from engramlake.functions import text as T
 from engramlake.plans import encode as P
 
 C = Catalog()
 X = lambda: F.col("text")
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
-_WORDS = "regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')"
+_WORDS = sql_words("text")
 
 
 def _first_distinct(expr: str, k: int) -> str:

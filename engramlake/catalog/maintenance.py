@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.catalog.base import NOW, Catalog, fiber_tags, members
+from engramlake.catalog.base import NOW, Catalog, fiber_tags, members, sql_tokens
 from engramlake.operators import changelog as L
 from engramlake.operators import clusters as K
 from engramlake.operators import maintenance as M
@@ -33,7 +33,12 @@ C.add("maint_replay_salient", lambda t: M.replay_salient(t.synapses, t.fibers, m
       """{e, fm} WITH b AS (SELECT id FROM f ORDER BY salience DESC NULLS LAST, id LIMIT 20), m AS (SELECT * FROM fm WHERE fiber_id IN (FROM b)),
  k AS (SELECT id, fiber_id, weight, count(*) AS ends FROM (SELECT id, fiber_id, weight FROM e JOIN m ON m.neuron_id = source_id UNION ALL SELECT id, fiber_id, weight FROM e JOIN m ON m.neuron_id = target_id) GROUP BY ALL)
  SELECT id, round(least(1.0, any_value(weight) * pow(1.1, count(*) FILTER (WHERE ends = 2)) * pow(0.98, count(*) FILTER (WHERE ends = 1))), 9) AS weight FROM k GROUP BY 1""")
-C.add("maint_dream", lambda t: M.dream(t.synapses, t.neurons))
+C.add("maint_dream", lambda t: M.dream(t.raw("synapses"), t.neurons, seeds=8, threshold=0.1), """{e, n} WITH RECURSIVE b AS (SELECT source_id AS src, target_id AS dst, weight FROM e WHERE source_id IS NOT NULL AND target_id IS NOT NULL UNION SELECT target_id, source_id, weight FROM e WHERE source_id <> target_id),
+ l AS (SELECT src, dst, max(weight) AS w FROM b WHERE weight >= 0.1 GROUP BY 1, 2), a AS (SELECT id AS q FROM n ORDER BY md5(id), id LIMIT 8),
+ r AS (SELECT q, q AS node, 1.0::DOUBLE AS level, 0 AS hop FROM a UNION ALL SELECT q, dst, level * w * 0.5, hop + 1 FROM r JOIN l ON node = src WHERE hop < 2 AND level * w * 0.5 >= 0.1),
+ best AS (SELECT q, node, max(level) AS level FROM r GROUP BY 1, 2), k AS (SELECT q, node FROM best WHERE node <> q QUALIFY row_number() OVER (PARTITION BY q ORDER BY level DESC, node) <= 100),
+ p AS (SELECT DISTINCT x.node, y.node AS other FROM k x JOIN k y ON x.q = y.q AND x.node < y.node)
+ SELECT node, other, 0.1::DOUBLE AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE least(source_id, target_id) = node AND greatest(source_id, target_id) = other) ORDER BY node, other LIMIT 200""")
 C.add("maint_lifecycle", lambda t: M.lifecycle(t.neurons, t.states, now=NOW), f"""{{st}} WITH x AS (SELECT id, {_IDLE} AS d, coalesce(access_frequency, 0) AS u, greatest(0, least(10, coalesce(metadata.priority, 5))) AS p FROM n LEFT JOIN st ON neuron_id = id),
  h AS (SELECT id, d, 0.4 * exp(-d / 7) + 0.4 * least(1.0, u / 20) + 0.2 * p / 10 AS h FROM x)
  SELECT id, round(h, 6) AS heat, CASE WHEN h >= 0.5 AND d >= 7 THEN 'warm' WHEN d < 7 THEN 'active' WHEN d < 30 THEN 'warm' WHEN d < 90 THEN 'cool' WHEN d < 180 THEN 'compressed' ELSE 'archived' END AS state FROM h""")
@@ -74,9 +79,9 @@ C.add("cluster_drift", lambda t: t.neurons.select("id", F.explode("metadata.tags
       "{n} SELECT lower(tag) AS canonical, count(DISTINCT tag) AS variants FROM (SELECT unnest(metadata.tags) AS tag FROM n) WHERE tag IS NOT NULL GROUP BY 1 HAVING count(DISTINCT tag) > 1")
 C.add("cluster_schema_candidates", lambda t: _uncovered(t), """{ft, n} WITH c AS (SELECT DISTINCT lower(content) AS name FROM n WHERE type = 'schema') SELECT tag, count(*) AS fibers FROM ft WHERE lower(tag) NOT IN (SELECT name FROM c WHERE name IS NOT NULL) GROUP BY 1 HAVING count(*) >= 10""")
 C.add("cluster_patterns", lambda t: _patterns(t), """{fm, n} SELECT content AS entity, count(DISTINCT fiber_id) AS fibers FROM fm JOIN n ON n.id = neuron_id WHERE type = 'entity' AND length(trim(content)) > 1 GROUP BY 1 HAVING count(DISTINCT fiber_id) >= 3""")
-C.add("cluster_overlapping_decisions", lambda t: _decisions(t), """WITH d AS (SELECT DISTINCT text, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS w FROM documents WHERE memory_type = 'decision' AND lang = 'en'), s AS (SELECT min(doc_id) AS id, w FROM documents JOIN d USING (text) WHERE memory_type = 'decision' AND lang = 'en' AND len(w) > 0 GROUP BY w)
+_DTOK = sql_tokens("text")
+C.add("cluster_overlapping_decisions", lambda t: _decisions(t), f"""WITH d AS (SELECT DISTINCT text, list_sort(list_distinct({_DTOK})) AS w FROM documents WHERE memory_type = 'decision' AND text IS NOT NULL), s AS (SELECT min(doc_id) AS id, w FROM documents JOIN d USING (text) WHERE memory_type = 'decision' AND len(w) > 0 GROUP BY w)
  SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS score FROM s x JOIN s y ON x.id < y.id WHERE len(list_intersect(x.w, y.w)) >= 0.25 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
-C.add("cluster_overlapping_decisions_all", lambda t: _all_decisions(t))
 C.add("cluster_lcs", lambda t: K.common_subsequence(t.fibers.select("id", F.col("pathway").alias("a"), F.col("neuron_ids").alias("b"))))
 
 
@@ -93,16 +98,8 @@ def _patterns(t):
 def _decisions(t):
     from engramlake.functions.scalar import search_tokens
 
-    docs = t.documents.where("memory_type = 'decision' AND lang = 'en'")
-    rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("item"))
-    return K.set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
-
-
-def _all_decisions(t):
-    from engramlake.functions.scalar import script_tokens
-
     docs = t.documents.where("memory_type = 'decision'")
-    rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(F.array_distinct(script_tokens(F.col("text")))).alias("item"))
+    rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("item"))
     return K.set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
 
 
@@ -132,4 +129,5 @@ C.add("merge_changes", lambda t: G.merge_changes(_changes(t).where("device_id <
  SELECT coalesce(l.entity_type, r.entity_type) AS entity_type, coalesce(l.entity_id, r.entity_id) AS entity_id, CASE WHEN r.x IS NULL THEN 'local' WHEN l.x IS NULL THEN 'remote' WHEN l.x[2] = 'delete' THEN 'local' WHEN r.x[2] = 'delete' THEN 'remote' WHEN r.x[1] > l.x[1] THEN 'remote' ELSE 'local' END AS winner FROM l FULL JOIN r ON l.entity_type = r.entity_type AND l.entity_id = r.entity_id""")
 C.add("merge_change_stats", lambda t: _changes(t).groupBy("entity_type", "operation").agg(F.count("*").alias("n"), F.max("sequence").alias("last")), f"WITH {_TX} SELECT entity_type, operation, count(*) AS n, max(sequence) AS last FROM tx GROUP BY 1, 2")
 C.add("merge_changes_since", lambda t: _changes(t).where("sequence > 500").orderBy("sequence", "receipt_id").limit(100).select("receipt_id", "sequence"), f"WITH {_TX} SELECT receipt_id, sequence FROM tx WHERE sequence > 500 ORDER BY sequence, receipt_id LIMIT 100")
-C.add("merge_superseded_updates", lambda t: G.superseded_updates(_changes(t).withColumn("synced", F.lit(False))), f"WITH {_TX} SELECT receipt_id FROM tx x WHERE operation = 'update' AND EXISTS (SELECT 1 FROM tx y WHERE y.operation = 'update' AND y.entity_type = x.entity_type AND y.entity_id = x.entity_id AND y.sequence > x.sequence)")
+C.add("merge_superseded_updates", lambda t: G.superseded_updates(_changes(t).join(L.synced_receipts(t.raw("change_log")), "receipt_id")),
+      f"WITH {_TX}, sy AS (SELECT receipt_id, coalesce(bool_or((c->>'synced')::BOOLEAN), false) AS synced FROM whole WHERE c->>'entity_id' IS NOT NULL AND c->>'sequence' IS NOT NULL GROUP BY 1), p AS (SELECT * FROM tx JOIN sy USING (receipt_id) WHERE operation = 'update' AND NOT synced) SELECT receipt_id FROM p x WHERE EXISTS (SELECT 1 FROM p y WHERE y.entity_type = x.entity_type AND y.entity_id = x.entity_id AND y.sequence > x.sequence)")

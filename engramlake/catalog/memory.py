@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.catalog.base import NOW, Catalog, age
+from engramlake.catalog.base import NOW, Catalog, age, sql_words
 from engramlake.operators import graph as G
 from engramlake.operators import memory as M
 from engramlake.operators import stats as A
@@ -14,7 +14,7 @@ X = lambda: F.col("text")
 _A = "greatest(0.0, (epoch_us(TIMESTAMP '" + NOW + "') - epoch_us({})) / 86400e6)"
 _docs = lambda t: t.documents.where("text IS NOT NULL")
 _ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in M.ROUTES) + " ELSE 'associative' END"
-_W = "regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')"
+_W = sql_words("text")
 _in = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 C.add("memory_route", lambda t: _docs(t).select("doc_id", M.route(X()).alias("kind")), f"SELECT doc_id, {_ROUTE} AS kind FROM documents WHERE text IS NOT NULL")

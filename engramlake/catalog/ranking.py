@@ -36,9 +36,7 @@ C.add("rank_levels", lambda t: R.to_levels(R.fuse(_ranked(t))),
       f"{{st}} WITH {_RANKED} SELECT query_id, neuron_id, round(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE 0.1 + 0.9 * (score - lo) / (hi - lo) END, 9) AS level FROM fu JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM fu GROUP BY 1) USING (query_id)")
 
 # activations: every brain is a query, its neurons' levels, their type the source
-# The SQL looks at the most active nodes of a brain only; the queries look at all.
-ACTIVE = 10_000
-_ACT = f"ac AS (SELECT brain_id AS query_id, id AS node, activation_level AS level, type AS source FROM n JOIN st ON st.neuron_id = n.id WHERE activation_level >= 0.2 QUALIFY row_number() OVER (PARTITION BY brain_id ORDER BY activation_level DESC, id) <= {ACTIVE})"
+_ACT = "ac AS (SELECT brain_id AS query_id, id AS node, activation_level AS level, type AS source FROM n JOIN st ON st.neuron_id = n.id WHERE activation_level >= 0.2)"
 
 
 def _active(t):
@@ -73,13 +71,13 @@ def _context(t):
     return t.fibers.select(F.col("id").alias("fiber_id"), F.array_distinct(F.array_compact(tags)).alias("tags")).where("size(tags) > 0").select("fiber_id", F.round(S.jaccard(F.col("tags"), mine), 6).alias("score"))
 
 
-C.add("rank_auto_strategy", lambda t: _strategy(t), """{e, n} SELECT brain_id, CASE WHEN d < 1 THEN 'classic' WHEN d > 3 THEN 'ppr' ELSE 'hybrid' END AS strategy FROM (SELECT brain_id, count(*) / (SELECT count(*) FROM n WHERE n.brain_id = e.brain_id) AS d FROM e GROUP BY 1)""")
+C.add("rank_auto_strategy", lambda t: _strategy(t), """{e, n} SELECT brain_id, CASE WHEN d < 3 THEN 'classic' WHEN d > 8 THEN 'ppr' ELSE 'hybrid' END AS strategy FROM (SELECT brain_id, count(*) / (SELECT count(*) FROM n WHERE n.brain_id = e.brain_id) AS d FROM e GROUP BY 1)""")
 
 
 def _strategy(t):
     edges, nodes = t.synapses.groupBy("brain_id").agg(F.count("*").alias("e")), t.neurons.groupBy("brain_id").agg(F.count("*").alias("n"))
     d = F.col("e") / F.col("n")
-    return edges.join(nodes, "brain_id").select("brain_id", F.when(d < 1, "classic").when(d > 3, "ppr").otherwise("hybrid").alias("strategy"))
+    return edges.join(nodes, "brain_id").select("brain_id", F.when(d < 3, "classic").when(d > 8, "ppr").otherwise("hybrid").alias("strategy"))
 
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(summary, ''), '[ \t\r\n]+'), lambda w: w <> ''))"

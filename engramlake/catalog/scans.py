@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.catalog.base import NOW, Catalog, age, now
+from engramlake.catalog.base import NOW, Catalog, age, now, sql_tokens
 from engramlake.functions import scalar as S
 from engramlake.operators import scans as O
 
 C = Catalog()
 HUB = "neu-0000000000"
+_TOK = sql_tokens("content")
 
 
 C.add("scan_get_neuron", lambda t: O.by_ids(t.neurons, [HUB]).select("id", "type", "content"), f"{{n}} SELECT id, type, content FROM n WHERE id = '{HUB}'")
@@ -17,10 +18,13 @@ C.add("scan_get_neurons_batch", lambda t: O.by_ids(t.neurons, [HUB, "neu-f2dac9a
 C.add("scan_find_neurons", lambda t: O.unique(O.find_neurons(t.raw("neurons"), type="concept", contains="budget", since="2025-01-01", until="2026-12-31")).select("id", "content"),
       "{n} SELECT id, content FROM n WHERE type = 'concept' AND contains(lower(content), 'budget') AND created_at BETWEEN '2025-01-01' AND '2026-12-31'")
 C.add("scan_match_tokens", lambda t: O.unique(O.match_tokens(t.raw("neurons"), "merge plan")).select("id"),
-      "{n} SELECT id FROM n WHERE list_has_all(regexp_extract_all(lower(content), '[a-z0-9]{3,}'), ['merge', 'plan'])")
-C.add("scan_bm25", lambda t: O.bm25(t.neurons, t.spark.createDataFrame([(1, "orphan synapses"), (2, "merge plan budget"), (3, "priming cache")], "query_id int, query string")).select("query_id", "id", "score", "rank"),
-      """{n} WITH docs AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]{3,}') AS w FROM n WHERE length(content) >= 25),
- s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM docs), q(query_id, word) AS (VALUES (1, 'orphan'), (1, 'synapses'), (2, 'merge'), (2, 'plan'), (2, 'budget'), (3, 'priming'), (3, 'cache')),
+      f"{{n}} SELECT id FROM n WHERE list_has_all({_TOK}, ['merge', 'plan'])")
+C.add("scan_match_script_tokens", lambda t: O.unique(O.match_tokens(t.raw("neurons"), "индекс якорей")).select("id").unionByName(O.unique(O.match_tokens(t.raw("neurons"), "索引")).select("id")).distinct(),
+      f"{{n}} SELECT id FROM n WHERE list_has_all({_TOK}, ['индекс', 'якорей']) OR list_contains({_TOK}, '索引')")
+_ASKED = [(1, "orphan synapses"), (2, "merge plan budget"), (3, "priming cache"), (4, "длинные трассы"), (5, "同步中心")]
+C.add("scan_bm25", lambda t: O.bm25(t.neurons, t.spark.createDataFrame(_ASKED, "query_id int, query string")).select("query_id", "id", "score", "rank"),
+      f"""{{n}} WITH docs AS (SELECT id, {_TOK} AS w FROM n WHERE length(content) >= 25),
+ s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM docs), q(query_id, word) AS (VALUES (1, 'orphan'), (1, 'synapses'), (2, 'merge'), (2, 'plan'), (2, 'budget'), (3, 'priming'), (3, 'cache'), (4, 'длинные'), (4, 'трассы'), (5, '同步'), (5, '步中'), (5, '中心')),
  tf AS (SELECT id, len(w) AS l, word, count(*) AS tf FROM (SELECT id, w, unnest(w) AS word FROM docs) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
  sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 9) AS score FROM tf JOIN df USING (word) JOIN q USING (word) CROSS JOIN s GROUP BY 1, 2)
  SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""")
@@ -59,8 +63,10 @@ C.add("scan_geo_within", lambda t: O.within(t.raw("supplier").withColumns(_place
 _Q = [round(((i * 37) % 64 - 31.5) / 32, 6) for i in range(64)]
 _GOOD = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 C.add("vector_knn", lambda t: O.knn(t.neurons, _Q), f"{{n}} SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS similarity FROM n WHERE {_GOOD} ORDER BY similarity DESC, id LIMIT 10")
-C.add("vector_dedup_ladder", lambda t: O.knn(O.unique(t.raw("neurons").where("type = 'concept'")), _Q, k=50).select("id", F.when(F.col("similarity") >= 0.25, "duplicate").when(F.col("similarity") < 0.2, "distinct").otherwise("undecided").alias("verdict")),
-      f"{{n}} SELECT id, CASE WHEN s >= 0.25 THEN 'duplicate' WHEN s < 0.2 THEN 'distinct' ELSE 'undecided' END AS verdict FROM (SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS s FROM n WHERE type = 'concept' AND {_GOOD} ORDER BY s DESC, id LIMIT 50)")
+C.add("vector_dedup_ladder", lambda t: O.dedup_ladder(t.neurons, t.neurons.groupBy("brain_id").agg(F.min(F.when(O.usable("embedding", 64), F.struct("id", "embedding"))).alias("m")).where("m IS NOT NULL").select("m.*")),
+      f"""{{n}} WITH g AS (SELECT id, brain_id, embedding::DOUBLE[] AS v FROM n WHERE {_GOOD}), q AS (SELECT arg_min(id, id) AS id, arg_min(v, id) AS v FROM g GROUP BY brain_id),
+ s AS (SELECT q.id, g.id AS other, round(list_cosine_similarity(g.v, q.v), 6) AS s FROM q JOIN g ON g.id <> q.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(g.v, q.v), 6) DESC, g.id) = 1)
+ SELECT id, other, s AS similarity, CASE WHEN s >= 0.85 THEN 'duplicate' WHEN s < 0.75 THEN 'distinct' ELSE 'undecided' END AS verdict FROM s WHERE s > 0""")
 C.add("vector_fiber_centroids", lambda t: _fiber_centroids(t), f"""{{fm, n}} WITH v AS (SELECT fiber_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM fm JOIN n ON n.id = neuron_id WHERE {_GOOD}),
  c AS (SELECT fiber_id, i, avg(x) AS x FROM v GROUP BY 1, 2), m AS (SELECT fiber_id, list(x ORDER BY i) AS c FROM c GROUP BY 1)
  SELECT fiber_id, round(list_cosine_similarity(c, {_Q}::DOUBLE[]), 6) AS similarity FROM m ORDER BY similarity DESC, fiber_id LIMIT 10""")
@@ -83,16 +89,14 @@ C.add("fn_priority_multiplier", lambda t: t.neurons.select("id", F.round(S.prior
       "{n} SELECT id, round(1 + 0.3 * (greatest(0, least(10, coalesce(metadata.priority, 5))) - 5) / 5, 6) AS m FROM n")
 C.add("fn_token_estimate", lambda t: t.documents.select("doc_id", S.token_estimate(F.col("text")).alias("tokens")),
       r"SELECT doc_id, floor(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda w: w <> '')) * 1.3)::INT AS tokens FROM documents")
-C.add("fn_char_entropy", lambda t: t.neurons.where(F.length("content") <= 80).select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")),
-      """{n} WITH c AS (SELECT id, content, unnest(string_split(content, '')) AS ch FROM n WHERE length(content) BETWEEN 1 AND 80), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
+C.add("fn_char_entropy", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")),
+      """{n} WITH c AS (SELECT id, unnest(list_transform(range(1, length(content) + 1), lambda i: substring(content, i, 1))) AS ch FROM n WHERE content <> ''), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
  SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
-C.add("fn_char_entropy_all", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")))
 C.add("fn_levenshtein", lambda t: O.unique(t.raw("neurons").where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0)).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
       "{n} SELECT id, levenshtein(lower(content), 'anchor index')::INT AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
-C.add("fn_prefix_variants", lambda t: t.neurons.where(F.length("content").between(5, 20)).select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")),
-      "{n} SELECT id, content[1:3] AS p3, content[1:length(content) - 2] AS stem FROM n WHERE length(content) BETWEEN 5 AND 20")
-C.add("fn_prefix_variants_all", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, length(content) - 2)").alias("stem")))
-C.add("fn_idf", lambda t: _idf(t), """{n} WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS word FROM n), d AS (SELECT word, count(*) AS df FROM w GROUP BY 1), m AS (SELECT count(*) AS n FROM n)
+C.add("fn_prefix_variants", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, greatest(0, length(content) - 2))").alias("stem")),
+      "{n} SELECT id, substring(content, 1, 3) AS p3, substring(content, 1, greatest(0, length(content) - 2)) AS stem FROM n WHERE content IS NOT NULL")
+C.add("fn_idf", lambda t: _idf(t), f"""{{n}} WITH w AS (SELECT DISTINCT id, unnest({_TOK}) AS word FROM n), d AS (SELECT word, count(*) AS df FROM w GROUP BY 1), m AS (SELECT count(*) AS n FROM n)
  SELECT word, df, round(ln((m.n + 1) / (1 + df)) / ln(m.n + 1), 6) AS idf, greatest(1, least(5, ceil(round(ln((m.n + 1) / (1 + df)) / ln(m.n + 1), 6) * 5)))::INT AS anchors FROM d CROSS JOIN m WHERE df >= 3""")
 
 
@@ -109,17 +113,7 @@ _SYM = ("related_to", "similar_to", "co_occurs", "contradicts", "alias")
 C.add("fn_edge_id", lambda t: t.synapses.select("id", S.deterministic_edge_id(F.col("source_id"), F.col("target_id"), F.col("type"), F.col("type").isin(*_SYM)).alias("edge_id")),
       f"{{e}} SELECT id, sha256(concat_ws('|', CASE WHEN type IN {_SYM} THEN least(source_id, target_id) ELSE source_id END, CASE WHEN type IN {_SYM} THEN greatest(source_id, target_id) ELSE target_id END, type)) AS edge_id FROM e")
 C.add("fn_normalise", lambda t: t.neurons.select("id", S.normalise_search(F.col("content")).alias("text")), "{n} SELECT id, lower(trim(content)) AS text FROM n")
-C.add("fn_hash_pairs", lambda t: _hash_pairs(t), """{n} WITH h AS (SELECT min(id) AS id, content_hash AS h, count(*) AS copies FROM n WHERE content_hash <> 0 GROUP BY 2)
- SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 3""")
-
-
-def _hash_pairs(t):
-    """Pairs of different hashes within Hamming distance 3, each by its smallest id.
-
-    Four bands of 16 bits, of which one must agree; copies of a hash are one entry.
-    """
-    h = t.raw("neurons").where("content_hash <> 0 AND id IS NOT NULL").groupBy(F.col("content_hash").alias("h")).agg(F.min("id").alias("id"))
-    bands = h.select("id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])).alias("band", "bits"))
-    pair = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.h") < F.col("y.h")))
-    near = pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), S.hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
-    return near.where("distance <= 3").distinct()
+_HASHES = """{{n}} WITH h AS (SELECT min(id) AS id, content_hash AS h FROM n WHERE content_hash <> 0 GROUP BY 2)
+ SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= {}"""
+C.add("fn_hash_pairs", lambda t: O.near_hashes(t.raw("neurons"), limit=7), _HASHES.format(7))
+C.add("fn_near_hashes", lambda t: O.near_hashes(t.raw("neurons"), limit=10), _HASHES.format(10))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engramlake.catalog.base import NOW, Catalog, age, fiber_tags, members, now
+from engramlake.catalog.base import NOW, Catalog, age, fiber_tags, members, now, sql_tokens
+from engramlake.operators import memory as B
 from engramlake.operators import scans as O
 from engramlake.operators import sequences as Q
 from engramlake.operators import stats as A
@@ -32,7 +33,7 @@ C.add("stats_tool", lambda t: t.events.groupBy("event_type").agg(F.count("*").al
       "SELECT event_type, count(*) AS n, round(avg((value > 0)::INT), 2) AS success, round(avg(value), 4) AS mean_value FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 20")
 C.add("stats_tool_by_day", lambda t: t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).orderBy(F.desc("day"), F.desc("n"), "event_type").limit(50),
       "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2 ORDER BY 1 DESC, 3 DESC, 2 LIMIT 50")
-C.add("stats_keyword_df", lambda t: _df(t), "{n} SELECT word, count(*) AS df FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[a-z0-9]{3,}')) AS word FROM n) GROUP BY 1 HAVING count(*) >= 2")
+C.add("stats_keyword_df", lambda t: _df(t), f"{{n}} SELECT word, count(*) AS df FROM (SELECT DISTINCT id, unnest({sql_tokens('content')}) AS word FROM n) GROUP BY 1 HAVING count(*) >= 2")
 
 
 def _df(t):
@@ -45,14 +46,17 @@ C.add("stats_tag_cooccurrence", lambda t: A.tag_cooccurrence(fiber_tags(t.fibers
 C.add("stats_tag_counts", lambda t: fiber_tags(t.fibers).groupBy("tag").agg(F.count("*").alias("fibers")), "{ft} SELECT tag, count(*) AS fibers FROM ft GROUP BY 1")
 C.add("stats_orphans", lambda t: A.orphans(t.neurons, t.raw("synapses"), members(t.raw("fibers"))).select("id"),
       "{n, e, fm} SELECT id FROM n WHERE id NOT IN (SELECT source_id FROM e WHERE source_id IS NOT NULL UNION SELECT target_id FROM e WHERE target_id IS NOT NULL UNION SELECT neuron_id FROM fm)")
-C.add("stats_health", lambda t: A.health(t.neurons, t.synapses, members(t.fibers), t.fibers, t.states, now=NOW), f"""{{st, fm}} WITH a AS (SELECT brain_id, count(*) AS n FROM n GROUP BY 1), b AS (SELECT brain_id, count(*) AS e, avg(weight) AS w FROM e GROUP BY 1),
+C.add("stats_health", lambda t: A.health(t.neurons, t.synapses, members(t.fibers), t.fibers, t.states, now=NOW), f"""{{st, fm}} WITH a AS (SELECT brain_id, count(*) AS n FROM n GROUP BY 1),
+ b AS (SELECT brain_id, count(*) AS e, count(*) FILTER (WHERE lower(type) NOT IN {A.STRUCTURAL}) AS org, count(*) FILTER (WHERE lower(type) = 'contradicts') AS con, avg(weight) AS w FROM e GROUP BY 1),
  k AS (SELECT brain_id, type, count(*) AS k FROM e GROUP BY 1, 2), d AS (SELECT brain_id, -sum(k / b.e * ln(k / b.e)) / ln(8) AS d FROM k JOIN b USING (brain_id) GROUP BY 1),
- fr AS (SELECT brain_id, avg(({_A.format('coalesce(last_conducted, created_at)')} < 30)::INT) AS fresh FROM f GROUP BY 1),
+ og AS (SELECT *, {_A.format('created_at')} * 24 AS h, coalesce(frequency, 0) AS fr FROM f WHERE NOT list_contains(list_concat(coalesce(auto_tags, []), coalesce(agent_tags, [])), 'code_index')),
+ fr AS (SELECT brain_id, avg(({_A.format('coalesce(last_conducted, created_at)')} <= 7)::INT) AS fresh, avg((h >= 172.5 AND (fr / 2 >= 3 OR fr >= 15))::INT) AS sem FROM og GROUP BY 1),
  lo AS (SELECT brain_id, count(*) AS lone FROM n WHERE id NOT IN (SELECT source_id FROM e WHERE source_id IS NOT NULL UNION SELECT target_id FROM e WHERE target_id IS NOT NULL UNION SELECT neuron_id FROM fm) GROUP BY 1),
  ef AS (SELECT brain_id, avg((access_frequency > 0)::INT) AS eff FROM n JOIN st ON neuron_id = id GROUP BY 1),
- m AS (SELECT brain_id, 1 / (1 + exp(-1.5 * (coalesce(e, 0) / n - 3))) AS c, least(1.0, coalesce(d, 0)) AS d, coalesce(fresh, 0) AS fresh, coalesce(lone, 0) / n AS o, coalesce(eff, 0) AS eff, coalesce(w, 0) AS w
- FROM a LEFT JOIN b USING (brain_id) LEFT JOIN d USING (brain_id) LEFT JOIN fr USING (brain_id) LEFT JOIN lo USING (brain_id) LEFT JOIN ef USING (brain_id)), s AS (SELECT *, 100 * (0.25 * c + 0.20 * d + 0.15 * fresh + 0.10 * (1 - o) + 0.10 * eff + 0.05 * w) AS s FROM m)
- SELECT brain_id, round(c, 6) AS connectivity, round(d, 6) AS diversity, round(fresh, 6) AS freshness, round(o, 6) AS orphan_rate, round(s, 4) AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""")
+ m AS (SELECT brain_id, 1 / (1 + exp(-1.5 * (coalesce(org, 0) / n - 3))) AS c, least(1.0, coalesce(d, 0)) AS d, coalesce(fresh, 0) AS fresh, coalesce(sem, 0) AS sem, coalesce(lone, 0) / n AS o, coalesce(eff, 0) AS eff, coalesce(w, 0) AS w, least(10.0, 50 * coalesce(con, 0) / n) AS pen
+ FROM a JOIN fr USING (brain_id) LEFT JOIN b USING (brain_id) LEFT JOIN d USING (brain_id) LEFT JOIN lo USING (brain_id) LEFT JOIN ef USING (brain_id)),
+ s AS (SELECT *, greatest(0.0, 100 * (0.25 * c + 0.20 * d + 0.15 * fresh + 0.15 * sem + 0.10 * (1 - o) + 0.10 * eff + 0.05 * greatest(0, least(1, w))) - pen) AS s FROM m)
+ SELECT brain_id, round(c, 6) AS connectivity, round(d, 6) AS diversity, round(fresh, 6) AS freshness, round(sem, 6) AS consolidation, round(o, 6) AS orphan_rate, round(pen, 6) AS penalty, round(s, 4) AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""")
 C.add("stats_evolution", lambda t: A.evolution(t.neurons, t.synapses, t.fibers, now=NOW), f"""{{n, e, f}} WITH p AS (SELECT brain_id, avg((coalesce({_A.format('created_at')} <= 7 AND created_at IS NOT NULL, false) OR coalesce({_A.format('last_activated')} <= 7 AND last_activated IS NOT NULL, false))::INT) AS plasticity FROM e GROUP BY 1),
  a AS (SELECT brain_id, avg(coalesce({_A.format('last_conducted')} <= 7 AND last_conducted IS NOT NULL, false)::INT) AS activity, 1 / (1 + exp(0.1 * ({_A.format('max(coalesce(last_conducted, created_at))')} - 30))) AS decay FROM f GROUP BY 1)
  SELECT brain_id, round(plasticity, 6) AS plasticity, round(activity, 6) AS activity, round(decay, 6) AS decay FROM (SELECT DISTINCT brain_id FROM n) LEFT JOIN p USING (brain_id) LEFT JOIN a USING (brain_id)""")
@@ -65,8 +69,12 @@ def _fresh(t):
     return t.documents.groupBy(freshness_bucket(age()).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-C.add("stats_uncertainty", lambda t: t.neurons.groupBy("brain_id").agg(F.count_if("metadata.disputed").alias("disputed"), F.count_if("metadata.superseded").alias("superseded")),
-      "{n} SELECT brain_id, count(*) FILTER (WHERE metadata.disputed) AS disputed, count(*) FILTER (WHERE metadata.superseded) AS superseded FROM n GROUP BY 1")
+_TM = "tm AS (SELECT brain_id, coalesce(map {" + ", ".join(f"'{k}': {v}" for k, v in B.TRUST.items()) + "}[memory_type], 0.5) AS trust, created_at + to_days(CASE memory_type WHEN 'todo' THEN 30 WHEN 'context' THEN 7 WHEN 'error' THEN 90 END) AS expires_at FROM documents)"
+C.add("stats_uncertainty", lambda t: A.uncertainty(t.synapses, t.neurons, O.typed_memories(t.documents).join(t.documents.select("doc_id", B.trust(F.lit(None).cast("double"), F.col("memory_type")).alias("trust")), "doc_id"), now=NOW),
+      f"""{{n, e}} WITH {_TM}, a AS (SELECT brain_id, count(*) AS contradictions FROM e WHERE type = 'contradicts' GROUP BY 1), b AS (SELECT brain_id, count(*) FILTER (WHERE trust <= 0.4) AS low_evidence, count(*) FILTER (WHERE expires_at > '{NOW}' AND expires_at <= TIMESTAMP '{NOW}' + INTERVAL 14 DAY) AS expiring FROM tm GROUP BY 1),
+ c AS (SELECT brain_id, count(*) FILTER (WHERE metadata.superseded) AS superseded FROM n GROUP BY 1), g AS (SELECT brain_id, lower(tag) AS t, count(DISTINCT tag) AS k FROM (SELECT brain_id, unnest(metadata.tags) AS tag FROM n) WHERE tag IS NOT NULL GROUP BY 1, 2), d AS (SELECT brain_id, count(*) FILTER (WHERE k > 1) AS drift FROM g GROUP BY 1),
+ r AS (SELECT brain_id, coalesce(contradictions, 0) AS contradictions, coalesce(low_evidence, 0) AS low_evidence, superseded, coalesce(expiring, 0) AS expiring, coalesce(drift, 0) AS drift FROM c LEFT JOIN a USING (brain_id) LEFT JOIN b USING (brain_id) LEFT JOIN d USING (brain_id))
+ SELECT *, CASE WHEN contradictions > 0 OR low_evidence > 0 THEN 'high' WHEN superseded > 0 OR expiring > 0 OR drift > 0 THEN 'medium' ELSE 'low' END AS level FROM r""")
 C.add("stats_calibration", lambda t: t.events.agg(F.count_if(F.col("value") > 50).alias("correct"), F.count_if(F.col("value") <= 50).alias("wrong"), F.round(F.coalesce(F.count_if(F.col("value") > 50) / F.count("value"), F.lit(0.5)), 6).alias("score")),
       "SELECT count(*) FILTER (WHERE value > 50) AS correct, count(*) FILTER (WHERE value <= 50) AS wrong, round(coalesce(count(*) FILTER (WHERE value > 50) / count(value), 0.5), 6) AS score FROM events")
 C.add("stats_extrapolate", lambda t: A.extrapolate(t.events.groupBy(F.col("event_type").alias("group"), F.month("ts").alias("step")).agg(F.array(F.avg("value"), F.count("*").cast("double")).alias("values"))))

@@ -173,19 +173,14 @@ def normalise_search(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-def search_tokens(text: Column) -> Column:
-    """Lower-case runs of Latin letters and digits of three or more characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]{3,})"), F.lit(1))
-
-
 #: Scripts that are written without spaces between words.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30fc\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
-def script_tokens(text: Column) -> Column:
+def search_tokens(text: Column) -> Column:
     """Lower-case runs of three or more letters and digits of any script; pairs of neighbours in scripts without spaces."""
     low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit(rf"([\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]{{3,}})"), F.lit(1))
+    words = F.regexp_extract_all(F.regexp_replace(low, rf"[{_UNSPACED}]", " "), F.lit(r"([\p{L}\p{M}\p{N}]{3,})"), F.lit(1))
     runs = F.regexp_extract_all(low, F.lit(rf"([{_UNSPACED}]+)"), F.lit(1))
     pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2))))
     return F.concat(words, F.flatten(pairs))

@@ -42,11 +42,12 @@ SECRETS = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z0-9]{2,})"), F.lit(1))
+    """Search tokens of a text that do not begin with a digit."""
+    return F.filter(S.search_tokens(text), lambda w: ~w.rlike(r"^\p{N}"))
 
 
 def keywords(text: Column, k: int = 10) -> Column:
-    """Distinct words without stop words, most frequent first, then as they come."""
+    """The first ``k`` distinct words without stop words, as they come."""
     kept = F.filter(words(text), lambda w: ~w.isin(STOP))
     return F.slice(F.array_distinct(kept), 1, k)
 
@@ -118,9 +119,12 @@ def redact_secrets(text: Column, least: int = 2) -> Column:
 
 def repetitive(text: Column) -> Column:
     """Whether fewer than half of the three-word runs of a text of 12 or more words are distinct."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
-    return F.when(F.size(w) >= 12, F.size(F.array_distinct(runs)) * 2 < F.size(runs)).otherwise(False)
+
+    def test(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
+        return F.when(F.size(w) >= 12, F.size(F.array_distinct(runs)) * 2 < F.size(runs)).otherwise(False)
+
+    return F.transform(F.array(words(text)), test)[0]  # the words are worked out once
 
 
 def sentences(text: Column) -> Column:

@@ -42,6 +42,13 @@ def parse_changes(log: DataFrame) -> DataFrame:
     return flat.withColumn("operation", F.lower(F.trim("operation"))).where("entity_id IS NOT NULL AND sequence IS NOT NULL")
 
 
+def synced_receipts(log: DataFrame) -> DataFrame:
+    """``(receipt_id, synced)``: whether any whole copy of the receipt says that it was sent."""
+    v = F.try_parse_json("change")
+    rows = log.select("receipt_id", F.try_variant_get(v, "$.synced", "boolean").alias("synced"), F.try_variant_get(v, "$.entity_id", "string").alias("e"), F.try_variant_get(v, "$.sequence", "bigint").alias("s"))
+    return rows.where("receipt_id IS NOT NULL AND e IS NOT NULL AND s IS NOT NULL").groupBy("receipt_id").agg(F.coalesce(F.bool_or("synced"), F.lit(False)).alias("synced"))
+
+
 def assemble_transactions(changes: DataFrame) -> DataFrame:
     """One row for each receipt, at its lowest sequence.
 

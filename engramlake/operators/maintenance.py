@@ -82,10 +82,10 @@ def replay_salient(synapses: DataFrame, fibers: DataFrame, members: DataFrame, *
     return both.select("id", F.round(F.least(F.lit(1.0), F.col("weight") * F.pow(F.lit(up), F.col("inside")) * F.pow(F.lit(down), F.col("border"))), 9).alias("weight"))
 
 
-def dream(synapses: DataFrame, neurons: DataFrame, *, seeds: int = 5, hops: int = 2, k: int = 200) -> DataFrame:
+def dream(synapses: DataFrame, neurons: DataFrame, *, seeds: int = 5, hops: int = 2, k: int = 200, threshold: float = 0.2) -> DataFrame:
     """Weak links between nodes that the same seed activates; seeds are those with the smallest hashes."""
-    start = neurons.orderBy(F.xxhash64("id"), "id").limit(seeds).select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(1.0).alias("level"))
-    lit = top(spread(directed(synapses), start, max_hops=hops).where("hop > 0"), ["query_id"], [F.desc("level"), "node"], 100).select("query_id", "node")
+    start = neurons.orderBy(F.md5("id"), "id").limit(seeds).select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(1.0).alias("level"))
+    lit = top(spread(directed(synapses), start, max_hops=hops, threshold=threshold).where("node <> query_id"), ["query_id"], [F.desc("level"), "node"], 100).select("query_id", "node")
     pair = lit.join(lit.withColumnRenamed("node", "other"), "query_id").where("node < other").select("node", "other").distinct()  # at most 100 nodes a seed
     there = synapses.select(F.least("source_id", "target_id").alias("node"), F.greatest("source_id", "target_id").alias("other"))
     return pair.join(there, ["node", "other"], "left_anti").orderBy("node", "other").limit(k).withColumn("weight", F.lit(0.1))

@@ -79,7 +79,10 @@ def merge_payloads(pairs: DataFrame) -> DataFrame:
 
 
 def superseded_updates(changes: DataFrame) -> DataFrame:
-    """Receipts of pending updates that a newer pending update of the entity makes needless."""
+    """Receipts of pending updates that a newer pending update of the entity makes needless.
+
+    ``changes(receipt_id, sequence, entity_type, entity_id, operation, synced)``.
+    """
     pending = changes.where("operation = 'update' AND NOT synced")
     newest = pending.groupBy("entity_type", "entity_id").agg(F.max("sequence").alias("newest"))
     return pending.join(newest, ["entity_type", "entity_id"]).where("sequence < newest").select("receipt_id")

@@ -40,9 +40,9 @@ def find_neurons(neurons: DataFrame, *, type: str | None = None, contains: str |
 
 
 def match_tokens(rows: DataFrame, query: str, *, key: str = "id", text: str = "content") -> DataFrame:
-    """Rows that hold every word of the query as a word."""
-    words = sorted(set(w for w in query.lower().split() if len(w) >= 3))
-    return rows.where(F.size(F.array_intersect(S.search_tokens(F.col(text)), F.array(*map(F.lit, words)))) == len(words))
+    """Rows that hold every token of the query, in any script; a query without tokens matches none."""
+    wanted = S.search_tokens(F.lit(query))
+    return rows.where((F.size(wanted) > 0) & (F.size(F.array_except(wanted, S.search_tokens(F.col(text)))) == 0))
 
 
 def bm25(rows: DataFrame, queries: DataFrame, *, key: str = "id", text: str = "content", k: int = 10, k1: float = 1.2, b: float = 0.75, least_chars: int = 25) -> DataFrame:
@@ -161,6 +161,47 @@ def within(rows: DataFrame, lat: float, lon: float, radius_m: float) -> DataFram
     return near.where(S.haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= radius_m)
 
 
+def usable(vector: str, size: int) -> Column:
+    """``size`` numbers, none NaN, not all zero."""
+    return (F.size(vector) == size) & ~F.exists(vector, lambda x: F.isnan(x)) & F.exists(vector, lambda x: x != 0)
+
+
+def dedup_ladder(neurons: DataFrame, queries: DataFrame, *, size: int = 64, same: float = 0.85, other: float = 0.75) -> DataFrame:
+    """``(id, other, similarity, verdict)``: for each query the nearest of all other neurons, and what that says.
+
+    ``queries(id, embedding)`` is a stated small set (at most 1,000 rows); it is broadcast.
+    ``duplicate`` at ``same`` or more, ``distinct`` below ``other``, else ``undecided``.
+    """
+    if queries.limit(1001).count() > 1000:
+        raise ValueError("at most 1,000 queries")
+    asked = F.broadcast(queries.select("id", F.col("embedding").alias("q")))
+    rows = neurons.where(usable("embedding", size)).select(F.col("id").alias("other"), "embedding").join(asked, F.col("other") != F.col("id"))
+    scored = rows.select("id", "other", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("n"), "other")).alias("m")).select("id", "m.other", (-F.col("m.n")).alias("similarity"))
+    verdict = F.when(F.col("similarity") >= same, "duplicate").when(F.col("similarity") < other, "distinct").otherwise("undecided")
+    return best.where("similarity > 0").withColumn("verdict", verdict)
+
+
+def near_hashes(rows: DataFrame, *, limit: int, key: str = "id", value: str = "content_hash") -> DataFrame:
+    """``(a, b, distance)``: pairs of different 64-bit hashes within a Hamming distance, each by its smallest id.
+
+    Of four bands of 16 bits one differs in at most ``limit / 4`` bits, so a hash is stored
+    under its four bands and asks under each band and all that differ from it in so few
+    bits (17 or 137 for limits up to 7 or 11): exact.  A hash of 0 or null matches nothing;
+    copies of a hash are one entry.
+    """
+    from itertools import combinations
+
+    if not 0 <= limit < 16:
+        raise ValueError("limit is from 0 to 15")
+    flips = [sum(1 << i for i in bits) for r in range(limit // 4 + 1) for bits in combinations(range(16), r)]
+    h = rows.where((F.col(value) != 0) & F.col(key).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(key).alias("id"))
+    bands = h.select("id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])).alias("band", "bits"))
+    asks = bands.select("id", "h", "band", F.explode(F.array(*map(F.lit, flips))).alias("flip"), "bits").select(F.col("id").alias("i"), F.col("h").alias("g"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    near = bands.join(asks, ["band", "bits"]).where("h < g").select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b"), S.hamming(F.col("h"), F.col("g")).alias("distance"))
+    return near.where(F.col("distance") <= limit).distinct()
+
+
 def knn(rows: DataFrame, query: Sequence[float], *, key: str = "id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """Exact nearest vectors of one query; zero and wrong-length vectors are skipped."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import scalar as S
+from engramlake.operators.sequences import stage
 
 
 def edge_type_stats(synapses: DataFrame) -> DataFrame:
@@ -44,28 +45,61 @@ def orphans(neurons: DataFrame, synapses: DataFrame, members: DataFrame) -> Data
     return neurons.select("id", "brain_id").join(used, "id", "left_anti")
 
 
-def health(neurons: DataFrame, synapses: DataFrame, members: DataFrame, fibers: DataFrame, states: DataFrame, *, now) -> DataFrame:
-    """One row a brain: connectivity, diversity, freshness, orphan rate, efficiency, score, grade."""
+#: Edge types that are bookkeeping, not memory. Fixed values.
+STRUCTURAL = ("alias", "stored_by", "verified_at", "approved_by", "source_of")
+
+
+def health(neurons: DataFrame, synapses: DataFrame, members: DataFrame, fibers: DataFrame, states: DataFrame, *, now, days: float = 7) -> DataFrame:
+    """One row a brain: the seven weighted parts of its health, the penalty for conflicts, score and grade.
+
+    Connectivity counts edges that are not structural; freshness and consolidation are the
+    shares of fibers (none of the code index) used within ``days`` and of semantic stage.
+    A brain without fibers has no row.
+    """
     n = neurons.groupBy("brain_id").agg(F.count("*").alias("n"))
-    e = synapses.groupBy("brain_id").agg(F.count("*").alias("e"), F.avg("weight").alias("w"))
+    e = synapses.groupBy("brain_id").agg(F.count("*").alias("e"), F.count_if(~F.lower("type").isin(*STRUCTURAL)).alias("organic"), F.count_if(F.lower("type") == "contradicts").alias("against"), F.avg("weight").alias("w"))
     kinds = synapses.groupBy("brain_id", "type").agg(F.count("*").alias("k"))
     share = F.col("k") / F.col("e")
     diversity = kinds.join(e.select("brain_id", "e"), "brain_id").groupBy("brain_id").agg((-F.sum(share * F.log(share)) / F.log(F.lit(8.0))).alias("d"))
-    age = S.days_between(F.lit(now).cast("timestamp_ntz"), F.coalesce("last_conducted", "created_at"))
-    fresh = fibers.groupBy("brain_id").agg(F.avg((age < 30).cast("double")).alias("fresh"))
+    t = F.lit(now).cast("timestamp_ntz")
+    coded = F.array_contains(F.array_union(F.coalesce("auto_tags", F.array().cast("array<string>")), F.coalesce("agent_tags", F.array().cast("array<string>"))), "code_index")
+    used = F.coalesce("frequency", F.lit(0))
+    fresh = fibers.where(~coded).groupBy("brain_id").agg(
+        F.avg((S.days_between(t, F.coalesce("last_conducted", "created_at")) <= days).cast("double")).alias("fresh"),
+        F.avg((stage(S.days_between(t, F.col("created_at")) * 24, used, used / 2) == "semantic").cast("double")).alias("semantic"),
+    )
     lone = orphans(neurons, synapses, members).groupBy("brain_id").agg(F.count("*").alias("lone"))
-    used = neurons.join(states, F.col("id") == F.col("neuron_id")).groupBy("brain_id").agg(F.avg((F.col("access_frequency") > 0).cast("double")).alias("eff"))
-    rows = n.join(e, "brain_id", "left").join(diversity, "brain_id", "left").join(fresh, "brain_id", "left").join(lone, "brain_id", "left").join(used, "brain_id", "left")
+    busy = neurons.join(states, F.col("id") == F.col("neuron_id")).groupBy("brain_id").agg(F.avg((F.col("access_frequency") > 0).cast("double")).alias("eff"))
+    rows = n.join(e, "brain_id", "left").join(diversity, "brain_id", "left").join(fresh, "brain_id").join(lone, "brain_id", "left").join(busy, "brain_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    connectivity = S.sigmoid(1.5 * (zero("e") / F.col("n") - 3))
-    orphan = zero("lone") / F.col("n")
-    score = 100 * (0.25 * connectivity + 0.20 * F.least(F.lit(1.0), zero("d")) + 0.15 * zero("fresh") + 0.10 * (1 - orphan) + 0.10 * zero("eff") + 0.05 * zero("w"))
+    connectivity = S.sigmoid(1.5 * (zero("organic") / F.col("n") - 3))
+    orphan, penalty = zero("lone") / F.col("n"), F.least(F.lit(10.0), 50 * zero("against") / F.col("n"))
+    parts = 0.25 * connectivity + 0.20 * F.least(F.lit(1.0), zero("d")) + 0.15 * zero("fresh") + 0.15 * zero("semantic") + 0.10 * (1 - orphan) + 0.10 * zero("eff") + 0.05 * S.clamp(zero("w"), 0.0, 1.0)
+    score = F.greatest(F.lit(0.0), 100 * parts - penalty)
     return rows.select(
-        "brain_id", F.round(connectivity, 6).alias("connectivity"), F.round(F.least(F.lit(1.0), zero("d")), 6).alias("diversity"), F.round(zero("fresh"), 6).alias("freshness"),
-        F.round(orphan, 6).alias("orphan_rate"), F.round(score, 4).alias("score"), S.grade(score).alias("grade"),
+        "brain_id", F.round(connectivity, 6).alias("connectivity"), F.round(F.least(F.lit(1.0), zero("d")), 6).alias("diversity"), F.round(zero("fresh"), 6).alias("freshness"), F.round(zero("semantic"), 6).alias("consolidation"),
+        F.round(orphan, 6).alias("orphan_rate"), F.round(penalty, 6).alias("penalty"), F.round(score, 4).alias("score"), S.grade(score).alias("grade"),
     )
 
 
+def uncertainty(synapses: DataFrame, neurons: DataFrame, memories: DataFrame, *, now, days: int = 14, low: float = 0.4) -> DataFrame:
+    """One row a brain: contradictions, low evidence, superseded, expiring, drifting tags, and the level they give.
+
+    ``memories(brain_id, trust, expires_at)``; a tag drifts where a brain spells it in more
+    than one way.
+    """
+    a = synapses.where("type = 'contradicts'").groupBy("brain_id").agg(F.count("*").alias("contradictions"))
+    t = F.lit(now).cast("timestamp_ntz")
+    b = memories.groupBy("brain_id").agg(F.count_if(F.col("trust") <= low).alias("low_evidence"), F.count_if((F.col("expires_at") > t) & (F.col("expires_at") <= t + F.make_dt_interval(days=F.lit(days)))).alias("expiring"))
+    c = neurons.groupBy("brain_id").agg(F.count_if("metadata.superseded").alias("superseded"))
+    tags = neurons.select("brain_id", F.explode("metadata.tags").alias("tag")).where("tag IS NOT NULL").groupBy("brain_id", F.lower("tag").alias("t")).agg(F.countDistinct("tag").alias("k"))
+    d = tags.groupBy("brain_id").agg(F.count_if(F.col("k") > 1).alias("drift"))
+    names = ("contradictions", "low_evidence", "superseded", "expiring", "drift")
+    rows = c.join(a, "brain_id", "left").join(b, "brain_id", "left").join(d, "brain_id", "left").select("brain_id", *[F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in names])
+    level = F.when((F.col("contradictions") > 0) | (F.col("low_evidence") > 0), "high").when((F.col("superseded") > 0) | (F.col("expiring") > 0) | (F.col("drift") > 0), "medium").otherwise("low")
+    return rows.withColumn("level", level)
+
+
 def evolution(neurons: DataFrame, synapses: DataFrame, fibers: DataFrame, *, now) -> DataFrame:
     """One row a brain: plasticity, activity, decay."""
     t = F.lit(now).cast("timestamp_ntz")

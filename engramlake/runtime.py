@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Reads ``spark.checkpoint.dir`` from the session; only where it is unset, and no
-    folder was set on the context before, a temporary one is made (tests).
+    folder was set on the context before, a temporary one is made, and only in local mode:
+    a cluster must name a folder that all its executors share.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -47,7 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="engramlake-"))
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="engramlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
