@@ -35,6 +35,8 @@ C.add("graph_explain_connection", lambda t: G.shortest_paths(G.directed(t.raw("s
       f"""{{e, n}} WITH RECURSIVE {_BOTH}, l AS (SELECT DISTINCT src, dst FROM b), r AS (SELECT '{TWO}' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM r JOIN l ON node = src WHERE hop < 4),
  d AS (SELECT node, min(hop) AS hops FROM r GROUP BY 1) SELECT node AS target, round(exp(-0.4 * hops), 6) AS confidence FROM d JOIN n ON n.id = node WHERE n.type = 'schema'""")
 C.add("graph_spread", lambda t: _spread(t).select("query_id", "node", F.round("level", 9).alias("level")), _SPREAD + " SELECT query_id, node, round(level, 9) AS level FROM best")
+C.add("graph_spread_uses", lambda t: G.spread(G.directed(t.raw("synapses")), _anchors(t), uses=t.states.select(F.col("neuron_id").alias("node"), F.col("access_frequency").alias("frequency")), resting=t.neurons.where("metadata.superseded").select(F.col("id").alias("node"))).select("query_id", "node", F.round("level", 9).alias("level")),
+      _SPREAD.replace("{e}", "{st}").replace("max(weight) AS w FROM b WHERE weight >= 0.1 GROUP BY 1, 2)", "max(weight) * (1 + least(0.15, 0.05 * ln(1 + coalesce(any_value(access_frequency), 0)))) AS w FROM b LEFT JOIN st ON st.neuron_id = dst WHERE weight >= 0.1 AND dst NOT IN (SELECT id FROM n WHERE metadata.superseded) GROUP BY 1, 2)") + " SELECT query_id, node, round(level, 9) AS level FROM best")
 C.add("graph_spread_intersection", lambda t: G.intersection(_spread(t)), _SPREAD + " SELECT node, count(DISTINCT query_id) AS sets, round(sum(level), 9) AS total FROM best GROUP BY 1 HAVING count(DISTINCT query_id) > 1")
 C.add("graph_spread_combined", lambda t: G.combine_sets(_spread(t)),
       _SPREAD + " SELECT node, round(list_reduce(list_prepend(0.0::DOUBLE, list(level ORDER BY query_id)), lambda s, x: CASE WHEN s = 0 THEN x ELSE least(1.0, s + 0.5 * x) END), 9) AS level, count(*) AS sets FROM best GROUP BY 1")
