@@ -43,9 +43,12 @@ C.add("text_arousal", lambda t: t.documents.where("text IS NOT NULL").select("do
       r"SELECT doc_id, round(least(1.0, 0.3 * len(regexp_extract_all(lower(text), '\b(critical|urgent|never|fails?|failed|broken|stop)\b')) + 0.2 * len(regexp_extract_all(text, '!'))), 6)::DOUBLE AS arousal FROM documents WHERE text IS NOT NULL")
 C.add("text_repetitive", lambda t: t.documents.where(T.repetitive(X())).select("doc_id"),
       f"SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 12 AND len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) * 2 < len(w) - 2")
-C.add("text_essence", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", T.essence(X()).alias("essence")))
+_SENT = "list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？]+[.!?。！？]*'), lambda s: trim(s)), lambda s: s <> '')"
+C.add("text_essence", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", T.essence(X()).alias("essence")),
+      f"""WITH s AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {_SENT} AS p FROM documents WHERE text IS NOT NULL)), k AS (SELECT doc_id, arg_max(text, (len(list_distinct(list_filter({_WORDS}, lambda w: length(w) > 4))), -i)) AS best FROM s GROUP BY 1)
+ SELECT doc_id, substring(best, 1, 150) AS essence FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN k USING (doc_id)""")
 C.add("text_simhash", lambda t: t.neurons.where("content IS NOT NULL").select("id", T.simhash(F.col("content")).alias("hash")))
-C.add("text_sentences", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", F.size(T.sentences(X())).alias("n")))
+C.add("text_sentences", lambda t: t.documents.where("text IS NOT NULL").select("doc_id", F.size(T.sentences(X())).alias("n")), f"SELECT doc_id, len({_SENT})::INT AS n FROM documents WHERE text IS NOT NULL")
 _prep = lambda t: P.prepare(t.documents)
 _TXT = "d AS (SELECT doc_id, text, created_at FROM documents WHERE text IS NOT NULL AND trim(text) <> '')"
 C.add("encode_concepts", lambda t: P.concept_nodes(_prep(t)), f"WITH {_TXT} SELECT sha256('concept:' || content) AS id, content, count(*) AS mentions FROM (SELECT unnest({_KEYS}) AS content FROM d) GROUP BY content")
@@ -56,7 +59,8 @@ C.add("encode_entity_edges", lambda t: P.anchor_edges(_prep(t)).where("type = 'i
       f"WITH {_TXT}, x AS (SELECT doc_id, text, unnest({_ENTS}) AS e FROM d) SELECT doc_id, lower(e) AS target, 'involves' AS type, round(least(0.95, 0.7 + 0.05 * ((length(text) - length(replace(text, e, ''))) // length(e))), 6)::DOUBLE AS weight FROM x")
 C.add("encode_entity_pairs", lambda t: P.entity_pairs(_prep(t)),
       f"WITH {_TXT}, x AS (SELECT DISTINCT doc_id, lower(unnest({_ENTS})) AS e FROM d) SELECT p.e AS a, q.e AS b, count(*) AS n FROM x p JOIN x q ON p.doc_id = q.doc_id AND p.e < q.e GROUP BY 1, 2")
-C.add("encode_relations", lambda t: P.relation_edges(_prep(t)))
+_REL = " UNION ALL ".join(f"SELECT doc_id, trim(regexp_extract(m, '{p}', 1)) AS source, '{n}' AS relation, trim(regexp_extract(m, '{p}', 2)) AS target FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS m FROM d)" for p, n in T.RELATIONS)
+C.add("encode_relations", lambda t: P.relation_edges(_prep(t)), f"WITH {_TXT} {_REL}")
 C.add("encode_times", lambda t: P.time_edges(_prep(t)), f"WITH {_TXT} SELECT doc_id, strftime(created_at, '%Y-%m-%d') AS target, 'happened_at' AS type, 0.9::DOUBLE AS weight FROM d WHERE created_at IS NOT NULL")
 C.add("encode_fibers", lambda t: P.fiber_rows(_prep(t)).select("doc_id", "members", "salience"),
       f"WITH {_TXT}, x AS (SELECT doc_id, len({_KEYS}) + len({_ENTS}) AS k FROM d) SELECT doc_id, (k + 1)::INT AS members, round(least(1.0, CASE WHEN k > 0 THEN k / ((k + 1) * k / 2) ELSE 0.0 END + 0.3), 6)::DOUBLE AS salience FROM x")

@@ -22,16 +22,19 @@ C.add("memory_depth", lambda t: _docs(t).select("doc_id", M.hops(M.depth(X())).a
       rf"SELECT doc_id, map {{0: 1, 1: 3, 2: 4, 3: 4}}[CASE WHEN k = 'causal' THEN 3 WHEN regexp_matches(text, '(?i)\b(usually|always|habit|pattern)\b') THEN 2 WHEN k IN ('temporal', 'comparison') THEN 1 WHEN len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '')) > 12 THEN 1 ELSE 0 END] AS hops FROM (SELECT doc_id, text, {_ROUTE} AS k FROM documents WHERE text IS NOT NULL)")
 C.add("memory_sentiment", lambda t: _docs(t).select("doc_id", F.round(M.sentiment(X()), 6).alias("valence")),
       f"SELECT doc_id, round(CASE WHEN p + n = 0 THEN 0.0 ELSE (p - n) / (p + n) END, 6)::DOUBLE AS valence FROM (SELECT doc_id, len(list_filter({_W}, lambda x: list_contains({_in(M.POSITIVE)}, x))) AS p, len(list_filter({_W}, lambda x: list_contains({_in(M.NEGATIVE)}, x))) AS n FROM documents WHERE text IS NOT NULL)")
+_SYN = "map {" + ", ".join(f"'{w}': {_in(g)}" for g in M.SYNONYMS for w in g) + "}"
 C.add("memory_expand_terms", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.size(M.expand_terms(F.split(F.lower("content"), " "))).alias("n")),
-      "{n} SELECT id, len(list_distinct(list_concat(w, list_filter(list_transform(w, lambda x: map {" + ", ".join(f"'{k}': '{v}'" for k, v in M.SYNONYMS.items()) + "}[x]), lambda x: x IS NOT NULL))))::INT AS n FROM (SELECT id, string_split(lower(content), ' ') AS w FROM n WHERE content IS NOT NULL)")
+      f"{{n}} SELECT id, len(list_distinct(list_concat(w, flatten(list_filter(list_transform(w, lambda x: {_SYN}[x]), lambda x: x IS NOT NULL)))))::INT AS n FROM (SELECT id, string_split(lower(content), ' ') AS w FROM n WHERE content IS NOT NULL)")
+_WHEN = " ".join(f"WHEN regexp_matches(low, '{p}') THEN {{'start': (date_trunc('{u}', created_at) + INTERVAL ({a * (3 if u == 'quarter' else 1)}) {'MONTH' if u == 'quarter' else u.upper()})::TIMESTAMP, 'end': (date_trunc('{u}', created_at) + INTERVAL ({b * (3 if u == 'quarter' else 1)}) {'MONTH' if u == 'quarter' else u.upper()})::TIMESTAMP}}" for p, u, a, b in M.TIMES)
 C.add("memory_time_range", lambda t: _docs(t).where("created_at IS NOT NULL").select("doc_id", M.time_range(X(), F.col("created_at")).alias("r")).where("r IS NOT NULL").select("doc_id", "r.start", "r.end"),
-      r"""WITH d AS (SELECT doc_id, date_trunc('day', created_at)::TIMESTAMP AS d, CASE WHEN regexp_matches(lower(text), '\byesterday\b') THEN [-1, 0] WHEN regexp_matches(lower(text), '\btoday\b') THEN [0, 1] WHEN regexp_matches(lower(text), '\btomorrow\b') THEN [1, 2] WHEN regexp_matches(lower(text), '\blast week\b') THEN [-7, 0] WHEN regexp_matches(lower(text), '\bnext week\b') THEN [7, 14] WHEN regexp_matches(lower(text), '\bthird week\b') THEN [-21, 0] END AS r FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL)
- SELECT doc_id, d + to_days(r[1]) AS start, d + to_days(r[2]) AS "end" FROM d WHERE r IS NOT NULL""")
+      rf"""WITH d AS (SELECT doc_id, created_at, lower(text) AS low, regexp_extract(lower(text), '\b(\d{{1,3}}) days? ago\b', 1) AS back FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL),
+ r AS (SELECT doc_id, CASE WHEN back <> '' THEN {{'start': (date_trunc('day', created_at) - to_days(try_cast(back AS INT)))::TIMESTAMP, 'end': (date_trunc('day', created_at) - to_days(try_cast(back AS INT) - 1))::TIMESTAMP}} {_WHEN} END AS r FROM d)
+ SELECT doc_id, r.start AS start, r['end'] AS "end" FROM r WHERE r IS NOT NULL""")
 C.add("memory_citation", lambda t: t.documents.select("doc_id", M.citation(F.col("source"), F.col("created_at"), F.col("doc_id")).alias("citation")),
       "SELECT doc_id, '[' || coalesce(source, 'unknown') || ', ' || coalesce(strftime(created_at, '%Y-%m-%d'), 'n.d.') || ', #' || doc_id || ']' AS citation FROM documents")
 C.add("memory_trust", lambda t: t.documents.select("doc_id", M.trust(F.lit(None).cast("double"), F.col("memory_type")).alias("trust")),
       "SELECT doc_id, coalesce(map {" + ", ".join(f"'{k}': {v}" for k, v in M.TRUST.items()) + "}[memory_type], 0.5)::DOUBLE AS trust FROM documents")
-_DEC = r"dc AS (SELECT doc_id, created_at, regexp_extract(text, '[Tt]he decision on ([A-Z]\w+) was (\w+)', 1) AS subject, regexp_extract(text, '[Tt]he decision on ([A-Z]\w+) was (\w+)', 2) AS value FROM documents WHERE regexp_matches(text, '[Tt]he decision on ([A-Z]\w+) was (\w+)'))"
+_DEC = "dc AS (" + " UNION ".join(f"SELECT doc_id, created_at, lower(regexp_extract(m, '{p}', {i})) AS subject, lower(regexp_extract(m, '{p}', {j})) AS value FROM (SELECT doc_id, created_at, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents WHERE text IS NOT NULL)" for p, i, j in M.DECISIONS) + ")"
 C.add("memory_decisions", lambda t: M.decisions(t.documents).select("doc_id", "subject", "value"), f"WITH {_DEC} SELECT doc_id, subject, value FROM dc")
 C.add("memory_conflicts", lambda t: M.conflicts(M.decisions(t.documents)), f'WITH {_DEC} SELECT subject, count(DISTINCT value) AS "values", count(*) AS claims FROM dc GROUP BY 1 HAVING count(DISTINCT value) > 1')
 C.add("memory_resolve", lambda t: M.resolve(M.decisions(t.documents)),
@@ -53,8 +56,8 @@ C.add("memory_tag_drift", lambda t: M.tag_drift(t.fibers, t.fibers.select(F.col(
       """{ft} WITH o AS (SELECT id AS fiber_id, list_distinct(list_filter(list_concat(coalesce(auto_tags, []), coalesce(agent_tags, [])), lambda x: x IS NOT NULL)) AS own, list_distinct(list_filter(coalesce(agent_tags, []), lambda x: x IS NOT NULL)) AS tags FROM f)
  SELECT fiber_id, round(1 - CASE WHEN len(own) = 0 THEN 0 ELSE len(tags) / len(own) END, 6)::DOUBLE AS drift FROM o WHERE round(1 - CASE WHEN len(own) = 0 THEN 0 ELSE len(tags) / len(own) END, 6) > 0.6""")
 C.add("memory_cluster_tags", lambda t: M.cluster_tags(A.co_activation_counts(t.co_activations, least=6), t.neurons))
-C.add("memory_across_brains", lambda t: M.across_brains(t.neurons, ["brain-atlas", "brain-birch", "brain-cobalt"]),
-      "{n} SELECT lower(trim(content)) AS text, arg_min(id, (-coalesce(metadata.priority, 0), id)) AS id, arg_min(brain_id, (-coalesce(metadata.priority, 0), id)) AS brain_id, count(DISTINCT brain_id) AS brains FROM n WHERE brain_id IN ('brain-atlas', 'brain-birch', 'brain-cobalt') AND trim(content) <> '' GROUP BY 1")
+C.add("memory_across_brains", lambda t: M.across_brains(t.neurons),
+      "{n} SELECT lower(trim(content)) AS text, arg_min(id, (-coalesce(metadata.priority, 0), id)) AS id, arg_min(brain_id, (-coalesce(metadata.priority, 0), id)) AS brain_id, count(DISTINCT brain_id) AS brains FROM n WHERE trim(content) <> '' GROUP BY 1")
 
 
 def _active(t):

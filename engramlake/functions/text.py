@@ -128,7 +128,8 @@ def repetitive(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?。！？])\s+"), lambda s: F.trim(s) != "")
+    """Runs of text up to a mark that ends a sentence, trimmed."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?。！？]+[.!?。！？]*)"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def essence(text: Column, limit: int = 150) -> Column:
@@ -164,7 +165,19 @@ def simhash(text: Column) -> Column:
     return run(text)
 
 
+#: Clauses around a marker: the pattern and the relation it states.
+RELATIONS = (
+    (r"([^.!?\n]{5,80}?) because ([^.!?\n]{5,80})", "caused_by"),
+    (r"([^.!?\n]{5,80}?) so that ([^.!?\n]{5,80})", "leads_to"),
+    (r"([^.!?\n]{5,80}?) since ([^.!?\n]{5,80})", "caused_by"),
+    (r"([^.!?\n]{5,80}?) (?:leads to|results in|causes) ([^.!?\n]{5,80})", "leads_to"),
+    (r"([^.!?\n]{3,60}?) (?:vs\.?|versus|compared to|instead of) ([^.!?\n]{3,60})", "similar_to"),
+    (r"([^.!?\n]{5,80}?) (?:before|until) ([^.!?\n]{5,80})", "before"),
+    (r"([^.!?\n]{5,80}?) (?:after|once) ([^.!?\n]{5,80})", "after"),
+)
+
+
 def relations(text: Column) -> Column:
-    """``array<struct(source, relation, target)>`` of clauses around causal and comparative markers."""
+    """``array<struct(source, relation, target)>`` of clauses around causal, temporal and comparative markers."""
     found = lambda pattern, name: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.trim(F.regexp_extract(m, pattern, 1)).alias("source"), F.lit(name).alias("relation"), F.trim(F.regexp_extract(m, pattern, 2)).alias("target")))
-    return F.concat(found(r"([^.!?\n]{5,80}?) because ([^.!?\n]{5,80})", "caused_by"), found(r"([^.!?\n]{5,80}?) so that ([^.!?\n]{5,80})", "leads_to"), found(r"([^.!?\n]{5,80}?) since ([^.!?\n]{5,80})", "caused_by"))
+    return F.concat(*[found(p, n) for p, n in RELATIONS])

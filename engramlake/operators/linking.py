@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.functions.text import sentences
 from engramlake.operators.scans import top, usable
 from engramlake.runtime import cut, ship
 
@@ -55,11 +56,6 @@ def semantic_links(neurons: DataFrame, synapses: DataFrame, *, size: int = 64, l
     return new if most is None else new.orderBy(F.desc("cos"), "a", "b").limit(most)
 
 
-def sentences(text: Column) -> Column:
-    """Runs of text up to a mark that ends a sentence."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([^.!?。！？]+[.!?。！？]*)"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
-
-
 def entity_density(sentence: Column, contents: Column) -> Column:
     """How many of the contents a sentence holds, for each of its words, at most 1."""
     words = F.size(F.filter(F.split(sentence, r"\s+"), lambda w: w != ""))

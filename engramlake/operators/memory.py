@@ -12,11 +12,37 @@ from engramlake.operators.graph import components
 from engramlake.operators.scans import tags_of, top
 
 # Words of sentiment, markers of question kinds, default trust by type.
-POSITIVE = "good great stable fixed works better success promising careful quiet harmless pinned".split()
-NEGATIVE = "bad broken failed failure unstable brittle costly noisy worse stale orphan expired".split()
+POSITIVE = (
+    "good great excellent amazing awesome wonderful fantastic perfect nice love loved like liked enjoy enjoyed happy glad pleased proud thankful grateful excited success successful succeeded win won works working fixed "
+    "solved resolved improved improvement better best easy simple clean fast faster reliable stable robust helpful useful elegant promising impressive efficient smooth safe secure clear confident satisfied recommend beautiful brilliant"
+).split()
+NEGATIVE = (
+    "bad terrible awful horrible worst worse poor hate hated dislike angry annoyed annoying frustrated frustrating sad disappointed disappointing upset worried afraid confused confusing fail failed fails failure broken bug buggy "
+    "crash crashed error errors problem problems issue issues wrong slow slower difficult hard complex ugly messy unreliable unstable brittle fragile useless painful costly risky unsafe insecure blocked stuck stale noisy regret lost"
+).split()
 ROUTES = (("causal", r"\b(why|because|cause[sd]?|reason)\b"), ("temporal", r"\b(when|before|after|yesterday|today|last|during)\b"), ("comparison", r"\b(vs\.?|versus|compare|better|than)\b"), ("lookup", r"\b(what|who|where|which)\b"))
 TRUST = {"decision": 0.9, "instruction": 0.9, "fact": 0.7, "reference": 0.8, "tool": 0.6, "context": 0.5}
-SYNONYMS = {"db": "database", "cfg": "config", "auth": "authentication", "repo": "repository", "perf": "performance", "mem": "memory", "idx": "index"}
+#: Words that stand for each other, one group a line; the first of a pair of an abbreviation is short.
+SYNONYMS = [
+    group.split()
+    for group in (
+        "cost expense spending price", "revenue income earnings sales", "error bug issue failure fault defect", "auth authentication authorization login", "deploy deployment release rollout", "config cfg configuration settings preferences",
+        "database db datastore", "api endpoint route interface", "test testing spec check", "perf performance speed latency", "user account profile", "log logging logger journal", "cache caching buffer", "retry retries backoff",
+        "queue job task worker", "memory mem recall", "index idx lookup", "repo repository", "doc docs document documentation", "graph network", "merge combine join", "delete remove drop purge", "search find query", "plan schedule roadmap",
+    )
+]
+#: Times a text names: pattern, unit, first and last (open) unit from the day, week, month or year of the text.
+TIMES = (
+    (r"\bday before yesterday\b", "day", -2, -1), (r"\bday after tomorrow\b", "day", 2, 3), (r"\byesterday\b|\blast night\b", "day", -1, 0), (r"\b(today|tonight|this (morning|afternoon|evening))\b", "day", 0, 1), (r"\btomorrow\b", "day", 1, 2),
+    (r"\blast week\b", "day", -7, 0), (r"\bnext week\b", "day", 7, 14), (r"\bthis week\b", "week", 0, 1), (r"\bthird week\b", "day", -21, 0), (r"\blast month\b", "month", -1, 0), (r"\bthis month\b", "month", 0, 1), (r"\bnext month\b", "month", 1, 2),
+    (r"\blast quarter\b", "quarter", -1, 0), (r"\bthis quarter\b", "quarter", 0, 1), (r"\blast year\b", "year", -1, 0), (r"\bthis year\b", "year", 0, 1), (r"\bnext year\b", "year", 1, 2), (r"\b(recently|lately|the other day)\b", "day", -7, 1),
+)
+#: How a decision is put: the pattern, the groups of its subject and of its value.
+DECISIONS = (
+    (r"(?i)\b(?:decision|choice|verdict|plan)\s+(?:on|for|about|regarding)\s+([\p{L}][\p{L}\p{N}_-]*)\s+(?:was|is|were|remains)\s+([\p{L}\p{N}_-]+)", 1, 2),
+    (r"(?i)\b(?:decided|agreed|chose|opted)\s+(?:to\s+use|to\s+keep|on|for)\s+([\p{L}\p{N}_-]+)\s+(?:for|as|in)\s+([\p{L}][\p{L}\p{N}_-]*)", 2, 1),
+    (r"(?i)\b(?:use|using|keep|kept|pin|pinned)\s+([\p{L}\p{N}_.-]+)\s+instead\s+of\s+([\p{L}][\p{L}\p{N}_-]*)", 2, 1),
+)
 
 
 def route(text: Column) -> Column:
@@ -45,17 +71,28 @@ def sentiment(text: Column) -> Column:
 
 
 def expand_terms(words: Column) -> Column:
-    """Words and their long forms, distinct."""
-    table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    return F.array_distinct(F.concat(words, F.array_compact(F.transform(words, lambda w: F.element_at(table, w)))))
+    """Words and those of their groups of synonyms, distinct."""
+    table = F.create_map(*[x for group in SYNONYMS for w in group for x in (F.lit(w), F.array(*map(F.lit, group)))])
+    known = F.array_compact(F.transform(words, lambda w: F.element_at(table, w)))
+    return F.array_distinct(F.concat(words, F.flatten(known)))
 
 
 def time_range(text: Column, at: Column) -> Column:
-    """``struct(start, end)`` of the first relative time in a text, null without one."""
-    day = F.date_trunc("day", at).cast("timestamp_ntz")
+    """``struct(start, end)`` of the first of ``TIMES`` that a text names, or of "N days ago"; null without one."""
     low = F.lower(text)
-    span = lambda a, b: F.struct((day + F.make_dt_interval(days=F.lit(a))).alias("start"), (day + F.make_dt_interval(days=F.lit(b))).alias("end"))
-    return F.when(low.rlike(r"\byesterday\b"), span(-1, 0)).when(low.rlike(r"\btoday\b"), span(0, 1)).when(low.rlike(r"\btomorrow\b"), span(1, 2)).when(low.rlike(r"\blast week\b"), span(-7, 0)).when(low.rlike(r"\bnext week\b"), span(7, 14)).when(low.rlike(r"\bthird week\b"), span(-21, 0))
+    unit = lambda name: F.date_trunc(name, at).cast("timestamp_ntz")
+
+    def moved(name: str, n: int) -> Column:
+        if name in ("day", "week"):
+            return unit(name) + F.make_dt_interval(days=F.lit(n * (7 if name == "week" else 1)))
+        return unit(name) + F.make_ym_interval(months=F.lit(n * {"month": 1, "quarter": 3, "year": 12}[name]))
+
+    back = F.regexp_extract(low, r"\b(\d{1,3}) days? ago\b", 1)
+    past = unit("day") - F.make_dt_interval(days=back.try_cast("int"))
+    out = F.when(back != "", F.struct(past.alias("start"), (past + F.make_dt_interval(days=F.lit(1))).alias("end")))
+    for pattern, name, a, b in TIMES:
+        out = out.when(low.rlike(pattern), F.struct(moved(name, a).alias("start"), moved(name, b).alias("end")))
+    return out
 
 
 def citation(source: Column, created: Column, doc: Column) -> Column:
@@ -69,9 +106,18 @@ def trust(own: Column, kind: Column) -> Column:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """``(doc_id, subject, value, created_at)`` of stated decisions."""
-    pattern = r"[Tt]he decision on ([A-Z]\w+) was (\w+)"
-    return docs.select("doc_id", "created_at", F.regexp_extract("text", pattern, 1).alias("subject"), F.regexp_extract("text", pattern, 2).alias("value")).where("subject <> ''")
+    """``(doc_id, subject, value, created_at)`` of the stated decisions of every text, by the patterns of ``DECISIONS``.
+
+    Subject and value in lower case; a text may state several.
+    """
+
+
+    def stated(pattern: str, subject: int, value: int) -> Column:
+        part = lambda m, i: F.lower(F.regexp_extract(m, pattern, i))
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(part(m, subject).alias("subject"), part(m, value).alias("value")))
+
+    found = [stated(*d) for d in DECISIONS]
+    return docs.where("text IS NOT NULL").select("doc_id", "created_at", F.explode(F.array_distinct(F.concat(*found))).alias("d")).select("doc_id", "created_at", "d.subject", "d.value")
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
@@ -154,9 +200,10 @@ def cluster_tags(pairs: DataFrame, neurons: DataFrame) -> DataFrame:
     return best.join(size, "component").select("component", F.col("m.tag").alias("tag"), "size")
 
 
-def across_brains(neurons: DataFrame, brains: list[str]) -> DataFrame:
-    """One neuron for each content over several brains: the highest priority, then the smallest id."""
-    rows = neurons.where(F.col("brain_id").isin(brains) & (F.trim("content") != ""))
+def across_brains(neurons: DataFrame, brains: list[str] | None = None) -> DataFrame:
+    """One neuron for each content over all or some brains: the highest priority, then the smallest id."""
+    rows = neurons.where(F.trim("content") != "")
+    rows = rows if brains is None else rows.where(F.col("brain_id").isin(brains))
     best = F.min(F.struct((-F.coalesce("metadata.priority", F.lit(0))).alias("p"), "id", "brain_id")).alias("m")
     return rows.groupBy(F.lower(F.trim("content")).alias("text")).agg(best, F.countDistinct("brain_id").alias("brains")).select("text", "m.id", "m.brain_id", "brains")
 

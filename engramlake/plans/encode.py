@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
+from engramlake.operators import encoding as steps
+from engramlake.operators import memory
 
 
 def prepare(docs: DataFrame) -> DataFrame:
     """Texts with what the steps need: type, keywords, entities, structure, scores."""
     x = F.col("text")
     return docs.where("text IS NOT NULL AND trim(text) <> ''").select(
-        "doc_id", "text", "created_at", F.coalesce("memory_type", T.memory_type(x)).alias("memory_type"), T.keywords(x).alias("keywords"), T.entities(x).alias("entities"),
+        "doc_id", "text", "created_at", *[c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("brain_id", "source", "lang")], F.coalesce("memory_type", T.memory_type(x)).alias("memory_type"), T.keywords(x).alias("keywords"), T.entities(x).alias("entities"),
         T.structure(x).alias("structure"), T.importance(x).alias("importance"), T.quality(x).alias("quality"),
     )
 
@@ -63,7 +65,26 @@ def fiber_rows(prepared: DataFrame) -> DataFrame:
     return prepared.select("doc_id", n.alias("members"), F.round(coherence, 6).alias("coherence"), F.round(F.least(F.lit(1.0), coherence + 0.3), 6).alias("salience"), tags.alias("auto_tags"))
 
 
-DEFAULT = {"concepts": concept_nodes, "entities": entity_nodes, "anchor_edges": anchor_edges, "entity_pairs": entity_pairs, "relations": relation_edges, "times": time_edges, "fibers": fiber_rows}
+def anchors(prepared: DataFrame) -> DataFrame:
+    """``(doc_id, id, type, content, content_hash)``: the concept that stands for a whole text, with its similarity hash."""
+    return prepared.select("doc_id", F.sha2(F.concat_ws(":", F.lit("anchor"), F.col("doc_id").cast("string")), 256).alias("id"), F.lit("concept").alias("type"), F.col("text").alias("content"), T.simhash(F.col("text")).alias("content_hash"))
+
+
+def metadata(prepared: DataFrame) -> DataFrame:
+    """``(doc_id, memory_type, structure, importance, quality, arousal)``."""
+    return prepared.select("doc_id", "memory_type", "structure", "importance", "quality", F.round(T.arousal(F.col("text")), 6).alias("arousal"))
+
+
+def shared_entities(prepared: DataFrame) -> DataFrame:
+    mentions = prepared.select("doc_id", F.explode(F.array_distinct(F.transform("entities", lambda e: F.lower(e)))).alias("entity"))
+    return steps.shared_entity_links(mentions)
+
+
+DEFAULT = {
+    "anchors": anchors, "times": time_edges, "entities": entity_nodes, "concepts": concept_nodes, "actions": steps.actions, "goals": steps.goals, "metadata": metadata, "decisions": memory.decisions, "copies": steps.copies,
+    "anchor_edges": anchor_edges, "entity_pairs": entity_pairs, "feelings": lambda p: steps.feelings(p, memory.sentiment(F.col("text"))), "relations": relation_edges, "conflicts": lambda p: memory.resolve(memory.decisions(p)),
+    "shared_entities": shared_entities, "fibers": fiber_rows, "context": steps.context,
+}
 
 
 def encode(docs: DataFrame, steps: dict | None = None) -> dict[str, DataFrame]:

@@ -74,11 +74,70 @@ def chunk_markdown(files: DataFrame, *, least_words: int = 20, most_words: int =
     return cut.where(F.col("c.n") >= least_words).select("path", F.concat_ws(".", "section", "part").alias("chunk_no"), "heading", F.col("c.t").alias("body"), F.col("c.n").alias("words"))
 
 
+def _python_symbols(source: str) -> list[tuple[str, str, str | None, int]] | None:
+    """``(kind, name, parent, line)`` by the syntax tree, or None if the text is no Python."""
+    import ast
+
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    out: list[tuple[str, str, str | None, int]] = []
+
+    def walk(body: list, parent: str | None) -> None:
+        for node in body:
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                out.append(("method" if parent else "function", node.name, parent, node.lineno))
+            elif isinstance(node, ast.ClassDef):
+                out.append(("class", node.name, parent, node.lineno))
+                walk(node.body, node.name)
+            elif isinstance(node, ast.Import):
+                out.extend(("import", a.name, parent, node.lineno) for a in node.names)
+            elif isinstance(node, ast.ImportFrom):
+                out.extend(("import", f"{node.module or '.'}.{a.name}", parent, node.lineno) for a in node.names)
+            elif isinstance(node, ast.Assign | ast.AnnAssign):
+                for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                    if isinstance(target, ast.Name):
+                        out.append(("constant" if target.id.isupper() and len(target.id) > 1 else "variable", target.id, parent, node.lineno))
+
+    walk(tree.body, None)
+    return out
+
+
 def code_symbols(files: DataFrame) -> DataFrame:
-    """``(path, kind, name)`` of classes and functions in source texts of common languages."""
-    found = lambda pattern, kind: F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-    both = F.concat(found(r"(?m)^\s*(?:export\s+)?(?:abstract\s+)?(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", "class"), found(r"(?m)^\s*(?:export\s+)?(?:async\s+)?(?:def|func|function|fn)\s+([A-Za-z_]\w*)", "function"))
-    return files.select("path", F.explode(both).alias("s")).select("path", "s.kind", "s.name").distinct()
+    """``(path, kind, name, parent, line)`` of the symbols of source texts, and of the code blocks of Markdown ones.
+
+    Python by its syntax tree, other languages by the words that declare classes and
+    functions.  Lines count within a block.  Null texts and what does not parse have none.
+    """
+    import re
+
+    import pyarrow as pa
+
+    fence = re.compile(r"(?ms)^[ \t]*```([^\n`]*)\n(.*?)^[ \t]*```")
+    declared = re.compile(r"(?m)^[ \t]*(?:(?:export|public|private|protected|static|abstract|pub|async)\s+)*(class|struct|interface|trait|enum|def|func|function|fn)\s+([A-Za-z_]\w*)")
+
+    def symbols(body: str, python: bool) -> list:
+        found = _python_symbols(body) if python else None
+        if found is None:
+            found = [("class" if m[1] in ("class", "struct", "interface", "trait", "enum") else "function", m[2], None, body.count("\n", 0, m.start()) + 1) for m in declared.finditer(body)]
+        return found
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = body.replace("\r\n", "\n")
+                if path and path.endswith((".md", ".mdx", ".rst", ".txt")) or "```" in body:
+                    blocks = [(m[2], m[1].strip().lower() in ("py", "python", "")) for m in fence.finditer(body)]
+                else:
+                    blocks = [(body, bool(path) and path.endswith((".py", ".pyi")))]
+                rows += [(path, *s) for text, python in blocks for s in symbols(text, python)]
+            columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["path", "kind", "name", "parent", "line"])
+
+    return files.where("body IS NOT NULL").select("path", "body").mapInArrow(run, "path string, kind string, name string, parent string, line int")
 
 
 def catalog_triples(columns: DataFrame) -> DataFrame:
