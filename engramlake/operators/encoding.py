@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engramlake.operators.scans import top
 
 # What was done, what is meant to be done.
-ACTION = r"\b(?:we|i|they|he|she|team)\s+([a-z]+ed(?:\s+[a-z]+){1,3})"
+ACTION = r"\b(?:we|i|they|he|she|team)\s+((?:used|[a-z]{3,}ed)(?:\s+[a-z]+){1,3})"
 GOAL = r"\b(?:need to|want to|plan to|remember to|goal is to|must|should)\s+([a-z]+(?:\s+[a-z]+){1,4})"
 
 
