@@ -17,7 +17,7 @@ def prepare(docs: DataFrame) -> DataFrame:
     """Texts with what the steps need: type, keywords, entities, structure, scores."""
     x = F.col("text")
     return docs.where("text IS NOT NULL AND trim(text) <> ''").select(
-        "doc_id", "text", "created_at", *[c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("brain_id", "source", "lang")], F.coalesce("memory_type", T.memory_type(x)).alias("memory_type"), T.keywords(x).alias("keywords"), T.entities(x).alias("entities"),
+        "doc_id", "text", "created_at", *[c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("brain_id", "source", "lang")], (F.coalesce("memory_type", T.memory_type(x)) if "memory_type" in docs.columns else T.memory_type(x)).alias("memory_type"), T.keywords(x).alias("keywords"), T.entities(x).alias("entities"),
         T.structure(x).alias("structure"), T.importance(x).alias("importance"), T.quality(x).alias("quality"),
     )
 
