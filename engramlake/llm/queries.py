@@ -124,7 +124,18 @@ good AS (
   FROM good a JOIN good b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.85
 )"""
 
+_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SECTIONS = rf"""
+b AS (SELECT DISTINCT ON (file_id) file_id, config_id, body FROM training_files WHERE file_id IS NOT NULL AND body IS NOT NULL),
+l AS (SELECT file_id, rtrim(t, chr(13)) AS t, i FROM (SELECT file_id, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b)),
+m AS (SELECT file_id, min(i) AS k FROM l WHERE i > 1 AND rtrim(t) = '---' AND file_id IN (SELECT file_id FROM l WHERE i = 1 AND rtrim(t) = '---') GROUP BY 1),
+f AS (SELECT l.*, regexp_matches(t, '^\s*```') AS mark, sum(regexp_matches(t, '^\s*```')::INT) OVER (PARTITION BY file_id ORDER BY i) AS fences FROM l LEFT JOIN m USING (file_id) WHERE i > coalesce(k, 0)),
+h AS (SELECT *, NOT mark AND fences % 2 = 0 AND regexp_matches(t, '^#{{1,6}} .*[^{_SPACE}]') AS head FROM f),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY file_id ORDER BY i) AS section_no FROM h),
+w AS (SELECT file_id, section_no::INT AS section_no, sum(len(regexp_extract_all(t, '[^{_SPACE}]+'))) AS words FROM s WHERE NOT head GROUP BY 1, 2)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"WITH {_SECTIONS} SELECT file_id, section_no FROM w JOIN b USING (file_id) JOIN training_configs USING (config_id) WHERE words > max_chunk_words",
     "p1_found": f"WITH {_COSINES} SELECT DISTINCT least(id, other) AS neuron_a, greatest(id, other) AS neuron_b FROM ranked WHERE r <= 5",
     "p1_lists": f"WITH {_COSINES} SELECT id, other, round(cos, 4) AS cos FROM ranked WHERE r <= 5",
     "p2_found": f"""WITH {_CANON}
