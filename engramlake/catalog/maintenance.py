@@ -108,9 +108,9 @@ C.add("merge_diff", lambda t: G.diff(t.neurons.where("created_at < TIMESTAMP_NTZ
       f"{{n}} WITH {_SNAP} SELECT coalesce(o.id, w.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN w ON o.id = w.id WHERE o.id IS NULL OR w.id IS NULL OR o.type IS DISTINCT FROM w.type OR o.content IS DISTINCT FROM w.content")
 C.add("merge_weight_changes", lambda t: M.decay_edges(t.synapses, now=NOW).withColumnRenamed("weight", "w").join(t.synapses.select("id", "weight"), "id").where(F.abs(F.col("w") - F.col("weight")) > 1e-6).select("id"), f"{{e}} SELECT id FROM e WHERE abs(round({_FADE}, 9) - weight) > 1e-6")
 _FP = "concat_ws(':', type, lower(content))"
-C.add("merge_snapshots", lambda t: G.merge_snapshots(t.neurons.where("brain_id = 'brain-atlas'"), t.neurons.where("brain_id = 'brain-birch'")),
-      f"""{{n}} WITH p AS (SELECT brain_id, {_FP} AS fingerprint, id, created_at, row_number() OVER (PARTITION BY brain_id, {_FP} ORDER BY id) AS r FROM n), l AS (SELECT * FROM p WHERE r = 1 AND brain_id = 'brain-atlas'), q AS (SELECT * FROM p WHERE r = 1 AND brain_id = 'brain-birch')
- SELECT coalesce(l.fingerprint, q.fingerprint) AS fingerprint, CASE WHEN l.id IS NULL OR q.created_at > l.created_at THEN q.id ELSE l.id END AS id, CASE WHEN l.id IS NULL OR q.created_at > l.created_at THEN 'right' ELSE 'left' END AS "from" FROM l FULL JOIN q ON l.fingerprint = q.fingerprint""")
+C.add("merge_snapshots", lambda t: G.merge_snapshots(t.neurons.where("created_at < TIMESTAMP_NTZ '2025-09-01'"), t.neurons.where("created_at >= TIMESTAMP_NTZ '2025-02-01'"), prefer="priority"),
+      f"""{{n}} WITH p AS (SELECT {_FP} AS fingerprint, id, created_at, coalesce(metadata.priority, 0) AS pr FROM n), l AS (SELECT fingerprint, min(id) AS id, arg_min(pr, id) AS pr FROM p WHERE created_at < '2025-09-01' GROUP BY 1), q AS (SELECT fingerprint, min(id) AS id, arg_min(pr, id) AS pr FROM p WHERE created_at >= '2025-02-01' GROUP BY 1)
+ SELECT coalesce(l.fingerprint, q.fingerprint) AS fingerprint, CASE WHEN l.id IS NULL OR q.pr > l.pr THEN q.id ELSE l.id END AS id, CASE WHEN l.id IS NULL OR q.pr > l.pr THEN 'right' ELSE 'left' END AS "from" FROM l FULL JOIN q ON l.fingerprint = q.fingerprint""")
 C.add("merge_subgraph", lambda t: G.subgraph(t.neurons, t.synapses, types=["concept", "entity"], tags=["Sync", "ops"])[1].select("id", "source_id", "target_id"),
       "{n, e} WITH k AS (SELECT id FROM n WHERE type IN ('concept', 'entity') AND len(list_filter(metadata.tags, lambda x: lower(x) IN ('sync', 'ops'))) > 0) SELECT id, source_id, target_id FROM e WHERE source_id IN (FROM k) AND target_id IN (FROM k)")
 _LEAF = "lf AS (SELECT id, sha256(concat_ws('|', id, coalesce(type, ''), coalesce(content, ''))) AS hash FROM n), l6 AS (SELECT hash[1:6] AS path, sha256(string_agg(hash, '' ORDER BY hash)) AS hash, count(*) AS leaves FROM lf GROUP BY hash[1:6]), l4 AS (SELECT path[1:4] AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash, sum(leaves) AS leaves FROM l6 GROUP BY path[1:4]), b AS (SELECT path[1:2] AS bucket, sha256(string_agg(hash, '' ORDER BY path)) AS hash, sum(leaves)::BIGINT AS leaves FROM l4 GROUP BY path[1:2])"

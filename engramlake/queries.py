@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.catalog import encoding, graph, maintenance, memory, mutations, plans, ranking, scans, sources, stats, steps
+from engramlake.catalog import encoding, graph, maintenance, memory, mutations, plans, ranking, scans, sources, stats, steps, upkeep
 from engramlake.operators.changelog import assemble_transactions, committed_watermark, parse_changes, replay, replay_fields
 from engramlake.runtime import table
 
@@ -34,7 +34,7 @@ def p6_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return committed_watermark(assemble_transactions(parse_changes(table(spark, sf_dir, "change_log"))))
 
 
-CATALOGS = (scans, graph, ranking, stats, maintenance, encoding, steps, memory, mutations, sources, plans)
+CATALOGS = (scans, graph, ranking, stats, maintenance, encoding, steps, memory, upkeep, mutations, sources, plans)
 QUERIES: dict[str, Query] = {k: v for c in CATALOGS for k, v in c.C.queries.items()} | {f.__name__: f for f in (p6_found, p6_fields, p6_held, p6_held_fields, p6_watermark)}
 
 _RECEIPTS = """
