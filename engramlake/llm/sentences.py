@@ -114,14 +114,14 @@ _SEEN: dict[str, tuple | None] = {}
 
 
 def _parsed(token: str) -> tuple | None:
-    """``(kind, lower, exact, dot, rest)`` of a token that is one word, else None; kind 1 is capitalised, 2 lower case."""
+    """What ``count_words`` counts for a token that is one word, else None; kind 1 is capitalised, 2 lower case."""
     m = _TOKEN.fullmatch(token)
     found = None
     if m:
         word, low = m[1], m[1].lower()
         kind = 1 if word[0].isupper() and word[1:] == low[1:] else 2 if word == low and low[0] != low[0].upper() else 0
-        found = (kind, low, word, bool(m[2]), m[3])
-    if len(_SEEN) > 200_000:
+        found = (kind, "s:" + low, "m:" + low, "l:" + low, "n:" + low, "n:" + word, bool(m[2]), "d:" + word, "a:" + word, m[3])
+    if len(_SEEN) > 50_000:
         _SEEN.clear()
     _SEEN[token] = found
     return found
@@ -142,20 +142,20 @@ def count_words(text: str, into: Counter) -> None:
         for i, token in enumerate(words):
             p = seen[token] if token in seen else _parsed(token)
             if p:
-                kind, low, word, dot, rest = p
+                kind, opens, inside, lower, plain_low, plain, dot, dotted, goes_on, rest = p
                 if kind == 1:
                     if start or before in "!?。！？":
-                        into["s:" + low] += 1
+                        into[opens] += 1
                     elif before.isalpha() or before in ",;":
-                        into["m:" + low] += 1
+                        into[inside] += 1
                 elif kind == 2:
-                    into["l:" + low] += 1
+                    into[lower] += 1
                 if dot:
-                    into["d:" + word] += 1
+                    into[dotted] += 1
                     if rest[:1] == "," or not rest and i + 1 < len(words) and words[i + 1][0].islower():
-                        into["a:" + word] += 1
+                        into[goes_on] += 1
                 else:
-                    into["n:" + (low if start and kind == 1 else word)] += 1
+                    into[plain_low if start and kind == 1 else plain] += 1
                 start = False
             before = token[-1]
 
@@ -302,7 +302,7 @@ class Splitter:
         if self.asked is not None:
             if is_abbreviation(self.own, raw, here) is None:
                 self.asked.add("-" + raw)
-            if cased and not verdicts(self.own, word.lower()):
+            if cased and word.lower() not in OPENERS and not verdicts(self.own, word.lower()):  # what the lists settle anyway nearly every text would ask
                 self.asked.add("+" + word.lower())
         kind = self.kind(raw, here)
         joined = bool(_INITIALS.fullmatch(low))
@@ -329,7 +329,7 @@ class Splitter:
         return True
 
 
-def _first(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _first(batches: Iterator[pa.RecordBatch], least: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Counts of the corpus (rows with ``n``) and the words that documents ask about (rows with ``doc``)."""
     counts: Counter = Counter()
 
