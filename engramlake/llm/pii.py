@@ -11,6 +11,7 @@ neighbour's label scores is computed once for each distinct word.
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -73,7 +74,14 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _tokenizer().finditer(text)]
 
 
+_PLAIN = {**dict.fromkeys(range(48, 58), "9"), **dict.fromkeys(range(65, 91), "X"), **dict.fromkeys(range(97, 123), "x")}
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"([^9])\1+")
+
+
 def _shape(word: str) -> str:
+    if word.isascii():
+        return _RUN.sub(r"\1", word.translate(_PLAIN))
     out = []
     for ch in word:
         c = "9" if ch.isdigit() else "X" if ch.isupper() else "x" if ch.isalpha() else ch
@@ -105,8 +113,8 @@ def _coarse(word: str) -> int:
         n = len(word)
         return _CLASS[f"n{n}" if n <= 7 else "n10"]
     if word[0].isdigit():
-        return _CLASS["nx" if any(c.isalpha() for c in word) else "nn"]
-    if any(c.isdigit() for c in word):
+        return _CLASS["nx" if _LETTER.search(word) else "nn"]
+    if _DIGIT.search(word):
         return _CLASS["xn"]
     if "一" <= word[0] <= "鿿" or "㐀" <= word[0] <= "䶿":
         return _CLASS["hanplace" if word in _HAN_PLACE else "hanname" if word in _HAN_NAME else "han"]
@@ -148,19 +156,19 @@ def _around(told: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return before * 4 + after
 
 
-def _features(word: str) -> list[str]:
+def _features(word: str, coarse: int) -> list[str]:
     low, shape = word.lower(), _shape(word)
-    out = ["s" + shape, "c" + str(_coarse(word)), "k" + shape.lower()]
+    out = ["s" + shape, "c" + str(coarse), "k" + shape.lower()]
     if "@" in low:
         return [*out, "o" + "".join(c for c in shape.lower() if not c.isalnum())]
-    if any(c.isdigit() for c in low):
+    digits = len(_DIGIT.findall(low))
+    if digits:
         out.append("w" + low)
-    elif any(c.isalpha() for c in low):
+    elif _LETTER.search(low):
         first, last = low.split("-")[0], low.split("-")[-1]
         out += ["w" + low, "p" + first[:3], "q" + first[:4], "u" + last[-3:], "v" + last[-4:], "t" + last[-5:], "y" + last[-2:], f"l{min(len(low), 12)}"]
         if "-" in low:
             out.append("h" + first[-3:])
-    digits = sum(c.isdigit() for c in low)
     out.append(f"d{min(digits, 14)}")
     return out
 
@@ -172,7 +180,7 @@ class Tagger:
         self.index, self.words, self.pairs, self.triples, self.told, self.chain, self.start = index, words, pairs, triples, told, chain, start
         self.seen = seen  # which labels words of a class had in the labelled table
         self.never = np.where(seen, 0, _NEVER).astype(np.float32)
-        self._row: dict[str, int] = {}
+        self._row: dict[str, int] = {"": 0}  # row 0 is what stands between texts
         self._table = np.zeros((1024, words.shape[0], len(LABELS)), np.float32)
         self._class = np.zeros(1024, np.int64)
         self._told = np.zeros(1024, np.int64)
@@ -214,35 +222,48 @@ class Tagger:
                 self._table = np.concatenate([self._table, np.zeros_like(self._table)])
                 self._class = np.concatenate([self._class, np.zeros_like(self._class)])
                 self._told = np.concatenate([self._told, np.zeros_like(self._told)])
-            known = [self.index[f] for f in _features(word) if f in self.index]
+            coarse = _coarse(word)
+            known = [self.index[f] for f in _features(word, coarse) if f in self.index]
             self._table[row] = self.words[:, known].sum(1)
-            self._class[row] = _coarse(word)
+            self._class[row] = coarse
             self._told[row] = _announces(word)
             self._row[word] = row
         return row
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        ids = np.array([self._id(w) for w in words])
-        n, reach = len(ids), _REACH
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Label scores of the words of every text, worked out for all texts at once."""
+        reach, m, gap = _REACH, len(_CLASSES), [0] * _REACH
+        rows, starts = list(gap), []
+        for words in texts:
+            starts.append(len(rows))
+            rows += [self._id(w) for w in words]
+            rows += gap
+        ids, first = np.array(rows), np.array(starts)
+        length = np.array([len(w) for w in texts])
+        n = len(ids)
         out = np.zeros((n, len(LABELS)), np.float32)
         for k in range(-reach, reach + 1):  # what the word k places on contributes
             a, b = max(0, -k), min(n, n - k)
-            if a < b:
-                out[a:b] += self._table[ids[a + k : b + k], k + reach]
-        c = np.concatenate([[0], self._class[ids], [0]])
-        m = len(_CLASSES)
-        out += self.pairs[0][c[:-2] * m + c[1:-1]] + self.pairs[1][c[1:-1] * m + c[2:]]
-        out += self.triples[(c[:-2] * m + c[1:-1]) * m + c[2:]]
-        out += self.told[_around(self._told[ids], np.zeros(n, np.int64), np.full(n, n - 1)) * m + self._class[ids]]
-        out += self.never[self._class[ids]]
-        out[0] += self.start + self.opens
-        out[-1] += self.closes
-        return out
+            out[a:b] += self._table[ids[a + k : b + k], k + reach]
+        c, here = self._class[ids], slice(1, n - 1)
+        out[here] += self.pairs[0][c[:-2] * m + c[1:-1]] + self.pairs[1][c[1:-1] * m + c[2:]]
+        out[here] += self.triples[(c[:-2] * m + c[1:-1]) * m + c[2:]]
+        told = self._told[ids]
+        around = 0
+        if told.any():
+            low, high = np.zeros(n, np.int64), np.full(n, -1)
+            for s, k in zip(starts, length):
+                low[s : s + k], high[s : s + k] = s, s + k - 1
+            around = _around(told, low, high)
+        out += self.told[around * m + c] + self.never[c]
+        out[first] += self.start + self.opens
+        out[first + length - 1] += self.closes
+        return [out[s : s + k] for s, k in zip(starts, length)]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """``(start, end, kind)`` of every text, decoded in batches of similar length."""
         if len(self._row) > _MEMO:
-            self._row.clear()
+            self._row = {"": 0}
         cuts = [tokens(t) for t in texts]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         groups: list[list[int]] = [[]]
@@ -253,7 +274,7 @@ class Tagger:
         for group in groups:
             if not group:
                 continue
-            best = viterbi([self.scores([texts[i][a:b] for a, b in cuts[i]]) for i in group], self.allowed)
+            best = viterbi(self.scores([[texts[i][a:b] for a, b in cuts[i]] for i in group]), self.allowed)
             for i, path in zip(group, best):
                 out[i] = _join(path, cuts[i])
         return out
@@ -277,15 +298,17 @@ def viterbi(scores: list[np.ndarray], chain: np.ndarray) -> list[np.ndarray]:
     """Best label paths of sequences of different lengths, all at once."""
     size, count = max(map(len, scores)), len(scores)
     length = np.array([len(s) for s in scores])
-    best = np.stack([s[0] for s in scores])
+    all_scores = np.zeros((size, count, chain.shape[0]), np.float32)
+    for i, s in enumerate(scores):
+        all_scores[: len(s), i] = s
+    best = all_scores[0]
     back = np.zeros((size, count, chain.shape[0]), np.int8)
     hold = np.arange(chain.shape[0], dtype=np.int8)
     for t in range(1, size):
         go = length > t
         both = best[:, :, None] + chain[None]
         back[t] = np.where(go[:, None], both.argmax(1), hold[None])
-        step = np.stack([s[t] if len(s) > t else np.zeros(chain.shape[0], np.float32) for s in scores])
-        best = np.where(go[:, None], both.max(1) + step, best)
+        best = np.where(go[:, None], both.max(1) + all_scores[t], best)
     path = np.zeros((size, count), np.int64)
     path[-1] = best.argmax(1)
     for t in range(size - 1, 0, -1):
@@ -319,14 +342,14 @@ def fit(table: list[tuple[str, list[tuple[int, int, str]]]], *, rounds: int = RO
     tally: dict[str, int] = {}
     for words, _ in seqs:
         for w in words:
-            for f in _features(w):
+            for f in _features(w, _coarse(w)):
                 tally[f] = tally.get(f, 0) + 1
     for f in sorted(tally):
         if tally[f] >= LEAST:
             index[f] = len(index)
     m, width, size, reach = len(_CLASSES), len(LABELS), len(index), _REACH
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in seqs for w in words))}
-    of_word = [sorted({index[f] for f in _features(w) if f in index} or {0}) for w in vocabulary]
+    of_word = [sorted({index[f] for f in _features(w, _coarse(w)) if f in index} or {0}) for w in vocabulary]
     feature = np.concatenate([np.array(f) for f in of_word])
     word_start = np.r_[0, np.cumsum([len(f) for f in of_word])[:-1]]
     by_feature = np.argsort(feature, kind="stable")
