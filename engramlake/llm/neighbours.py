@@ -31,6 +31,7 @@ PER_CELL = 800
 #: The number of centroids follows the collection up to ``SAMPLE / PER_CENTROID`` (27 million
 #: vectors; a broadcast of 8 MB); beyond that cells grow and are split into blocks.
 PER_CENTROID, SAMPLE = 12, 400_000
+LEAST_SAMPLE = 24_000
 #: Centroids that are fitted as one; more are fitted group by group.
 FITTED = 2048
 #: Salts of the copies of one vector.
@@ -197,7 +198,7 @@ def nearest(entries: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
         cells, centroids = 1, np.zeros((1, dim), np.float32)
     else:
         # the rows with the smallest hashes: a random sample that does not depend on partitioning
-        wanted = cells * PER_CENTROID
+        wanted = max(LEAST_SAMPLE, cells * PER_CENTROID)
         low = F.col("_h") <= int((4 * wanted / total - 1) * (1 << 63)) if wanted * 2 < total else F.lit(True)  # twice as many as wanted, no full sort
         drawn = entries.select("unit", "rep", F.xxhash64("rep").alias("_h")).where(low).orderBy("_h", "rep").limit(wanted)
         centroids = fit_centroids(_matrix(pa.array([bytes(r.unit) for r in drawn.select("unit").collect()], pa.binary()), dim), cells)  # at most SAMPLE rows
