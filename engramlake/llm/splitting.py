@@ -57,15 +57,18 @@ def cut_penalties(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     fences = [m.start() for m in re.finditer(r"(?m)^[ \t]*```", text)]
     inside = np.searchsorted(fences, [a for a, _ in spans], side="right") % 2 == 1
     out = np.empty(max(len(spans) - 1, 0))
+    inside = inside.tolist()
     for i in range(len(spans) - 1):
-        gap = text[spans[i][1] : spans[i + 1][0]]
-        breaks = gap.count("\n")
-        word = text[spans[i][0] : spans[i][1]]
-        if inside[i] and inside[i + 1]:
+        end, start = spans[i][1], spans[i + 1][0]
+        breaks = 0 if start - end == 1 and text[end] == " " else text.count("\n", end, start)
+        word = text[spans[i][0] : end]
+        if not breaks and word[-1].isalnum() and not inside[i]:
+            out[i] = INSIDE  # by far the most
+        elif inside[i] and inside[i + 1]:
             out[i] = CODE_LINE if breaks else CODE_INSIDE
         elif breaks > 1:
             out[i] = BLANK
-        elif breaks and (_ITEM.match(text, spans[i + 1][0]) or text[spans[i + 1][0]] == "|"):
+        elif breaks and (_ITEM.match(text, start) or text[start] == "|"):
             out[i] = ITEM
         elif _SENTENCE_END.search(word):
             out[i] = SENTENCE
@@ -89,6 +92,7 @@ def best_cuts(penalties: np.ndarray, max_words: int, overlap: int, min_words: in
         return PIECE + UNEVEN * ((length - even) / max_words) ** 2 + TOO_SHORT * (length < min_words)
 
     sizes = size_cost(np.arange(max_words + 1))  # by number of words
+    falling = sizes[::-1].copy()
     cost, back = np.full(n + 1, np.inf), np.full(n + 1, -1)
     after = np.append(np.append([0.0], penalties), [0.0])  # after[e]: the cut that ends a piece at e
     for e in range(1, n + 1):
@@ -97,8 +101,9 @@ def best_cuts(penalties: np.ndarray, max_words: int, overlap: int, min_words: in
         lo, hi = max(overlap, e - (max_words - overlap)), e  # ends of the piece before
         if lo < hi and lo > 0 or (lo == 0 and hi > 1):
             lo = max(lo, 1)
-            total = cost[lo:hi] + sizes[e - np.arange(lo, hi) + overlap]
-            k = int(np.argmin(total))
+            shift = max_words - overlap - e
+            total = cost[lo:hi] + falling[lo + shift : hi + shift]
+            k = int(total.argmin())
             if total[k] < cost[e]:
                 cost[e], back[e] = total[k], lo + k
         cost[e] += after[e]
