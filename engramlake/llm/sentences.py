@@ -299,11 +299,14 @@ class Splitter:
         if not raw or not raw[-1].isalpha() and low not in LINKING:
             return not (word and word[0].islower()) or not raw or not raw[-1].isdigit()
         here = int(bool(word) and word[0].islower())
-        if self.asked is not None:
-            if is_abbreviation(self.own, raw, here) is None:
-                self.asked.add("-" + raw)
-            if cased and word.lower() not in OPENERS and not verdicts(self.own, word.lower()):  # what the lists settle anyway nearly every text would ask
-                self.asked.add("+" + word.lower())
+        if self.asked is not None and (here or cased):
+            known = verdicts(self.own, word.lower()) if cased else ""
+            # where a word that opens sentences follows, it does not matter what stands before
+            if not (known == "c" or cased and not known and word.lower() in OPENERS):
+                if is_abbreviation(self.own, raw, here) is None:
+                    self.asked.add("-" + raw)
+                if not here and not known:
+                    self.asked.add("+" + word.lower())
         kind = self.kind(raw, here)
         joined = bool(_INITIALS.fullmatch(low))
         if word and word[0].islower():
