@@ -16,7 +16,7 @@ through joins, so no vocabulary is ever held whole.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,6 +59,7 @@ _SIGNS = {*PAIRS, *PAIRS.values(), '"'}
 QUOTES = set('"«“„‹「『')
 FURTHER = set(",;:，、；：)]}»”」』）》】〉—–-%/\\=&+_|~^*`@")
 
+_SIGN = re.compile("[" + re.escape("".join(sorted(_SIGNS))) + "]")
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _TERMINATOR = re.compile(f"[{re.escape(SPACED + WIDE)}]+")
 _WORD = re.compile(r"[^\W\d_][^\W\d_]*(?:[’'\-][^\W\d_]+)*")
@@ -91,9 +92,8 @@ def _enclosed(par: str) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     open_for: Counter = Counter()  # openers in the stack by what closes them
     found = []
-    for i, ch in enumerate(par):
-        if ch not in _SIGNS:
-            continue
+    for m in _SIGN.finditer(par):
+        i, ch = m.start(), m[0]
         if open_for[ch]:
             while stack[-1][0] != ch:
                 open_for[stack.pop()[0]] -= 1
@@ -127,16 +127,17 @@ def _parsed(token: str) -> tuple | None:
     return found
 
 
-def count_words(text: str, into: Counter) -> None:
+def count_words(text: str, into: dict[str, int], parts: list[tuple[int, int]] | None = None) -> None:
     """Unambiguous occurrences of cased words and of words with a period.
 
     Keys: ``l:w`` lower case, ``m:w`` capitalised inside a sentence, ``s:w`` capitalised
     where a sentence surely starts (``w`` in lower case); ``a:w`` with a period before a
     lower-case word or a comma, ``d:w`` with a period before anything, ``n:w`` without one
-    (``w`` as it is, but in lower case where a sentence starts).
+    (``w`` as it is, but in lower case where a sentence starts).  ``into`` counts from 0;
+    ``parts`` are the text's paragraphs where they are known.
     """
     seen = _SEEN
-    for a, b in paragraphs(text):
+    for a, b in paragraphs(text) if parts is None else parts:
         words = text[a:b].split()
         start, before = True, ""
         for i, token in enumerate(words):
@@ -185,15 +186,16 @@ class Splitter:
     of words after a period, ``-w`` of words before one.
     """
 
-    def __init__(self, text: str, answers: frozenset[str] | set[str] = frozenset(), asked: set[str] | None = None, own: Counter | None = None):
+    def __init__(self, text: str, answers: frozenset[str] | set[str] = frozenset(), asked: set[str] | None = None, own: dict[str, int] | None = None, parts: list[tuple[int, int]] | None = None):
         self.text, self.answers, self.asked, self._own = text, answers, asked, own
+        self.parts = list(paragraphs(text)) if parts is None else parts
 
     @property
-    def own(self) -> Counter:
+    def own(self) -> dict[str, int]:
         """The document's evidence; counted where a period needs it."""
         if self._own is None:
-            self._own = Counter()
-            count_words(self.text, self._own)
+            self._own = defaultdict(int)
+            count_words(self.text, self._own, self.parts)
         return self._own
 
     def common(self, word: str) -> bool:
@@ -211,7 +213,7 @@ class Splitter:
 
     def sentences(self) -> list[tuple[int, int]]:
         out = []
-        for a, b in paragraphs(self.text):
+        for a, b in self.parts:
             out += [(a + x, a + y) for x, y in self._paragraph(self.text[a:b])]
         return out
 
@@ -334,7 +336,7 @@ class Splitter:
 
 def _first(batches: Iterator[pa.RecordBatch], least: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Counts of the corpus (rows with ``n``) and the words that documents ask about (rows with ``doc``)."""
-    counts: Counter = Counter()
+    counts: dict[str, int] = defaultdict(int)
 
     def rows(doc: pa.Array, words: list[str], n: list[int | None]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([doc, pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["doc", "word", "n"])
@@ -346,11 +348,13 @@ def _first(batches: Iterator[pa.RecordBatch], least: int = 60_000) -> Iterator[p
             part = batch.slice(at, 256)
             owner, words = [], []
             for i, text in enumerate(part.column(1).to_pylist()):
-                own: Counter = Counter()
-                count_words(text, own)
-                counts.update(own)
+                own: dict[str, int] = defaultdict(int)
+                parts = list(paragraphs(text))
+                count_words(text, own, parts)
+                for key, n in own.items():
+                    counts[key] += n
                 asked: set[str] = set()
-                Splitter(text, asked=asked, own=own).sentences()
+                Splitter(text, asked=asked, own=own, parts=parts).sentences()
                 owner += [i] * len(asked)
                 words += sorted(asked)
             yield rows(part.column(0).take(pa.array(owner, pa.int64())), words, [None] * len(words))
