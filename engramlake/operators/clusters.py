@@ -10,12 +10,18 @@ from engramlake.operators.graph import components
 from engramlake.runtime import cut
 
 
+#: Sets of an item's block in the join of similar sets.
+SPLIT = 8192
+
+
 def set_similarity(rows: DataFrame, *, threshold: float) -> DataFrame:
     """``(a, b, jaccard)`` of ``(set_id, item)`` rows: pairs of sets that reach the threshold, exact.
 
     Equal sets are one entry.  Items are ordered rarest first and a set meets others only
-    under the items of its prefix, so a common item leads to no pairs.  The result holds
-    the smallest id of each distinct set; ``set_classes`` gives the ids of a set.
+    under the items of its prefix, so a common item leads to pairs only of sets that hold
+    nothing rarer; an item with more than ``SPLIT`` such sets is many units of work, one a
+    block of them.  The result holds the smallest id of each distinct set;
+    ``set_classes`` gives the ids of a set.
     """
     classes = set_classes(rows)
     reps = classes.groupBy("key").agg(F.min("set_id").alias("set_id"), F.first("n").alias("n"), F.first("items").alias("items"))
@@ -24,7 +30,11 @@ def set_similarity(rows: DataFrame, *, threshold: float) -> DataFrame:
     order = reps.select("set_id", "n", F.explode("items").alias("item")).join(df, "item").groupBy("set_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("o"))
     length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     prefix = order.select("set_id", "n", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), length))).alias("item"))
-    pair = prefix.alias("x").join(prefix.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.set_id") < F.col("y.set_id")))
+    many = prefix.groupBy("item").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("blocks")).where("blocks > 1")
+    placed = prefix.join(many, "item", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    each = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = one.alias("x").join(each.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.set_id") < F.col("y.set_id")))
     pair = pair.where((F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (F.col("y.n") >= threshold * F.col("x.n") - 1e-9)).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     left, right = reps.select(F.col("set_id").alias("a"), F.col("items").alias("p")), reps.select(F.col("set_id").alias("b"), F.col("items").alias("q"))
     both = F.size(F.array_intersect("p", "q"))

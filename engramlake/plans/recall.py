@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import scalar as S
 from engramlake.operators import graph, memory, ranking, scans
+from engramlake.runtime import cut
 
 
 def _words(queries: DataFrame) -> DataFrame:
@@ -77,13 +78,17 @@ def anchors(queries: DataFrame, neurons: DataFrame, synapses: DataFrame, *, now,
     their own; its words are the small side of every join.  ``vectors(query_id, neuron_id,
     rank)`` are hits of an embedding search where the questions were embedded.
     """
-    first = {"keyword": by_text(queries, neurons), "entity": by_entity(queries, neurons)}
-    rest = {"fuzzy": by_spelling(queries, neurons), "time": by_time(queries, neurons, now=now), "graph": by_graph(first["keyword"].unionByName(first["entity"]), synapses)}
-    out = None
-    for name, rows in {**first, **rest, **({"embedding": vectors} if vectors is not None else {})}.items():
-        part = rows.select("query_id", F.lit(name).alias("retriever"), "neuron_id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def listed(**found: DataFrame) -> DataFrame:
+        out = None
+        for name, rows in found.items():
+            part = rows.select("query_id", F.lit(name).alias("retriever"), "neuron_id", "rank")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    first = cut(listed(keyword=by_text(queries, neurons), entity=by_entity(queries, neurons)))  # used twice
+    rest = listed(fuzzy=by_spelling(queries, neurons), time=by_time(queries, neurons, now=now), graph=by_graph(first, synapses), **({} if vectors is None else {"embedding": vectors}))
+    return first.unionByName(rest)
 
 
 def recall(queries: DataFrame, neurons: DataFrame, synapses: DataFrame, fibers: DataFrame, *, now, k: int = 10, valid_at=None, vectors: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 #: Queries that may find nothing in the smallest tables.
-EMPTY = set("p6_held p6_held_fields scan_match_tokens scan_match_script_tokens scan_exact_batch scan_suggest scan_find_neurons scan_adjacency scan_find_fibers scan_fibers_of scan_fiber_valid_at scan_synapses".split())
+EMPTY = set("p6_held p6_held_fields scan_match_tokens scan_match_script_tokens scan_exact_batch scan_suggest scan_find_neurons scan_adjacency scan_find_fibers scan_fibers_of scan_fiber_valid_at scan_synapses cluster_fan_effect encode_same_content fn_hash_pairs fn_levenshtein fn_near_hashes graph_neighbours_in graph_spread_intersection graph_transitive_closures memory_conflicts memory_recent_cooccurrence merge_changes_since recall_by_entity recall_by_graph recall_by_time scan_expiring_memories scan_geo_within seq_temporal_links text_repetitive".split())
 
 
 def norm(v):

@@ -134,3 +134,18 @@ def test_held_state_and_sent_receipts(spark):
 def test_repetitive_texts(spark):
     rows = [("again and again this " * 6,), ("every single word differs from what came before within these dozen plain parts",), (None,), ("short",)]
     assert [r.x for r in spark.createDataFrame(rows, "t string").select(T.repetitive(F.col("t")).alias("x")).collect()] == [True, False, False, False]
+
+
+def test_similar_sets_with_a_hot_item(spark, monkeypatch):
+    from engramlake.operators import clusters
+
+    monkeypatch.setattr(clusters, "SPLIT", 4)
+    r = random.Random(8)
+    sets = {f"s{i:02d}": {"hub", *r.sample("abcdefgh", r.randrange(0, 4))} for i in range(40)}
+    rows = [(k, x) for k, v in sets.items() for x in v]
+    got = {(x.a, x.b) for x in clusters.set_similarity(spark.createDataFrame(rows, "set_id string, item string"), threshold=0.5).collect()}
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(frozenset(sets[k]), k)
+    reps = sorted(first.values())
+    assert got == {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
