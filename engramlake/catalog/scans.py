@@ -47,8 +47,8 @@ _TM = """tm AS (SELECT doc_id, coalesce(memory_type, 'fact') AS memory_type, CAS
  brain_id, created_at, created_at + to_days(CASE memory_type WHEN 'todo' THEN 30 WHEN 'context' THEN 7 WHEN 'error' THEN 90 END) AS expires_at FROM documents)"""
 C.add("scan_typed_memories", lambda t: O.typed_memories(t.documents).where("priority >= 7").select("doc_id", "memory_type", "priority"), f"WITH {_TM} SELECT doc_id, memory_type, priority FROM tm WHERE priority >= 7")
 C.add("scan_expired_memories", lambda t: O.typed_memories(t.documents).where(F.col("expires_at") < now()).select("doc_id", "expires_at"), f"WITH {_TM} SELECT doc_id, expires_at FROM tm WHERE expires_at < '{NOW}'")
-C.add("scan_expiring_memories", lambda t: O.typed_memories(t.documents).where((F.col("expires_at") > now()) & (F.col("expires_at") <= now() + F.expr("interval 7 days"))).select("doc_id"),
-      f"WITH {_TM} SELECT doc_id FROM tm WHERE expires_at > '{NOW}' AND expires_at <= TIMESTAMP '{NOW}' + INTERVAL 7 DAY")
+C.add("scan_expiring_memories", lambda t: O.typed_memories(t.documents).where("expires_at > TIMESTAMP_NTZ '2025-06-01' AND expires_at <= TIMESTAMP_NTZ '2025-06-08'").select("doc_id"),
+      f"WITH {_TM} SELECT doc_id FROM tm WHERE expires_at > '2025-06-01' AND expires_at <= '2025-06-08'")
 C.add("scan_project_memories", lambda t: O.typed_memories(t.documents).where("brain_id = 'brain-atlas'").where(F.coalesce(F.col("expires_at") >= now(), F.lit(True))).orderBy(F.desc("priority"), F.desc("created_at"), "doc_id").limit(100).select("doc_id", "priority"),
       f"WITH {_TM} SELECT doc_id, priority FROM tm WHERE brain_id = 'brain-atlas' AND coalesce(expires_at >= '{NOW}', true) ORDER BY priority DESC, created_at DESC NULLS LAST, doc_id LIMIT 100")
 C.add("scan_projects", lambda t: t.raw("training_configs").select("config_id", "brain_name", "domain_tag").orderBy("config_id"), "SELECT config_id, brain_name, domain_tag FROM training_configs")
@@ -91,7 +91,7 @@ C.add("fn_token_estimate", lambda t: t.documents.select("doc_id", S.token_estima
       r"SELECT doc_id, floor(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda w: w <> '')) * 1.3)::INT AS tokens FROM documents")
 C.add("fn_char_entropy", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.round(S.char_entropy(F.col("content")), 6).alias("bits")),
       """{n} WITH c AS (SELECT id, unnest(list_transform(range(1, length(content) + 1), lambda i: substring(content, i, 1))) AS ch FROM n WHERE content <> ''), k AS (SELECT id, ch, count(*) AS k FROM c GROUP BY 1, 2), z AS (SELECT id, sum(k) AS s FROM k GROUP BY 1)
- SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
+ SELECT id, round(-sum(k::DOUBLE / s * log2(k::DOUBLE / s)), 6) + 0.0 AS bits FROM k JOIN z USING (id) GROUP BY 1 UNION ALL SELECT id, 0.0 FROM n WHERE content = ''""")
 C.add("fn_levenshtein", lambda t: O.unique(t.raw("neurons").where(F.levenshtein(F.lower("content"), F.lit("anchor index"), 5) >= 0)).select("id", F.levenshtein(F.lower("content"), F.lit("anchor index")).alias("distance")),
       "{n} SELECT id, levenshtein(lower(content), 'anchor index')::INT AS distance FROM n WHERE levenshtein(lower(content), 'anchor index') <= 5")
 C.add("fn_prefix_variants", lambda t: t.neurons.where("content IS NOT NULL").select("id", F.substring("content", 1, 3).alias("p3"), F.expr("left(content, greatest(0, length(content) - 2))").alias("stem")),
