@@ -77,13 +77,10 @@ class Catalog:
             self.sql[name] = with_tables(sql)
 
 
-_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-
-
 def sql_tokens(column: str) -> str:
     """SQL of ``scalar.search_tokens``."""
-    words = rf"regexp_extract_all(regexp_replace(lower({column}), '[{_UNSPACED}]', ' ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]{{3,}}')"
-    runs = f"regexp_extract_all(lower({column}), '[{_UNSPACED}]+')"
+    words = rf"regexp_extract_all(regexp_replace(lower({column}), '[{S.UNSPACED}]', ' ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]{{3,}}')"
+    runs = f"regexp_extract_all(lower({column}), '[{S.UNSPACED}]+')"
     return f"CASE WHEN {column} IS NOT NULL THEN list_concat({words}, flatten(list_transform({runs}, lambda r: list_transform(range(1, greatest(1, length(r) - 1)::BIGINT + 1), lambda i: substring(r, i, 2))))) END"
 
 

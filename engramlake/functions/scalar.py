@@ -173,17 +173,20 @@ def normalise_search(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-#: Scripts that are written without spaces between words.
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30fc\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Ranges of the scripts that are written without spaces between words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+#: Ranges, since a test by script looks every character up.
+UNSPACED = r"\x{e01}-\x{e5b}\x{e81}-\x{edf}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{2fdf}\x{3005}-\x{3007}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{3134f}"
 
 
 def search_tokens(text: Column) -> Column:
     """Lower-case runs of three or more letters and digits of any script; pairs of neighbours in scripts without spaces."""
     low = F.lower(text)
-    words = F.regexp_extract_all(F.regexp_replace(low, rf"[{_UNSPACED}]", " "), F.lit(r"([\p{L}\p{M}\p{N}]{3,})"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit(rf"([{_UNSPACED}]+)"), F.lit(1))
+    # plain letters first: most texts need no more of the pattern
+    words = lambda t: F.regexp_extract_all(t, F.lit(r"([a-z0-9\p{L}\p{M}\p{N}]{3,})"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit(rf"([{UNSPACED}]+)"), F.lit(1))
     pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2))))
-    return F.concat(words, F.flatten(pairs))
+    unspaced = F.concat(words(F.regexp_replace(low, rf"[{UNSPACED}]", " ")), F.flatten(pairs))
+    return F.when(low.rlike(rf"[{UNSPACED}]"), unspaced).otherwise(words(low))
 
 
 def char_entropy(text: Column) -> Column:

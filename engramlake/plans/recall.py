@@ -18,15 +18,20 @@ def _words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(S.search_tokens(F.col("query")))).alias("word"))
 
 
+def postings(neurons: DataFrame) -> DataFrame:
+    """``(neuron_id, type, word)``, distinct: the words of every content."""
+    return neurons.where("content IS NOT NULL").select(F.col("id").alias("neuron_id"), "type", F.explode(F.array_distinct(S.search_tokens(F.col("content")))).alias("word"))
+
+
 def by_text(queries: DataFrame, neurons: DataFrame, *, k: int = 10) -> DataFrame:
     """``(query_id, neuron_id, rank)``: full-text hits."""
     return scans.bm25(neurons, queries, least_chars=1, k=k).select("query_id", F.col("id").alias("neuron_id"), "rank")
 
 
-def by_entity(queries: DataFrame, neurons: DataFrame, *, k: int = 3) -> DataFrame:
+def by_entity(queries: DataFrame, neurons: DataFrame, *, k: int = 3, words: DataFrame | None = None) -> DataFrame:
     """``(query_id, neuron_id, rank)``: entities by the number of the question's words in their name."""
-    named = neurons.where((F.col("type") == "entity") & F.col("content").isNotNull()).select(F.col("id").alias("neuron_id"), F.explode(F.array_distinct(S.search_tokens(F.col("content")))).alias("word"))
-    hit = named.join(_words(queries), "word").groupBy("query_id", "neuron_id").agg(F.count("*").alias("n"))
+    named = postings(neurons) if words is None else words
+    hit = named.where("type = 'entity'").join(_words(queries), "word").groupBy("query_id", "neuron_id").agg(F.count("*").alias("n"))
     return scans.top(hit, ["query_id"], [F.desc("n"), "neuron_id"], k).select("query_id", "neuron_id", "rank")
 
 
@@ -35,16 +40,16 @@ def _stems(word: Column) -> Column:
     return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))), word))
 
 
-def by_spelling(queries: DataFrame, neurons: DataFrame, *, least: int = 5, k: int = 5) -> DataFrame:
+def by_spelling(queries: DataFrame, neurons: DataFrame, *, least: int = 5, k: int = 5, words: DataFrame | None = None) -> DataFrame:
     """``(query_id, neuron_id, rank)``: neurons with a word one edit away from a word that fewer than two hold.
 
     Words of at least ``least`` letters.  Deletion stems turn the edit distance into an
     equality join; the distance is then checked.
     """
-    words = _words(queries).where(F.length("word") >= least)
-    held = neurons.where("content IS NOT NULL").select(F.col("id").alias("neuron_id"), F.explode(F.array_distinct(S.search_tokens(F.col("content")))).alias("other"))
-    known = held.join(words.select(F.col("word").alias("other")).distinct(), "other", "left_semi").groupBy("other").agg(F.count("*").alias("n")).where("n >= 2")
-    rare = words.join(known.select(F.col("other").alias("word")), "word", "left_anti")
+    asked = _words(queries).where(F.length("word") >= least)
+    held = (cut(postings(neurons)) if words is None else words).select("neuron_id", F.col("word").alias("other"))  # used three times
+    known = held.join(asked.select(F.col("word").alias("other")).distinct(), "other", "left_semi").groupBy("other").agg(F.count("*").alias("n")).where("n >= 2")
+    rare = asked.join(known.select(F.col("other").alias("word")), "word", "left_anti")
     vocabulary = held.where(F.length("other") >= least - 1).select("other").distinct()
     stems = vocabulary.select("other", F.explode(_stems(F.col("other"))).alias("stem"))
     near = rare.select("query_id", "word", F.explode(_stems(F.col("word"))).alias("stem")).join(stems, "stem")
@@ -86,8 +91,9 @@ def anchors(queries: DataFrame, neurons: DataFrame, synapses: DataFrame, *, now,
             out = part if out is None else out.unionByName(part)
         return out
 
-    first = cut(listed(keyword=by_text(queries, neurons), entity=by_entity(queries, neurons)))  # used twice
-    rest = listed(fuzzy=by_spelling(queries, neurons), time=by_time(queries, neurons, now=now), graph=by_graph(first, synapses), **({} if vectors is None else {"embedding": vectors}))
+    words = cut(postings(neurons))  # used by two retrievers
+    first = cut(listed(keyword=by_text(queries, neurons), entity=by_entity(queries, neurons, words=words)))  # used twice
+    rest = listed(fuzzy=by_spelling(queries, neurons, words=words), time=by_time(queries, neurons, now=now), graph=by_graph(first, synapses), **({} if vectors is None else {"embedding": vectors}))
     return first.unionByName(rest)
 
 

@@ -94,7 +94,7 @@ def test_times_and_decisions(spark):
 
 
 def test_spelling_retriever(spark):
-    neurons = spark.createDataFrame([("a", "session log"), ("b", "sesion"), ("c", "passion"), ("d", None), ("e", "sessions here")], "id string, content string")
+    neurons = spark.createDataFrame([("a", "session log"), ("b", "sesion"), ("c", "passion"), ("d", None), ("e", "sessions here")], "id string, content string").withColumn("type", F.lit("concept"))
     asked = spark.createDataFrame([(1, "session"), (2, "here we are"), (3, "")], "query_id int, query string")
     assert {(r.query_id, r.neuron_id) for r in recall.by_spelling(asked, neurons).collect()} == {(1, "b"), (1, "e")}
     assert recall.by_spelling(asked, neurons.limit(0)).count() == 0
