@@ -85,7 +85,7 @@ def _events(t):
 
 
 _EV = "ev AS (SELECT user_id AS session, event_type AS action, ts AS tm, event_id FROM events)"
-_NX = _EV + ", nx AS (SELECT action, tm, lead(action) OVER w AS nxt, lead(tm) OVER w AS nat FROM ev WINDOW w AS (PARTITION BY session ORDER BY tm, event_id)), sp AS (SELECT action AS a, nxt AS b, count(*) AS n, round(avg((epoch_us(nat) - epoch_us(tm)) / 1e6), 6) AS mean_gap FROM nx WHERE nxt IS NOT NULL AND (epoch_us(nat) - epoch_us(tm)) / 1e6 <= 86400 GROUP BY 1, 2)"
+_NX = _EV + ", nx AS (SELECT action, tm, lead(action) OVER w AS nxt, lead(tm) OVER w AS nat FROM ev WINDOW w AS (PARTITION BY session ORDER BY tm, event_id)), sp AS (SELECT action AS a, nxt AS b, count(*) AS n, round(sum(epoch_us(nat) - epoch_us(tm))::DOUBLE / count(*) / 1e6, 6) AS mean_gap FROM nx WHERE nxt IS NOT NULL AND (epoch_us(nat) - epoch_us(tm)) / 1e6 <= 86400 GROUP BY 1, 2)"
 C.add("seq_pairs", lambda t: Q.sequential_pairs(_events(t), window_s=86400), f"WITH {_NX} SELECT * FROM sp")
 C.add("seq_habits", lambda t: Q.habits(Q.sequential_pairs(_events(t), window_s=86400), least=3, sessions=100),
       f"WITH {_NX}, p AS (SELECT a, b, n FROM sp WHERE n >= 3) SELECT [a, b] AS steps, n, round(n / 100, 6) AS confidence FROM p UNION ALL SELECT [x.a, x.b, y.b], least(x.n, y.n), round(least(x.n, y.n) / 100, 6) FROM p x JOIN p y ON x.b = y.a AND y.b <> x.a")

@@ -26,9 +26,10 @@ def sequential_pairs(events: DataFrame, *, window_s: float = 30.0) -> DataFrame:
     ahead = own.where(F.col("t") - F.col("part") * width <= window_s * 1e6).select("session", "action", "event_id", "t", (F.col("part") - 1).alias("part"), F.lit(False).alias("own"))
     w = Window.partitionBy("session", "part").orderBy("t", "event_id")
     step = own.unionByName(ahead).select("own", "action", "t", F.lead("action").over(w).alias("next"), F.lead("t").over(w).alias("u"))
-    gap = (F.col("u") - F.col("t")) / 1e6
-    kept = step.where(F.col("own") & F.col("next").isNotNull() & (gap <= window_s))
-    return kept.groupBy(F.col("action").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("mean_gap"))
+    gap = F.col("u") - F.col("t")
+    kept = step.where(F.col("own") & F.col("next").isNotNull() & (gap / 1e6 <= window_s))
+    mean = F.sum(gap).cast("double") / F.count("*") / 1e6  # whole microseconds, so the order of summing does not matter
+    return kept.groupBy(F.col("action").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n"), F.round(mean, 6).alias("mean_gap"))
 
 
 def habits(pairs: DataFrame, *, least: int, sessions: int) -> DataFrame:
