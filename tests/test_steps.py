@@ -1,6 +1,7 @@
 """Encoding steps, links, retrievers and word rules on small cases, against brute force."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -149,3 +150,17 @@ def test_similar_sets_with_a_hot_item(spark, monkeypatch):
         first.setdefault(frozenset(sets[k]), k)
     reps = sorted(first.values())
     assert got == {(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+
+
+def test_mean_strengths_do_not_depend_on_the_order_of_rows(spark):
+    # the mean is 0.6230625; sums of floats in other orders are a little more or less
+    values = [0.931, 0.874, 0.755, 0.512, 0.303, 0.641, 0.222, 0.987, 0.118, 0.777, 0.69, 0.431, 0.816, 0.555, 0.604, 0.753]
+    r, rows = random.Random(3), []
+    for k in range(200):
+        r.shuffle(values)
+        rows += [(f"a{k:03d}", "b", v) for v in values]
+    rows += [("x", "y", None), ("x", "z", float("nan")), ("x", "z", 0.5), ("x", "w", 2e12), ("x", "w", 1.0), ("w", "x", None)]
+    co = spark.createDataFrame(rows, "neuron_a string, neuron_b string, binding_strength double").coalesce(1)
+    got = {(x.a, x.b): (x.n, x.strength) for x in stats.co_activation_counts(co).collect()}
+    assert {v for (a, _), v in got.items() if a[0] == "a"} == {(16, 0.623063)}
+    assert got["x", "y"] == (1, None) and math.isnan(got["x", "z"][1]) and got["w", "x"] == (3, 1000000000000.5)
