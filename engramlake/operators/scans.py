@@ -7,11 +7,15 @@ pushed to the scan.  Repeated rows of a table count once (``unique``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import scalar as S
+from engramlake.runtime import cut, ship
 
 
 def unique(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -185,21 +189,78 @@ def dedup_ladder(neurons: DataFrame, queries: DataFrame, *, size: int = 64, same
 def near_hashes(rows: DataFrame, *, limit: int, key: str = "id", value: str = "content_hash") -> DataFrame:
     """``(a, b, distance)``: pairs of different 64-bit hashes within a Hamming distance, each by its smallest id.
 
-    Of four bands of 16 bits one differs in at most ``limit / 4`` bits, so a hash is stored
-    under its four bands and asks under each band and all that differ from it in so few
-    bits (17 or 137 for limits up to 7 or 11): exact.  A hash of 0 or null matches nothing;
-    copies of a hash are one entry.
+    Of four bands of 16 bits one differs in at most ``limit / 4`` bits: exact.  A band's
+    values are cut into units by their first bits, more units for more hashes.  A hash is
+    sent to its own unit and to those of lower bits that are so few bits away; what differs
+    in the other bits is looked up inside the unit, so no row is made for it.  A hash of 0
+    or null matches nothing; copies of a hash are one entry.
     """
-    from itertools import combinations
-
     if not 0 <= limit < 16:
         raise ValueError("limit is from 0 to 15")
-    flips = [sum(1 << i for i in bits) for r in range(limit // 4 + 1) for bits in combinations(range(16), r)]
-    h = rows.where((F.col(value) != 0) & F.col(key).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(key).alias("id"))
-    bands = h.select("id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)])).alias("band", "bits"))
-    asks = bands.select("id", "h", "band", F.explode(F.array(*map(F.lit, flips))).alias("flip"), "bits").select(F.col("id").alias("i"), F.col("h").alias("g"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    near = bands.join(asks, ["band", "bits"]).where("h < g").select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b"), S.hamming(F.col("h"), F.col("g")).alias("distance"))
-    return near.where(F.col("distance") <= limit).distinct()
+    spark, few = rows.sparkSession, limit // 4
+    ship(spark)
+    h = cut(rows.where((F.col(value) != 0) & F.col(key).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(key).alias("id")))
+    n = h.count()
+    first = next(k for k in range(3, 17) if k == 16 or n * (1 + len(_flips(k, few))) / 2 ** (k + 1) <= UNIT)
+    lead = [F.shiftrightunsigned("h", 16 * b + 16 - first).bitwiseAND(F.lit((1 << first) - 1)) for b in range(4)]
+    asked = h.select("h", F.posexplode(F.array(*lead)).alias("band", "own"))
+    sent = asked.select("h", "band", "own", F.explode(F.array(*map(F.lit, _flips(first, few)))).alias("flip")).withColumn("to", F.col("own").bitwiseXOR(F.col("flip"))).where("to <= own")
+    sent = sent.select((F.col("band") * (1 << first) + F.col("to")).cast("int").alias("unit"), "h")
+    parts = min(4 << first, max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    near = sent.repartition(parts, "unit").groupBy("unit").applyInArrow(lambda t: _near_in_unit(t, first, limit), "g long, k long, distance int")
+    named = near.join(h.select(F.col("h").alias("g"), F.col("id").alias("i")), "g").join(h.select(F.col("h").alias("k"), F.col("id").alias("j")), "k")
+    return named.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").distinct()
+
+
+#: Hashes of a unit, and pairs compared at a time, in the search for near hashes.
+UNIT, PAIRS = 4_000_000, 1 << 21
+
+
+def _flips(width: int, most: int) -> list[int]:
+    """Numbers of ``width`` bits with at most ``most`` bits set."""
+    return [sum(1 << i for i in bits) for r in range(min(width, most) + 1) for bits in combinations(range(width), r)]
+
+
+def _near_in_unit(table: pa.Table, first: int, limit: int) -> pa.Table:
+    """Pairs of a unit in which no earlier band is as near; one has its own band's first bits, the other those or higher ones."""
+    few = limit // 4
+    band, top = divmod(table.column("unit")[0].as_py(), 1 << first)
+    h = table.column("h").to_numpy().view(np.uint64)
+    v = (h >> np.uint64(16 * band)).astype(np.int64) & 65535
+    order = np.argsort(v, kind="stable")  # the unit's own hashes come first: the others have higher bits
+    h, v = h[order], v[order]
+    low = top << (16 - first)
+    own = int(np.searchsorted(v, low + (1 << (16 - first))))
+    starts = np.searchsorted(v[:own], low + np.arange((1 << (16 - first)) + 1))
+    found = []
+    for flip in _flips(16, few):
+        t = v ^ flip
+        # a pair inside the unit is met from its lower value, one of equal values from its first row
+        at = np.flatnonzero((t >> (16 - first) == top) & ((np.arange(len(v)) >= own) | (t > v) | (flip == 0)))
+        t = t[at] - low
+        begin, end = starts[t], starts[t + 1]
+        if not flip:
+            begin = np.where(at < own, at + 1, begin)
+        count = end - begin
+        some = count > 0
+        at, begin, count = at[some], begin[some], count[some]
+        if not len(at):
+            continue
+        ends = np.cumsum(count)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), len(at)])
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            c = count[x:y]
+            i = np.repeat(at[x:y], c)
+            j = np.arange(c.sum()) + np.repeat(begin[x:y] - (np.cumsum(c) - c), c)
+            differs = h[i] ^ h[j]
+            distance = np.bitwise_count(differs)
+            good = np.flatnonzero(distance <= limit)
+            for b in range(band):  # what an earlier band finds
+                good = good[np.bitwise_count(differs[good] >> np.uint64(16 * b) & np.uint64(65535)) > few]
+            if len(good):
+                found.append((h[i[good]], h[j[good]], distance[good]))
+    g, k, distance = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0))
+    return pa.table({"g": g.view(np.int64), "k": k.view(np.int64), "distance": distance.astype(np.int32)})
 
 
 def knn(rows: DataFrame, query: Sequence[float], *, key: str = "id", vector: str = "embedding", k: int = 10) -> DataFrame:
