@@ -100,7 +100,7 @@ def _decisions(t):
 
     docs = t.documents.where("memory_type = 'decision'")
     rows = docs.select(F.col("doc_id").alias("set_id"), F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("item"))
-    return K.set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
+    return K.text_set_similarity(rows, threshold=0.25).select("a", "b", F.round("jaccard", 6).alias("score"))
 
 
 _SNAP = "o AS (SELECT id, type, content FROM n WHERE created_at < '2025-09-01'), w AS (SELECT id, CASE WHEN type = 'intent' THEN 'goal' ELSE type END AS type, content FROM n WHERE created_at >= '2025-02-01')"

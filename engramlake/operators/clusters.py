@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.operators.graph import components
-from engramlake.runtime import cut
+from engramlake.runtime import cut, ship
 
 
 #: Sets of an item's block in the join of similar sets.
@@ -42,6 +46,80 @@ def set_similarity(rows: DataFrame, *, threshold: float) -> DataFrame:
     return full.where(F.col("jaccard") >= threshold - 1e-12)
 
 
+#: Sets of a group, pairs that a unit counts at a time, and the share of sets from which an item is a column of the product.
+GROUP, CELLS, FREQUENT = 32768, 1 << 22, 0.02
+
+
+def text_set_similarity(rows: DataFrame, *, threshold: float) -> DataFrame:
+    """The rows of ``set_similarity``, for sets of words: large ones, most of which share something.
+
+    There nearly every pair meets under some item of the prefixes at a low threshold, so a
+    row for each meeting is more than a comparison of all.  Sets are put into groups and a
+    unit of work has two of them: frequent items are counted by a product of matrices, the
+    others by their postings.  Only pairs that reach the threshold become rows.  Items are
+    compared by 64-bit hashes.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    classes = set_classes(rows).select("set_id", "key", F.transform("items", lambda x: F.xxhash64(x)).alias("items"))
+    reps = cut(classes.groupBy("key").agg(F.min("set_id").alias("set_id"), F.first("items").alias("items")).select("set_id", "items"))
+    n = reps.count()
+    groups = max(1, min(8, n // 500), math.ceil(n / GROUP))
+    placed = reps.withColumn("own", F.pmod(F.xxhash64("set_id"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    unit = (F.least("own", "other") * groups + F.greatest("own", "other")).cast("int")
+    parts = min(groups * (groups + 1) // 2, max(6 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    kind = reps.schema["set_id"].dataType.simpleString()
+    near = placed.select(unit.alias("unit"), "own", "set_id", "items").repartition(parts, "unit").groupBy("unit").applyInArrow(lambda t: _similar_in_unit(t, groups, threshold), f"x {kind}, y {kind}, jaccard double")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def _similar_in_unit(table: pa.Table, groups: int, threshold: float) -> pa.Table:
+    """``(x, y, jaccard)`` of the pairs of two groups, or of one group with itself."""
+    one, two = divmod(table.column("unit")[0].as_py(), groups)
+    ids, items = table.column("set_id").combine_chunks(), table.column("items").combine_chunks()
+    own, size = table.column("own").to_numpy(), items.value_lengths().to_numpy()
+    left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+    item = np.unique(items.flatten().to_numpy(), return_inverse=True)[1]
+    row, most = np.repeat(np.arange(len(own)), size), int(item.max(initial=-1)) + 1
+    place = np.full(len(own), -1)
+    place[right] = np.arange(len(right))
+    mine = place[row] >= 0
+    order = np.argsort(item[mine], kind="stable")
+    posting, df = place[row[mine]][order], np.bincount(item[mine], minlength=most)
+    start = np.cumsum(df) - df
+    frequent = np.flatnonzero(df > max(1, FREQUENT * len(right)))
+    column = np.full(most, -1)
+    column[frequent] = np.arange(len(frequent))
+    hold = np.zeros((len(frequent), len(right)), np.float32)
+    often = column[item] >= 0
+    hold[column[item[mine & often]], place[row[mine & often]]] = 1
+    ends, found, step = np.cumsum(size), [], max(1, CELLS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        batch = left[at : at + step]
+        length = size[batch]
+        i = np.repeat(np.arange(len(batch)), length)
+        k = item[np.arange(length.sum()) + np.repeat(ends[batch] - np.cumsum(length), length)]
+        of = column[k] >= 0
+        asked = np.zeros((len(batch), len(frequent)), np.float32)
+        asked[i[of], column[k[of]]] = 1
+        shared = (asked @ hold).ravel()
+        i, k = i[~of], k[~of]
+        count = df[k]
+        cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(count), np.arange(CELLS, count.sum(), CELLS)), len(k)])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            c = count[a:b]
+            cell = posting[np.arange(c.sum()) + np.repeat(start[k[a:b]] - (np.cumsum(c) - c), c)] + np.repeat(i[a:b] * len(right), c)
+            shared += np.bincount(cell, minlength=len(shared))
+        both = shared.reshape(len(batch), -1)
+        x, y = np.nonzero(both * (1 + threshold) >= (1 - 1e-6) * threshold * (length[:, None] + size[right][None]).astype(np.float32) - 0.01)  # in 32 bits
+        both, x, y = both[x, y].astype(np.float64), batch[x], right[y]
+        jaccard = both / (size[x] + size[y] - both)
+        good = (jaccard >= threshold - 1e-12) & ((one != two) | (x < y))
+        found.append((x[good], y[good], jaccard[good]))
+    x, y, jaccard = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y)), "jaccard": jaccard})
+
+
 def set_classes(rows: DataFrame) -> DataFrame:
     """``(set_id, key, n, items)``: sets with equal items have equal keys."""
     sets = rows.where("set_id IS NOT NULL AND item IS NOT NULL").groupBy("set_id").agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -181,3 +181,24 @@ def test_mean_strengths_do_not_depend_on_the_order_of_rows(spark):
     got = {(x.a, x.b): (x.n, x.strength) for x in stats.co_activation_counts(co).collect()}
     assert {v for (a, _), v in got.items() if a[0] == "a"} == {(16, 0.623063)}
     assert got["x", "y"] == (1, None) and math.isnan(got["x", "z"][1]) and got["w", "x"] == (3, 1000000000000.5)
+
+
+def test_word_sets_make_rows_only_of_similar_pairs(spark, monkeypatch):
+    from engramlake.operators import clusters
+
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    sets = {k: {words[int(200 * r.random() ** 3)] for _ in range(r.randrange(1, 60))} for k in range(300)}
+    rows = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v] + [(0, None), (None, "w1")], "set_id bigint, item string")
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(frozenset(sets[k]), k)
+    reps = sorted(first.values())
+    for threshold, group, cells, frequent in ((0.25, 32768, 1 << 22, 0.02), (0.25, 150, 1, 1), (0.5, 40, 500, 0.3)):
+        monkeypatch.setattr(clusters, "GROUP", group)
+        monkeypatch.setattr(clusters, "CELLS", cells)
+        monkeypatch.setattr(clusters, "FREQUENT", frequent)
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(reps) for b in reps[i + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+        got = clusters.text_set_similarity(rows, threshold=threshold)
+        assert {(x.a, x.b): x.jaccard for x in got.collect()} == pytest.approx(want)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for a pair that only meets
