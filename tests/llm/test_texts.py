@@ -120,6 +120,34 @@ def test_classes_of_copies_in_both_forms(spark):
         found(spark, rows, copies="some")
 
 
+def test_chunks_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CHUNK", 64)
+    monkeypatch.setattr(near_duplicates, "PACK", 8)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 12)
+    texts = {f"n{i:04d}": x for i, x in enumerate(corpus(60, 6))}
+    assert found(spark, [(i, x, "r", 1) for i, x in texts.items()]) == brute(texts)
+
+
+def test_units_of_sizes_apart_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FEW", 4)
+    test_trees_lose_no_pair_at_any_size()
+
+
+def test_large_classes_have_several_units(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "COPIES", 3)
+    t = "a text that is long enough to take part in the join of all the texts here"
+    rows = [(f"c{i}", t, "", 1) for i in range(8)] + [("d0", "quite another one, of which there are only two copies in all the rows", "", 1)] * 2 + [("d1", "Quite another one, of which there are only two copies in all the rows", "", 1)]
+    assert found(spark, rows) == {(f"c{i}", f"c{j}") for i in range(8) for j in range(i + 1, 8)} | {("d0", "d1")}
+
+
+def test_shuffle_is_in_proportion_to_the_texts(spark):
+    texts = corpus(150, 8)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert found(spark, [(f"n{i:04d}", x, "r", 1) for i, x in enumerate(texts)])
+    assert written() - before < 20 * sum(map(len, texts))  # measured: 12 times these short texts, 31 with entries as rows
+
+
 VOCABULARY = encode.DEFAULT_VOCABULARY
 TEXTS = ["", " ", "Hello world's   end\n\n x", "naïve café ☕ 記憶のグラフ", "a" * 5000, "abab" * 3000, "<|endoftext|>", "\t\x1c　x 1234567", "don't 'RE we'll", "𝒳𝒴 é ​"]
 
